@@ -98,9 +98,9 @@ TRIM_CHARS = "".join(chr(c) for c in range(0x21))
 # Characters that make a text blank (white space without the
 # no-break spaces, plus the separators U+001C to U+001F).
 BLANK_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f  "
-    "          "
-    "   　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a"
+    "\u2028\u2029\u205f\u3000"
 )
 
 # Canonical text form of a UUID.
