@@ -15,7 +15,9 @@ from pyspark.sql.streaming import StreamingQuery
 from corpusflow.operators.embedding import EncoderFactory
 from corpusflow.operators.lifecycle import latest_status
 from corpusflow.plans import processing
+from corpusflow.session import broadcast_if_small
 from corpusflow.sources.files import stream_files, to_documents
+from corpusflow.sources.tables import exists
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
@@ -67,22 +69,30 @@ def followed_status(spark: SparkSession, out: str) -> DataFrame:
             .select("document_id", "last.status", "last.ts"))
 
 
-def log_messages(messages: DataFrame, out: str, checkpoint: str, delay: str = "1 day",
-                 every: str | None = None) -> StreamingQuery:
-    """Append messages of a history stream, each id once.
+def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Append messages of a history stream, each id once, however late it repeats.
 
-    A repeated id is recognised within ``delay`` of its event time, which
-    bounds the state that has to be kept.
+    The log is kept by day of the message, so a micro-batch is compared only
+    with the days it has messages of.
     """
-    once = (messages.withColumn("event_time", F.col("created_at").cast("timestamp"))
-            .withWatermark("event_time", delay)
-            .dropDuplicatesWithinWatermark(["id"]).drop("event_time"))
 
-    def each(new: DataFrame, batch: int) -> None:
-        new.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    def each(arrived: DataFrame, batch: int) -> None:
+        spark = arrived.sparkSession
+        new = (arrived.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
+               .dropDuplicates(["id"]))
+        if exists(spark, out):
+            days = broadcast_if_small(new.select("day").distinct())
+            known = (_log(spark, out).where(F.col("batch") != batch)
+                     .join(days, "day", "left_semi").select("id"))
+            new = new.join(known, "id", "left_anti")
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={batch}")
 
-    return _start(once, each, checkpoint, every=every)
+    return _start(messages, each, checkpoint, every=every)
+
+
+def _log(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.option("basePath", out).parquet(out)
 
 
 def logged_messages(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(out).drop("batch")
+    return _log(spark, out).drop("batch", "day")
