@@ -8,7 +8,6 @@ labels, messages, limits and the prompt text.  No logic lives here.
 CHUNK_SIZE = 500
 CHUNK_OVERLAP = 50
 TOP_K = 3
-MAX_FILE_BYTES = 50 * 1024 * 1024
 
 # File types accepted for upload.
 SUPPORTED_TYPES = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt")

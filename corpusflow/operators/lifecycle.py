@@ -34,6 +34,6 @@ def document_status(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 def latest_status(events: DataFrame) -> DataFrame:
     """Last status per document from (document_id, ts, event_id, status); also for streams."""
-    return events.groupBy("document_id").agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"),
-        F.max(F.struct("ts", "event_id"))["ts"].alias("ts"))
+    last = F.max(F.struct("ts", "event_id", "status"))
+    return (events.groupBy("document_id").agg(last.alias("last"))
+            .select("document_id", "last.status", "last.ts"))

@@ -11,7 +11,7 @@ from corpusflow import constants as K
 from corpusflow.functions import text as tx
 from corpusflow.functions import vectors as vx
 from corpusflow.operators.topk import top_k
-from corpusflow.session import BROADCAST_BYTES, broadcast_if_small
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size
 
 HIT_BYTES = 96  # generous size of one hit without its content
 
@@ -21,11 +21,24 @@ def completed(documents: DataFrame) -> DataFrame:
     return documents.where(F.col("status") == "COMPLETED")
 
 
-def kb_chunks(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Chunks of completed documents, with the knowledge base of the document."""
+def kb_chunks(documents: DataFrame, chunks: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Chunks of completed documents, with the knowledge base of the document.
+
+    Vectors are not shuffled as long as one of two lists is small: the
+    completed documents or, for stored chunks that carry their knowledge base,
+    the documents among them that are not completed.  The second list costs a
+    shuffle of ids only.
+    """
     keys = completed(documents).select("document_id", "knowledge_base_id")
     own = [c for c in chunks.columns if c != "knowledge_base_id"]
-    return chunks.select(*own).join(broadcast_if_small(keys), "document_id")
+    if table_size(keys)[1] <= limit:
+        return chunks.select(*own).join(F.broadcast(keys), "document_id")
+    if "knowledge_base_id" not in chunks.columns:
+        return chunks.join(keys, "document_id")
+    on = ["document_id", "knowledge_base_id"]
+    others = chunks.select(*on).distinct().join(keys, on, "left_anti")
+    kept = chunks.join(broadcast_if_small(others, limit), on, "left_anti")
+    return kept.select("document_id", *[c for c in own if c != "document_id"], "knowledge_base_id")
 
 
 def score_chunks(chunks: DataFrame, question: Sequence[float], metric: str = "cosine") -> DataFrame:

@@ -293,12 +293,16 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: st
 
 # --- approximate form -------------------------------------------------------------
 
+def hyperplanes(width: int, tables: int, bits: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((tables * bits, width))
+
+
 def hyperplane_buckets(df: DataFrame, width: int, tables: int, bits: int, seed: int) -> DataFrame:
     """Rows once per hash table, with ``_table`` and the bucket of signs ``_bucket``.
 
     Vectors of another width get bucket -1, where only each other is met.
     """
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
+    planes = hyperplanes(width, tables, bits, seed)
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

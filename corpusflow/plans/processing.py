@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
@@ -12,7 +12,7 @@ from corpusflow.operators import lifecycle
 from corpusflow.operators.chunking import chunk_expression
 from corpusflow.operators.embedding import EncoderFactory, embed
 from corpusflow.sources.files import decode_text
-from corpusflow.sources.tables import write_chunks
+from corpusflow.sources.tables import scan, write_chunks
 
 
 def with_text(documents: DataFrame, extractor=None) -> DataFrame:
@@ -30,7 +30,7 @@ def with_text(documents: DataFrame, extractor=None) -> DataFrame:
 
 def outcomes(documents: DataFrame, encoder: EncoderFactory, strategy: str = "fixed",
              size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> DataFrame:
-    """One row per chunk with its vector, ``[]`` where encoding failed.
+    """One row per chunk with its vector, and ``ok`` false where encoding failed.
 
     A document without text keeps one row with null ``chunk_index``.  No
     shuffle: reading, cutting and encoding happen in one stage.
@@ -39,18 +39,17 @@ def outcomes(documents: DataFrame, encoder: EncoderFactory, strategy: str = "fix
     chunks = chunk_expression(strategy, text, size, overlap)
     cut = documents.select("document_id", "knowledge_base_id",
                            F.posexplode_outer(chunks).alias("chunk_index", "content"))
-    return embed(cut, encoder)
+    return embed(cut, encoder).withColumn("ok", vx.is_usable(F.col("embedding")))
 
 
 def status_of(found: DataFrame) -> DataFrame:
     """Final status per document from :func:`outcomes`.
 
-    Rows of a document leave one task already counted, so the shuffle carries
-    one row per document.
+    Rows are counted before the shuffle, which carries about one row per
+    document; of a stored table only the narrow columns are read.
     """
-    ok = F.coalesce(F.col("chunk_index").isNotNull() & vx.is_usable(F.col("embedding")), F.lit(False))
     counts = found.groupBy("document_id", "knowledge_base_id").agg(
-        F.count("chunk_index").alias("n"), F.count_if(ok).alias("n_ok"))
+        F.count("chunk_index").alias("n"), F.count_if("ok").alias("n_ok"))
     blank, good, bad = F.col("n") == 0, F.col("n_ok"), F.col("n") - F.col("n_ok")
     return counts.select(
         "document_id", "knowledge_base_id", lifecycle.final_status(good).alias("status"),
@@ -60,21 +59,23 @@ def status_of(found: DataFrame) -> DataFrame:
 
 
 def usable_chunks(found: DataFrame) -> DataFrame:
-    """The chunks that are stored; failed ones leave gaps in ``chunk_index``."""
-    return found.where(F.col("chunk_index").isNotNull() & vx.is_usable(F.col("embedding")))
+    """The chunks that can be found; failed ones leave gaps in ``chunk_index``."""
+    return found.where("ok").drop("ok")
 
 
 def process_to(documents: DataFrame, path: str, encoder: EncoderFactory, strategy: str = "fixed",
                extractor=None, mode: str = "overwrite") -> DataFrame:
-    """Process documents, store outcomes below ``path`` and return the statuses.
+    """Process documents, store the outcomes at ``path`` and return the statuses.
 
-    Every outcome is written once to ``path``/outcomes, and the chunk table
-    ``path``/chunks and the statuses are derived from there, so the encoder
+    Outcomes are written once, by knowledge base; chunks
+    (:func:`usable_chunks`) and statuses are read from there, so the encoder
     runs once per chunk.
     """
-    spark = documents.sparkSession
     found = outcomes(with_text(documents, extractor), encoder, strategy)
-    found.write.mode(mode).parquet(f"{path}/outcomes")
-    stored = spark.read.schema(found.schema).parquet(f"{path}/outcomes")
-    write_chunks(usable_chunks(stored), f"{path}/chunks", mode)
-    return status_of(stored)
+    write_chunks(found, path, mode)
+    return status_of(stored_outcomes(documents.sparkSession, path))
+
+
+def stored_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`process_to` wrote.  Spark reads folder names like 7 as numbers; ids are text."""
+    return scan(spark, path).withColumn("knowledge_base_id", F.col("knowledge_base_id").cast("string"))

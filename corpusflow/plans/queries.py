@@ -16,12 +16,12 @@ from corpusflow.functions import status as st
 from corpusflow.functions import text as tx
 from corpusflow.functions import vectors as vx
 from corpusflow.operators import catalog, history, lifecycle, prompting, retrieval
-from corpusflow.operators.chunking import chunk_documents
+from corpusflow.operators.chunking import chunk_documents, fixed_chunks
 from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.generation import first_chunk_model, generate
 from corpusflow.operators.topk import top_k, top_k_lsh
 from corpusflow.plans import answering, processing
-from corpusflow.plans.reference_sql import TIME, TRIM, literal, sql
+from corpusflow.plans.reference_sql import TIME, TRIM, literal, planes_sql, sql
 from corpusflow.session import work_path
 from corpusflow.sources import tables
 from corpusflow.sources import views as vw
@@ -33,13 +33,12 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(body: str | None = None):
-    """Register a function under its own name, with its SQL if there is one."""
+def query(body: str, name: str | None = None):
+    """Register a function under its own or the given name, with its SQL."""
 
     def add(run: Query) -> Query:
-        QUERIES[run.__name__] = run
-        if body is not None:
-            ORACLE[run.__name__] = sql(body)
+        QUERIES[name or run.__name__] = run
+        ORACLE[name or run.__name__] = sql(body)
         return run
 
     return add
@@ -119,8 +118,8 @@ def write_chunks(spark, d):
 
 
 @query(f"""SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN md5(text)
-       ELSE md5('你好' || regexp_replace(text, '[^\\x01-\\x7f]', '', 'g')) END AS text_md5 FROM documents""")
-def decode_text_bytes(spark, d):
+       ELSE md5('你好' || regexp_replace(text, '[^\\x01-\\x7f]', '', 'g')) END AS text_md5 FROM documents""", name="decode_text")
+def decode_bytes(spark, d):
     # Every second document gets two GBK characters in front of its ASCII part.
     ascii_part = F.regexp_replace("text", "[^\\x01-\\x7f]", "")
     gbk = F.concat(F.unhex(F.lit("C4E3BAC3")), ascii_part.cast("binary"))
@@ -461,9 +460,20 @@ def topk_l2(spark, d):
     return _hits(top_k(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2"))
 
 
-@query()
+LSH = dict(width=64, tables=12, bits=4, seed=7)
+
+
+@query(f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {LSH['tables'] * LSH['bits']})) AS p, unnest({planes_sql(**LSH)}) AS w)),
+       side AS (SELECT vec_id, v, p // {LSH['bits']} AS t, sum(CASE WHEN list_dot_product(v, w) > 0 THEN 1 << (p % {LSH['bits']})
+                ELSE 0 END) AS bucket FROM vec, plane GROUP BY vec_id, v, p // {LSH['bits']}),
+       pair AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM side a JOIN side b USING (t, bucket)),
+       scored AS (SELECT pair.query_id, c.document_id, c.chunk_index,
+                  round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
+                  FROM pair JOIN question q ON q.query_id = pair.query_id JOIN vec c ON c.vec_id = pair.vec_id)
+       SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3""")
 def topk_lsh(spark, d):
-    return _hits(top_k_lsh(vw.chunk_vector(spark, d), vw.question(spark, d), width=64, metric="l2"))
+    return _hits(top_k_lsh(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2", **LSH))
 
 
 @query(f"SELECT id, role, md5(content) AS content_md5, {TIME.format('created_at')} AS created_at "
@@ -546,8 +556,6 @@ def cosine_pairs(spark, d):
        AS INT) AS progress FROM chunk_text""")
 def embed_progress(spark, d):
     # The number of chunks is known before they become rows, so nothing is shuffled.
-    from corpusflow.operators.chunking import fixed_chunks
-
     cut = vw.source_text(spark, d).select("document_id", fixed_chunks(F.col("text")).alias("chunks"))
     return (cut.select("document_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("chunk_index", "content"))
             .select("document_id", "chunk_index",

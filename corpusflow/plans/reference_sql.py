@@ -1,6 +1,7 @@
 """Table expressions in DuckDB SQL that mirror ``sources.views`` for the comparison queries."""
 
 from corpusflow import constants as K
+from corpusflow.operators.topk import hyperplanes
 
 
 def literal(text: str) -> str:
@@ -103,6 +104,12 @@ hashed_hit AS (SELECT * FROM (SELECT query_id, document_id, chunk_index, content
 """
 
 
+def planes_sql(width: int, tables: int, bits: int, seed: int) -> str:
+    """The hyperplanes of the approximate search as a list of lists."""
+    rows = ("[" + ",".join(map(repr, row)) + "]" for row in hyperplanes(width, tables, bits, seed).tolist())
+    return "CAST([" + ",".join(rows) + "] AS DOUBLE[][])"
+
+
 def sql(body: str) -> str:
     """The views followed by ``body``, whose own WITH list continues theirs."""
     body = body.strip()

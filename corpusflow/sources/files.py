@@ -14,11 +14,9 @@ from corpusflow.functions import text as tx
 
 def _from_path(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
-    # The path is percent-encoded like any URI; a plus sign stands for itself.
-    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     return files.select(
-        plain(F.element_at(parts, -2)).alias("knowledge_base_id"),
-        plain(F.element_at(parts, -1)).alias("file_name"),
+        F.element_at(parts, -2).alias("knowledge_base_id"),
+        F.element_at(parts, -1).alias("file_name"),
         F.col("path").alias("file_path"), "modificationTime", "length", "content")
 
 

@@ -34,7 +34,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
 
     def each(files: DataFrame, batch: int) -> None:
         documents = to_documents(files)
-        statuses = processing.process_to(documents, f"{out}/work/batch={batch}", encoder, strategy)
+        statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy)
         final = statuses.drop("knowledge_base_id")
         head = documents.drop("content", "status", "progress", "error_message", "chunk_count", "processed_at")
         (head.join(final, "document_id").withColumn("processed_at", F.current_timestamp())
@@ -48,8 +48,8 @@ def ingested_documents(spark: SparkSession, out: str) -> DataFrame:
 
 
 def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
-    return (spark.read.option("basePath", f"{out}/work").parquet(f"{out}/work/batch=*/chunks")
-            .drop("batch"))
+    rows = spark.read.option("basePath", f"{out}/chunks").parquet(f"{out}/chunks").drop("batch")
+    return processing.usable_chunks(rows.withColumn("knowledge_base_id", F.col("knowledge_base_id").cast("string")))
 
 
 def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
