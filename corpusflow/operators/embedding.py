@@ -7,18 +7,25 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import clean_for_embedding
 
-# An encoder maps a list of texts to one vector per text.  The factory is
-# called once per task, where it may load a model.
-Encoder = Callable[[list[str]], Sequence]
+# An encoder maps an Arrow array of texts, without nulls, to one vector per
+# text: a sequence of vectors, a 2-D array or an Arrow list array.  The factory
+# is called once per task, where it may load a model.
+Encoder = Callable[[pa.Array], Sequence | np.ndarray | pa.Array]
 EncoderFactory = Callable[[], Encoder]
 
 
+def _lists(values: np.ndarray, widths: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum(widths))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values, pa.float32()))
+
+
 def hashing_encoder(width: int = 64, normalise: bool = True) -> EncoderFactory:
     """Token counts hashed into ``width`` places, for use without a model.
 
@@ -38,40 +45,47 @@ def hashing_encoder(width: int = 64, normalise: bool = True) -> EncoderFactory:
                 found = places[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % width
             return found
 
-        def encode(texts: list[str]) -> list[np.ndarray]:
-            rows, columns = [], []
-            for i, text in enumerate(texts):
-                tokens = [t for t in text.lower().split(" ") if t]
-                rows.extend([i] * len(tokens))
-                columns.extend(map(place, tokens))
-            cells = np.asarray(rows, dtype=np.int64) * width + np.asarray(columns, dtype=np.int64)
+        def encode(texts: pa.Array) -> pa.Array:
+            split = pc.split_pattern(pc.utf8_lower(texts), " ")
+            tokens, owner = split.flatten(), pc.list_parent_indices(split).to_numpy()
+            real = pc.not_equal(tokens, "").to_numpy(zero_copy_only=False)
+            coded = tokens.dictionary_encode()
+            # Each distinct token of the batch is hashed once.
+            place_of = np.fromiter(map(place, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            cells = (owner * width + place_of[coded.indices.to_numpy()])[real]
             counts = np.bincount(cells, minlength=len(texts) * width).reshape(len(texts), width)
-            counts = counts.astype(np.float64)
-            if normalise:
-                norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-                counts = np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
             found = counts.any(axis=1)
-            return [v if ok else v[:0] for v, ok in zip(counts.astype(np.float32), found)]
+            counts = counts[found].astype(np.float64)
+            if normalise:
+                counts /= np.sqrt(np.einsum("ij,ij->i", counts, counts))[:, None]
+            return _lists(counts.ravel(), found * width)
 
         return encode
 
     return factory
 
 
-def _safely(encode: Encoder, texts: list[str]) -> list[np.ndarray]:
+def _encoded(encode: Encoder, texts: pa.Array) -> pa.ListArray:
+    vectors = encode(texts)
+    if not isinstance(vectors, pa.Array):
+        vectors = [np.asarray(v, dtype=np.float32).ravel() for v in vectors]
+        widths = np.fromiter(map(len, vectors), np.int64, len(vectors))
+        vectors = _lists(np.concatenate(vectors) if len(vectors) else np.empty(0), widths)
+    if len(vectors) != len(texts):
+        raise ValueError("the encoder must give one vector per text")
+    return vectors
+
+
+def _safely(encode: Encoder, texts: pa.Array) -> pa.ListArray:
     """One vector per text; a text the encoder fails on gets an empty one."""
-    empty = np.empty(0, dtype=np.float32)
     try:
-        vectors = [np.asarray(v, dtype=np.float32).ravel() for v in encode(texts)]
-        if len(vectors) != len(texts):
-            raise ValueError("the encoder must give one vector per text")
-        return vectors
+        return _encoded(encode, texts)
     except Exception:
         if len(texts) <= 1:
-            return [empty] * len(texts)
+            return _lists(np.empty(0), np.zeros(len(texts), np.int64))
         # Halve until only the failing texts stand alone.
         middle = len(texts) // 2
-        return _safely(encode, texts[:middle]) + _safely(encode, texts[middle:])
+        return pa.concat_arrays([_safely(encode, texts[:middle]), _safely(encode, texts[middle:])])
 
 
 def embed(df: DataFrame, encoder: EncoderFactory, text: str = "content", out: str = "embedding",
@@ -84,16 +98,13 @@ def embed(df: DataFrame, encoder: EncoderFactory, text: str = "content", out: st
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder()
-        for column in batches:
-            texts = column.to_pylist()
-            given = [i for i, t in enumerate(texts) if t is not None]
-            vectors: list[np.ndarray] = [np.empty(0, dtype=np.float32)] * len(texts)
-            for i, vector in zip(given, _safely(encode, [texts[i] for i in given])):
-                vectors[i] = vector
-            widths = np.fromiter((len(v) for v in vectors), dtype=np.int32, count=len(vectors))
-            offsets = np.concatenate(([0], np.cumsum(widths))).astype(np.int32)
-            flat = np.concatenate(vectors) if vectors else np.empty(0, dtype=np.float32)
-            yield pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float32()))
+        for texts in batches:
+            vectors = _safely(encode, texts.drop_null())
+            if texts.null_count:
+                widths = np.zeros(len(texts), np.int64)
+                widths[texts.is_valid().to_numpy(zero_copy_only=False)] = vectors.value_lengths().to_numpy()
+                vectors = _lists(vectors.flatten().to_numpy(), widths)
+            yield vectors
 
     model = F.arrow_udf(run, T.ArrayType(T.FloatType())).asNondeterministic()
     source = clean_for_embedding(F.col(text)) if clean else F.col(text)

@@ -10,13 +10,35 @@ from corpusflow.functions import text as tx
 from corpusflow.session import broadcast_if_small
 
 
-def build_context(hits: DataFrame) -> DataFrame:
-    """One context per question from its ranked hits (query_id, rank, content)."""
+def _items(hits: DataFrame) -> DataFrame:
     item = F.concat(F.lit(K.CONTEXT_ITEM_OPEN), F.col("rank").cast("string"),
                     F.lit(K.CONTEXT_ITEM_CLOSE), F.col("content"), F.lit(K.CONTEXT_ITEM_END))
+    return hits.withColumn("item", item)
+
+
+def _context() -> Column:
     body = F.expr("listagg(item, '') WITHIN GROUP (ORDER BY rank)")
-    return (hits.select("query_id", "rank", item.alias("item"))
-            .groupBy("query_id").agg(F.concat(F.lit(K.CONTEXT_HEAD), body).alias("context")))
+    return F.concat(F.lit(K.CONTEXT_HEAD), body).alias("context")
+
+
+def _sources() -> Column:
+    entry = F.struct("rank", tx.chunk_key(F.col("document_id"), F.col("chunk_index")).alias("source"), "score")
+    return F.array_sort(F.collect_list(entry)).alias("sources")
+
+
+def build_context(hits: DataFrame) -> DataFrame:
+    """One context per question from its ranked hits (query_id, rank, content)."""
+    return _items(hits).groupBy("query_id").agg(_context())
+
+
+def sources(hits: DataFrame) -> DataFrame:
+    """Per question the ordered list of its sources; at most k entries each."""
+    return hits.groupBy("query_id").agg(_sources())
+
+
+def context_and_sources(hits: DataFrame) -> DataFrame:
+    """Both in one aggregation, so that the retrieval behind them runs once."""
+    return _items(hits).groupBy("query_id").agg(_context(), _sources())
 
 
 def prompt_text(context: Column, message: Column, history: Column | None = None) -> Column:
@@ -81,9 +103,3 @@ def classify_answer(answer: Column, error: Column) -> Column:
     silent = answer.isNull() | (answer == "")
     return (F.when(error.isNotNull(), failed)
             .when(silent, F.lit(K.ANSWER_NO_BALANCE)).otherwise(answer))
-
-
-def sources(hits: DataFrame) -> DataFrame:
-    """Per question the ordered list of its sources; at most k entries each."""
-    entry = F.struct("rank", tx.chunk_key(F.col("document_id"), F.col("chunk_index")).alias("source"), "score")
-    return hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("sources"))

@@ -34,6 +34,7 @@ METRICS = ("cosine", "l2")
 # between equal vectors.
 SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
+GATHER_BYTES = 16 * 1024 * 1024  # vectors scored together inside a task
 TILE_BYTES = 32 * 1024 * 1024  # vectors or questions of one block of the grid
 
 
@@ -53,16 +54,14 @@ def _plain(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
-def _by_value(values: np.ndarray) -> Iterator[tuple[object, np.ndarray]]:
-    """Distinct values with the row numbers that hold them."""
-    distinct, codes = np.unique(values, return_inverse=True)
-    if len(distinct) == 1:
-        yield distinct[0], np.arange(len(values))
-        return
-    order = np.argsort(codes, kind="stable")
-    ends = np.cumsum(np.bincount(codes, minlength=len(distinct)))
-    for value, rows in zip(distinct, np.split(order, ends[:-1])):
-        yield value, rows
+def _by_value(values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distinct whole numbers from 0 with the row numbers that hold them."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    borders = np.flatnonzero(np.diff(ordered)) + 1
+    for rows in np.split(order, borders):
+        if len(rows) and values[rows[0]] >= 0:
+            yield int(values[rows[0]]), rows
 
 
 def _matrix(flat, starts, rows, width) -> np.ndarray:
@@ -79,46 +78,116 @@ def _unit(block: np.ndarray) -> np.ndarray:
     return np.divide(block, norms[:, None], out=np.zeros_like(block), where=norms[:, None] > 0)
 
 
+class _Buckets:
+    """Numbers the group of a row: its scope and, for the approximate form, its bucket.
+
+    A grouping is one array of numbers; the approximate form has one per hash
+    table.  Rows of a scope no question has get -1 and are passed over.
+    """
+
+    def __init__(self, scope: str | None, planes: np.ndarray | None = None, tables: int = 1):
+        self.scope, self.planes, self.tables = scope, planes, tables
+        self.known: dict[object, int] = {}
+
+    def learn(self, table: pa.Table) -> None:
+        if self.scope:
+            self.known = {v: n for n, v in enumerate(table[self.scope].unique().to_pylist()) if v is not None}
+
+    def _scopes(self, batch) -> np.ndarray:
+        if not self.scope:
+            return np.zeros(batch.num_rows, dtype=np.int64)
+        column = batch[self.scope]
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        coded = column.dictionary_encode()
+        numbers = np.array([self.known.get(v, -1) for v in coded.dictionary.to_pylist()] + [-1], dtype=np.int64)
+        return numbers[coded.indices.fill_null(len(numbers) - 1).to_numpy(zero_copy_only=False)]
+
+    def groupings(self, batch, flat, starts, widths) -> Iterator[np.ndarray]:
+        scopes = self._scopes(batch)
+        if self.planes is None:
+            yield scopes
+            return
+        bits = len(self.planes) // self.tables
+        codes = _sign_codes(flat, starts, widths, self.planes, self.tables)
+        for code in codes.T:
+            # One place more than there are signs, for vectors of another width.
+            yield np.where(scopes < 0, -1, scopes * ((1 << bits) + 1) + code + 1)
+
+
+def _sign_codes(flat, starts, widths, planes: np.ndarray, tables: int) -> np.ndarray:
+    """Bucket per row and hash table; -1 for vectors of another width than the planes."""
+    bits, width = len(planes) // tables, planes.shape[1]
+    codes = np.full((len(widths), tables), -1, dtype=np.int64)
+    fit = np.flatnonzero(widths == width)
+    if len(fit):
+        signs = _matrix(flat, starts, fit, width) @ planes.T > 0
+        codes[fit] = signs.reshape(len(fit), tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+    return codes
+
+
 class _Questions:
     """A block of questions, grouped, with unit vectors or squared norms ready."""
 
-    def __init__(self, table: pa.Table, group: str | None, metric: str):
-        self.ids = _plain(table["query_id"])
+    def __init__(self, table: pa.Table, buckets: _Buckets, metric: str):
+        self.ids, self.buckets, self.metric = _plain(table["query_id"]), buckets, metric
         flat, starts, widths = _vectors(table["embedding"])
-        groups = _plain(table[group]) if group else np.zeros(len(self.ids), dtype=np.int8)
-        self.metric = metric
-        self.parts: dict[object, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for value, rows in _by_value(groups):
-            by_width = self.parts.setdefault(value, {})
-            for width, at in _by_value(widths[rows]):
-                block = _matrix(flat, starts, rows[at], int(width))
-                if metric == "cosine":
-                    block = _unit(block)
-                by_width[int(width)] = (rows[at], block, np.einsum("ij,ij->i", block, block))
+        buckets.learn(table)
+        # Per grouping: group -> width -> (questions, vectors, squared norms)
+        self.parts: list[dict[int, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
+        for groups in buckets.groupings(table, flat, starts, widths):
+            parts: dict = {}
+            for group, rows in _by_value(groups):
+                by_width = parts.setdefault(group, {})
+                for width, at in _by_value(widths[rows]):
+                    block = _matrix(flat, starts, rows[at], width)
+                    if metric == "cosine":
+                        block = _unit(block)
+                    by_width[width] = (rows[at], block, np.einsum("ij,ij->i", block, block))
+            self.parts.append(parts)
 
 
 class _Best:
-    """Running k best per question."""
+    """Running k best per question.
+
+    Candidates wait until there are as many as are held already, so merging
+    costs little however many small blocks are scored.
+    """
 
     def __init__(self, questions: int, k: int):
         self.k = k
         self.bound = np.full(questions, -np.inf)
         self.held: list[np.ndarray] | None = None
+        self.waiting: list[list[np.ndarray]] = []
+        self.count = 0
 
     def add(self, question, document, position, score) -> None:
-        found = [question, np.asarray(document), np.asarray(position), score]
-        if self.held is not None:
-            found = [np.concatenate(pair) for pair in zip(self.held, found)]
-        question, document, position, score = found
+        self.waiting.append([question, document, position, score])
+        self.count += len(question)
+        if self.count > max(50_000, 0 if self.held is None else len(self.held[0])):
+            self.merge()
+
+    def merge(self) -> None:
+        if not self.waiting:
+            return
+        parts = self.waiting if self.held is None else [self.held, *self.waiting]
+        merged = [np.concatenate(columns) for columns in zip(*parts)]
+        question, document, position, score = merged
+        self.waiting, self.count = [], 0
         documents = np.unique(document, return_inverse=True)[1] if document.dtype == object else document
         order = np.lexsort((position, documents, -score, question))
+        # A pair met in several groupings counts once.
+        same = np.ones(len(order), dtype=bool)
+        for column in (question, documents, position):
+            same[1:] &= column[order[1:]] == column[order[:-1]]
+        same[:1] = False
+        order = order[~same]
         question = question[order]
-        first = np.searchsorted(question, question, side="left")
-        place = np.arange(len(question)) - first
+        place = np.arange(len(question)) - np.searchsorted(question, question, side="left")
         keep = order[place < self.k]
-        self.held = [column[keep] for column in found]
-        full = question[place == self.k - 1]
-        self.bound[full] = score[order[place == self.k - 1]]
+        full = place == self.k - 1
+        self.bound[question[full]] = score[order[full]]
+        self.held = [column[keep] for column in merged]
 
 
 def _offer(best: _Best, asked: np.ndarray, scores: np.ndarray, document, position) -> None:
@@ -135,41 +204,60 @@ def _offer(best: _Best, asked: np.ndarray, scores: np.ndarray, document, positio
                  np.round(scores[rows, columns], SCORE_DECIMALS))
 
 
-def _score_batch(best: _Best, questions: _Questions, batch, group: str | None) -> None:
+def _score_block(best: _Best, metric: str, wanted, flat, starts, rows, width, documents, positions) -> None:
+    """Score rows of one group and width against the questions of that group."""
+    for asked_width, (asked, block, norm2) in wanted.items():
+        if asked_width != width and metric != "cosine":
+            continue
+        step = max(1, SCORE_CELLS // len(asked))
+        for begin in range(0, len(rows), step):
+            part = rows[begin:begin + step]
+            if asked_width != width:
+                scores = np.zeros((len(asked), len(part)))
+            else:
+                vectors = _matrix(flat, starts, part, width)
+                if metric == "cosine":
+                    scores = block @ _unit(vectors).T
+                else:
+                    own = np.einsum("ij,ij->i", vectors, vectors)
+                    distance = norm2[:, None] + own[None, :] - 2.0 * (block @ vectors.T)
+                    scores = 1.0 / (1.0 + np.maximum(distance, 0.0))
+            _offer(best, asked, scores, documents[part], positions[part])
+
+
+def _score_batch(best: _Best, questions: _Questions, batch) -> None:
     documents, positions = _plain(batch["document_id"]), _plain(batch["chunk_index"])
     flat, starts, widths = _vectors(batch["embedding"])
-    groups = _plain(batch[group]) if group else np.zeros(len(documents), dtype=np.int8)
-    for value, members in _by_value(groups):
-        wanted = questions.parts.get(value)
-        if not wanted:
-            continue
-        for width, at in _by_value(widths[members]):
-            rows = members[at]
-            for asked_width, (asked, block, norm2) in wanted.items():
-                step = max(1, SCORE_CELLS // len(asked))
-                for begin in range(0, len(rows), step):
-                    part = rows[begin:begin + step]
-                    if asked_width == width:
-                        vectors = _matrix(flat, starts, part, int(width))
-                        if questions.metric == "cosine":
-                            scores = block @ _unit(vectors).T
-                        else:
-                            own = np.einsum("ij,ij->i", vectors, vectors)
-                            distance = norm2[:, None] + own[None, :] - 2.0 * (block @ vectors.T)
-                            scores = 1.0 / (1.0 + np.maximum(distance, 0.0))
-                    elif questions.metric == "cosine":
-                        scores = np.zeros((len(asked), len(part)))
-                    else:
-                        continue
-                    _offer(best, asked, scores, documents[part], positions[part])
-
-
-def _top_of(questions: _Questions, batches: Iterable, k: int, group: str | None,
-            schema: pa.Schema) -> pa.Table:
-    best = _Best(len(questions.ids), k)
+    groupings = questions.buckets.groupings(batch, flat, starts, widths)
+    for parts, groups in zip(questions.parts, groupings):
+        for group, members in _by_value(groups):
+            wanted = parts.get(group)
+            if wanted:
+                for width, at in _by_value(widths[members]):
+                    _score_block(best, questions.metric, wanted, flat, starts, members[at], width,
+                                 documents, positions)
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to larger ones, so that small groups are scored less often."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= GATHER_BYTES:
+            yield pa.concat_batches(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def _top_of(questions: _Questions, batches: Iterable, k: int, schema: pa.Schema) -> pa.Table:
+    best = _Best(len(questions.ids), k)
+    for batch in _gathered(batches):
         if batch.num_rows:
-            _score_batch(best, questions, batch, group)
+            _score_batch(best, questions, batch)
+    best.merge()
     if best.held is None:
         return schema.empty_table()
     question, document, position, score = best.held
@@ -192,15 +280,15 @@ def _result_schema(vectors: DataFrame, questions: DataFrame) -> T.StructType:
     ])
 
 
-def _scan_candidates(vectors, questions, k, metric, group, schema) -> DataFrame:
+def _scan_candidates(vectors, questions, k, metric, buckets: _Buckets, schema) -> DataFrame:
     """Questions on every executor, vectors scored in place."""
     spark = vectors.sparkSession
     arrow = to_arrow_schema(schema)
     sent = spark.sparkContext.broadcast(questions.toArrow())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = _Questions(sent.value, group, metric)
-        yield from _top_of(prepared, batches, k, group, arrow).to_batches()
+        prepared = _Questions(sent.value, buckets, metric)
+        yield from _top_of(prepared, batches, k, arrow).to_batches()
 
     return vectors.mapInArrow(score, schema)
 
@@ -251,7 +339,7 @@ def _grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes) ->
     def meet(block: pa.Table, asked: pa.Table) -> pa.Table:
         if not block.num_rows or not asked.num_rows:
             return arrow.empty_table()
-        return _top_of(_Questions(asked, None, metric), block.to_batches(), k, None, arrow)
+        return _top_of(_Questions(asked, _Buckets(None), metric), block.to_batches(), k, arrow)
 
     by = [*keys, "_tile", "_block"]
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, schema)
@@ -262,6 +350,18 @@ def _final(candidates: DataFrame, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _prepared(vectors, questions, k, metric, within):
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    scope = [within] if within else []
+    usable = F.size("embedding") > 0
+    vectors = vectors.where(usable).select(*scope, "document_id", "chunk_index", "embedding")
+    questions = questions.where(usable).select(*scope, "query_id", "embedding")
+    return vectors, questions, scope, _result_schema(vectors, questions)
+
+
 def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: str = "cosine",
           within: str | None = None, question_bytes: int = BROADCAST_BYTES,
           tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -273,19 +373,10 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: st
     position.  Vectors of size 0 take no part; a question without vector gets
     no rows.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    scope = [within] if within else []
-    usable = F.size("embedding") > 0
-    vectors = vectors.where(usable).select(*scope, "document_id", "chunk_index", "embedding")
-    questions = questions.where(usable).select(*scope, "query_id", "embedding")
-    schema = _result_schema(vectors, questions)
-    _, size = table_size(questions)
-    if size <= question_bytes:
-        return _final(_scan_candidates(vectors, questions, k, metric, within, schema), k)
-    if not within:
+    vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
+    if table_size(questions)[1] <= question_bytes:
+        return _final(_scan_candidates(vectors, questions, k, metric, _Buckets(within), schema), k)
+    if not scope:
         vectors, questions = (d.withColumn("_all", F.lit(0)) for d in (vectors, questions))
     keys = scope or ["_all"]
     return _final(_grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes), k)
@@ -297,22 +388,14 @@ def hyperplanes(width: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables * bits, width))
 
 
-def hyperplane_buckets(df: DataFrame, width: int, tables: int, bits: int, seed: int) -> DataFrame:
+def _with_buckets(df: DataFrame, planes: np.ndarray, tables: int) -> DataFrame:
     """Rows once per hash table, with ``_table`` and the bucket of signs ``_bucket``.
 
     Vectors of another width get bucket -1, where only each other is met.
     """
-    planes = hyperplanes(width, tables, bits, seed)
-    weights = 1 << np.arange(bits, dtype=np.int64)
-
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            flat, starts, widths = _vectors(column)
-            codes = np.full((len(widths), tables), -1, dtype=np.int64)
-            fit = np.flatnonzero(widths == width)
-            if len(fit):
-                signs = _matrix(flat, starts, fit, width) @ planes.T > 0
-                codes[fit] = signs.reshape(len(fit), tables, bits) @ weights
+            codes = _sign_codes(*_vectors(column), planes, tables)
             offsets = np.arange(0, codes.size + 1, tables, dtype=np.int32)
             yield pa.ListArray.from_arrays(offsets, codes.ravel())
 
@@ -323,21 +406,22 @@ def hyperplane_buckets(df: DataFrame, width: int, tables: int, bits: int, seed:
 
 def top_k_lsh(vectors: DataFrame, questions: DataFrame, width: int, k: int = K.TOP_K,
               metric: str = "cosine", within: str | None = None, tables: int = 12, bits: int = 4,
-              seed: int = 7, tile_bytes: int = TILE_BYTES) -> DataFrame:
+              seed: int = 7, question_bytes: int = BROADCAST_BYTES,
+              tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Approximate :func:`top_k`: only vectors sharing a bucket are scored.
 
     Scores of the hits are exact; a neighbour that shares no bucket is missed.
-    More tables raise recall, more bits make buckets smaller.  A bucket of any
-    size is cut into blocks like any other group, so hot buckets spread.
+    More tables raise recall, more bits make buckets smaller.  The physical
+    forms are those of the exact search: few questions are sent to the vectors,
+    which are then hashed and scored where they are read; otherwise a bucket of
+    any size is cut into blocks, so hot buckets spread.
     """
-    if metric not in METRICS:
-        raise ValueError(f"metric must be one of {METRICS}")
-    scope = [within] if within else []
-    usable = F.size("embedding") > 0
-    vectors = vectors.where(usable).select(*scope, "document_id", "chunk_index", "embedding")
-    questions = questions.where(usable).select(*scope, "query_id", "embedding")
-    schema = _result_schema(vectors, questions)
-    left, right = (hyperplane_buckets(d, width, tables, bits, seed) for d in (vectors, questions))
+    vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
+    planes = hyperplanes(width, tables, bits, seed)
+    if table_size(questions)[1] <= question_bytes:
+        buckets = _Buckets(within, planes, tables)
+        return _final(_scan_candidates(vectors, questions, k, metric, buckets, schema), k)
+    left, right = (_with_buckets(d, planes, tables) for d in (vectors, questions))
     keys = [*scope, "_table", "_bucket"]
     found = _grid_candidates(left, right, k, metric, keys, schema, tile_bytes)
     # One shuffle by question serves both the removal of repeats and the window.

@@ -26,7 +26,7 @@ def answer_questions(documents: DataFrame, chunks: DataFrame, questions: DataFra
     is not given to the model.
     """
     hits = hits_with_content(documents, chunks, questions, k, metric, scope)
-    per_question = prompting.build_context(hits).join(prompting.sources(hits), "query_id")
+    per_question = prompting.context_and_sources(hits)
     guarded = prompting.guard_answers(questions.drop("embedding"), documents)
     asked = guarded.join(per_question, "query_id", "left")
     ready = F.col("ready") & F.col("context").isNotNull()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as tx
 from corpusflow.operators.chunking import chunk_documents, fixed_chunks
 from corpusflow.operators.embedding import embed, hashing_encoder
+from corpusflow.session import spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,12 +33,16 @@ def knowledge_base(spark, folder) -> DataFrame:
 
 def document(spark, folder) -> DataFrame:
     """document_id, knowledge_base_id, file_name, file_type, status, text."""
+    return _document(spark, folder, table(spark, folder, "documents"))
+
+
+def _document(spark, folder, texts) -> DataFrame:
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
     status = (F.when(F.col("quality") == 0, "FAILED")
               .when(F.col("quality").isNull() & (F.col("doc_id") % 10 == 0), "EMBEDDING")
               .otherwise("COMPLETED"))
-    return (table(spark, folder, "documents").join(labels, "doc_id", "left")
+    return (texts.join(labels, "doc_id", "left")
             .select(F.col("doc_id").alias("document_id"), F.col("source").alias("knowledge_base_id"),
                     name.alias("file_name"), tx.file_type(name).alias("file_type"),
                     status.alias("status"), "text"))
@@ -46,12 +51,13 @@ def document(spark, folder) -> DataFrame:
 def extracted(spark, folder) -> DataFrame:
     """Documents as text extraction leaves them: nothing but white space for failed ones."""
     blank = F.lit("\t \n\x01")
-    return document(spark, folder).withColumn(
+    documents = _document(spark, folder, spread(table(spark, folder, "documents"), "doc_id"))
+    return documents.withColumn(
         "text", F.when(F.col("status") == "FAILED", blank).otherwise(F.col("text")))
 
 
 def source_text(spark, folder) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("knowledge_base_id"), "text")
 
 

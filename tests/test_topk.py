@@ -72,14 +72,15 @@ def test_small_score_blocks(tables, monkeypatch):
     assert collected(top_k(vdf, qdf, 2)) == expected(vectors, questions, 2, "cosine", False)
 
 
-def test_lsh_scores_are_exact_and_recall_is_high(spark):
+@pytest.mark.parametrize("limits", [{}, {"question_bytes": 0, "tile_bytes": 2000}])
+def test_lsh_scores_are_exact_and_recall_is_high(spark, limits):
     random = np.random.default_rng(3)
     centres = random.standard_normal((20, 16))
     points = [(f"d{i:03d}", 0, (centres[i % 20] + 0.1 * random.standard_normal(16)).tolist()) for i in range(400)]
     vdf = spark.createDataFrame(points, "document_id string, chunk_index int, embedding array<float>")
     qdf = spark.createDataFrame([(i, points[i][2]) for i in range(40)], "query_id int, embedding array<float>")
     exact = collected(top_k(vdf, qdf, 3))
-    near = collected(top_k_lsh(vdf, qdf, 16, 3, tables=8, bits=4, tile_bytes=2000))
+    near = collected(top_k_lsh(vdf, qdf, 16, 3, tables=8, bits=4, **limits))
     score = {row[:3]: row[4] for row in exact}
     shared = [row for row in near if row[:3] in score]
     assert len(shared) >= 0.9 * len(exact)
@@ -87,6 +88,23 @@ def test_lsh_scores_are_exact_and_recall_is_high(spark):
     assert len({row[:3] for row in near}) == len(near)
 
 
+@pytest.mark.parametrize("within", [None, "kb"])
+def test_lsh_forms_agree(tables, within):
+    _, _, vdf, qdf = tables
+    sent = collected(top_k_lsh(vdf, qdf, 8, 3, within=within, tables=3, bits=3))
+    grid = collected(top_k_lsh(vdf, qdf, 8, 3, within=within, tables=3, bits=3, question_bytes=0, tile_bytes=1500))
+    assert sent == grid and sent
+
+
+def test_lsh_with_no_bits_is_the_exact_search(tables):
+    vectors, questions, vdf, qdf = tables
+    same_width = [v for v in vectors if len(v[2]) == 8]
+    asked = [q for q in questions if len(q[2]) == 8]
+    near = collected(top_k_lsh(vdf.where("size(embedding) = 8"), qdf.where("size(embedding) = 8"), 8, 4,
+                               within="kb", tables=2, bits=0))
+    assert near == expected(same_width, asked, 4, "cosine", True)
+
+
 def test_parameters_are_checked(tables):
     _, _, vdf, qdf = tables
     with pytest.raises(ValueError):
