@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
@@ -71,6 +71,23 @@ def validate_new_kbs(requests: DataFrame, knowledge_bases: DataFrame) -> DataFra
             .withColumn("reason", reason).drop("_fresh"))
 
 
+def create_kbs(requests: DataFrame, knowledge_bases: DataFrame, now: Column | None = None) -> DataFrame:
+    """Rows of the knowledge bases that may be created from (request_id, name, description)."""
+    now = F.current_timestamp() if now is None else now
+    return validate_new_kbs(requests, knowledge_bases).where("reason IS NULL").select(
+        tx.stable_id(F.col("name")).alias("id"), "name", "description",
+        now.alias("created_at"), now.alias("updated_at"))
+
+
+def update_kbs(knowledge_bases: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
+    """Knowledge bases with name and description of ``changes`` (id, name, description) put in."""
+    now = F.current_timestamp() if now is None else now
+    kept = knowledge_bases.select("id", *[c for c in knowledge_bases.columns
+                                          if c not in ("id", "name", "description", "updated_at")])
+    changed = changes.join(kept, "id").withColumn("updated_at", now)
+    return upsert(knowledge_bases, changed, ["id"])
+
+
 def validate_uploads(uploads: DataFrame, knowledge_bases: DataFrame, documents: DataFrame) -> DataFrame:
     """Uploads (upload_id, knowledge_base_id, file_name, …) with file_type and ``reason``.
 

@@ -29,16 +29,15 @@ def kb_chunks(documents: DataFrame, chunks: DataFrame, limit: int = BROADCAST_BY
     the documents among them that are not completed.  The second list costs a
     shuffle of ids only.
     """
+    stored = "knowledge_base_id" in chunks.columns
+    on = ["document_id", "knowledge_base_id"] if stored else ["document_id"]
     keys = completed(documents).select("document_id", "knowledge_base_id")
-    own = [c for c in chunks.columns if c != "knowledge_base_id"]
     if table_size(keys)[1] <= limit:
-        return chunks.select(*own).join(F.broadcast(keys), "document_id")
-    if "knowledge_base_id" not in chunks.columns:
-        return chunks.join(keys, "document_id")
-    on = ["document_id", "knowledge_base_id"]
+        return chunks.join(F.broadcast(keys), on)
+    if not stored:
+        return chunks.join(keys, on)
     others = chunks.select(*on).distinct().join(keys, on, "left_anti")
-    kept = chunks.join(broadcast_if_small(others, limit), on, "left_anti")
-    return kept.select("document_id", *[c for c in own if c != "document_id"], "knowledge_base_id")
+    return chunks.join(broadcast_if_small(others, limit), on, "left_anti")
 
 
 def score_chunks(chunks: DataFrame, question: Sequence[float], metric: str = "cosine") -> DataFrame:

@@ -34,6 +34,7 @@ METRICS = ("cosine", "l2")
 # between equal vectors.
 SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
+LISTED_SCOPES = 1000  # scopes written out as a filter
 GATHER_BYTES = 16 * 1024 * 1024  # vectors scored together inside a task
 TILE_BYTES = 32 * 1024 * 1024  # vectors or questions of one block of the grid
 
@@ -164,7 +165,7 @@ class _Best:
     def add(self, question, document, position, score) -> None:
         self.waiting.append([question, document, position, score])
         self.count += len(question)
-        if self.count > max(50_000, 0 if self.held is None else len(self.held[0])):
+        if self.held is None or self.count > max(50_000, len(self.held[0])):
             self.merge()
 
     def merge(self) -> None:
@@ -192,13 +193,15 @@ class _Best:
 
 def _offer(best: _Best, asked: np.ndarray, scores: np.ndarray, document, position) -> None:
     """Pass on the cells that can still be among the k best of their question."""
-    bound = best.bound[asked]
+    # The margin covers the rounding below; ties at the bound are all kept.
+    margin = 10.0 ** -SCORE_DECIMALS
+    near = scores >= (best.bound[asked] - margin)[:, None]
     cells = scores.shape[1]
-    if cells > best.k:
+    if cells > best.k and np.count_nonzero(near) > 8 * best.k * len(asked):
+        # The block itself gives a better bound: its own k-th best.
         kth = np.partition(scores, cells - best.k, axis=1)[:, cells - best.k]
-        bound = np.maximum(bound, kth)
-    # The margin covers the rounding below; ties at the bound are all kept.
-    rows, columns = np.nonzero(scores >= (bound - 10.0 ** -SCORE_DECIMALS)[:, None])
+        near &= scores >= (kth - margin)[:, None]
+    rows, columns = np.nonzero(near)
     if len(rows):
         best.add(asked[rows], document[columns], position[columns],
                  np.round(scores[rows, columns], SCORE_DECIMALS))
@@ -281,10 +284,18 @@ def _result_schema(vectors: DataFrame, questions: DataFrame) -> T.StructType:
 
 
 def _scan_candidates(vectors, questions, k, metric, buckets: _Buckets, schema) -> DataFrame:
-    """Questions on every executor, vectors scored in place."""
-    spark = vectors.sparkSession
+    """Questions on every executor, vectors scored in place.
+
+    The scopes that are asked for become a filter of the vectors, which prunes
+    partitions and row groups of a table kept by scope.
+    """
+    asked = questions.toArrow()
+    if buckets.scope:
+        scopes = [v for v in asked[buckets.scope].unique().to_pylist() if v is not None]
+        if len(scopes) <= LISTED_SCOPES:
+            vectors = vectors.where(F.col(buckets.scope).isin(scopes))
     arrow = to_arrow_schema(schema)
-    sent = spark.sparkContext.broadcast(questions.toArrow())
+    sent = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = _Questions(sent.value, buckets, metric)

@@ -338,19 +338,20 @@ def delete_document_chunks(spark, d):
     return chunks.select(tx.chunk_key(F.col("document_id"), F.col("chunk_index")).alias("id"))
 
 
-# Knowledge bases whose number is a multiple of three.
-LISTED = "CAST(substr({}, 4) AS INT) % 3 = 0"
+# Knowledge bases that still have documents in progress.
+BUSY = "{} IN (SELECT knowledge_base_id FROM doc WHERE status = 'EMBEDDING')"
 
 
-@query(f"""SELECT 'kb' AS kind, id FROM kb WHERE NOT {LISTED.format('id')}
-       UNION ALL SELECT 'document', CAST(document_id AS VARCHAR) FROM doc WHERE NOT {LISTED.format('knowledge_base_id')}
+@query(f"""SELECT 'kb' AS kind, id FROM kb WHERE NOT {BUSY.format('id')}
+       UNION ALL SELECT 'document', CAST(document_id AS VARCHAR) FROM doc WHERE NOT {BUSY.format('knowledge_base_id')}
        UNION ALL SELECT 'chunk', vec.document_id || '_' || chunk_index FROM vec JOIN doc ON doc.document_id = vec.document_id
-                 WHERE NOT {LISTED.format('knowledge_base_id')}
-       UNION ALL SELECT 'message', id FROM chat_history WHERE NOT {LISTED.format('knowledge_base_id')}""")
+                 WHERE NOT {BUSY.format('knowledge_base_id')}
+       UNION ALL SELECT 'message', id FROM chat_history WHERE NOT {BUSY.format('knowledge_base_id')}""")
 def delete_kb_cascade(spark, d):
-    kbs = vw.knowledge_base(spark, d)
-    listed = kbs.where("cast(substring(id, 4) as int) % 3 = 0")
-    left = catalog.delete_kbs(kbs, vw.document(spark, d), vw.chunk_vector(spark, d), vw.chat_history(spark, d), listed)
+    documents = vw.document(spark, d)
+    listed = prompting.readiness(documents).where("has_processing").select(F.col("knowledge_base_id").alias("id"))
+    left = catalog.delete_kbs(vw.knowledge_base(spark, d), documents, vw.chunk_vector(spark, d),
+                              vw.chat_history(spark, d), listed)
     ids = (F.col("id"), F.col("document_id").cast("string"),
            tx.chunk_key(F.col("document_id"), F.col("chunk_index")), F.col("id"))
     parts = [df.select(F.lit(kind).alias("kind"), key.alias("id"))
@@ -429,10 +430,9 @@ def build_context(spark, d):
 
 
 @query("""SELECT kb.id, count(doc.document_id) AS document_count FROM kb LEFT JOIN doc
-       ON doc.knowledge_base_id = kb.id AND doc.status = 'FAILED' GROUP BY kb.id""")
+       ON doc.knowledge_base_id = kb.id GROUP BY kb.id""")
 def kb_document_counts(spark, d):
-    failed = vw.document(spark, d).where(st.is_failed(F.col("status")))
-    return catalog.document_counts(vw.knowledge_base(spark, d), failed)
+    return catalog.document_counts(vw.knowledge_base(spark, d), vw.document(spark, d))
 
 
 # --- windows, sorts, limits, top-k ------------------------------------------------
@@ -637,16 +637,18 @@ def prompt_with_history(spark, d):
         "query_id", _md5("prompt"))
 
 
-@query("""SELECT kb.id, name, CASE WHEN f.n > 0 THEN 'failed documents: ' || f.n ELSE description END AS description
+@query("""SELECT kb.id, name, CASE WHEN f.n > 0 THEN 'failed documents: ' || f.n ELSE description END AS description,
+       strftime(CASE WHEN f.n > 0 THEN TIMESTAMP '2024-06-01' ELSE created_at END, '%Y-%m-%d %H:%M:%S') AS updated_at
        FROM kb LEFT JOIN (SELECT knowledge_base_id, count(*) AS n FROM doc WHERE status = 'FAILED' GROUP BY 1) f
        ON f.knowledge_base_id = kb.id""")
 def kb_update(spark, d):
-    kbs = vw.knowledge_base(spark, d).select("id", "name", "description")
+    kbs = vw.knowledge_base(spark, d)
     failed = vw.document(spark, d).where(st.is_failed(F.col("status")))
     counts = catalog.document_counts(kbs, failed).where("document_count > 0")
-    changed = kbs.drop("description").join(counts, "id").withColumn(
-        "description", F.concat(F.lit("failed documents: "), F.col("document_count").cast("string")))
-    return catalog.upsert(kbs, changed, ["id"])
+    changes = counts.select("id", F.col("id").alias("name"), F.concat(
+        F.lit("failed documents: "), F.col("document_count").cast("string")).alias("description"))
+    now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
+    return catalog.update_kbs(kbs, changes, now).select("id", "name", "description", _time("updated_at"))
 
 
 @query("SELECT id, knowledge_base_id FROM chat_history WHERE knowledge_base_id <> 'src3'")

@@ -14,8 +14,21 @@ from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.session import spread
 
 
+# Columns of the given tables.  With the schema stated no file has to be opened
+# before the query runs.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "pages": "page_id bigint, url string, html string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _moment(days="0", minutes="0", seconds="0"):
@@ -131,8 +144,7 @@ def _history(conversations: DataFrame) -> DataFrame:
 
 
 def _stream(spark, folder, name) -> DataFrame:
-    schema = table(spark, folder, name).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return (spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
             .parquet(folder))
 
 

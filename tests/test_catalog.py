@@ -68,6 +68,19 @@ def test_upsert(spark):
     assert pairs(catalog.upsert(stored, changed, ["id"]), "id", "v") == [(1, "a"), (2, "B"), (3, "c")]
 
 
+def test_create_and_update(spark):
+    moment = lambda text: F.lit(text).cast("timestamp")
+    stored = catalog.create_kbs(
+        spark.createDataFrame([(1, "a", "first"), (2, "b", None), (3, "a", "again")],
+                              "request_id int, name string, description string"),
+        spark.createDataFrame([], "id string, name string"), moment("2024-01-01 00:00:00"))
+    assert pairs(stored, "name", "description") == [("a", "first"), ("b", None)]
+    changes = stored.where("name = 'b'").select("id", F.lit("c").alias("name"), F.lit("new").alias("description"))
+    got = pairs(catalog.update_kbs(stored, changes, moment("2024-02-01 00:00:00")), "name", "description",
+                F.month("created_at"), F.month("updated_at"))
+    assert got == [("a", "first", 1, 1), ("c", "new", 1, 2)]
+
+
 def test_deletes_and_orphans(spark, kbs):
     documents = spark.createDataFrame([("a", "k1"), ("b", "k2")], "document_id string, knowledge_base_id string")
     chunks = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("x", 0)], "document_id string, chunk_index int")

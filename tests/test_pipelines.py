@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.operators.embedding import embed, hashing_encoder
+from corpusflow.operators import retrieval
 from corpusflow.operators.generation import generate
 from corpusflow.plans import answering, processing
 from corpusflow.session import broadcast_if_small, table_size, work_path
@@ -133,6 +134,21 @@ def test_stored_chunks_lose_deleted_documents(spark, tmp_path):
     tables.delete_documents_from(spark, path, listed)
     left = tables.scan(spark, path).select("document_id", F.col("knowledge_base_id").cast("string"))
     assert sorted(map(tuple, left.collect())) == [("b", "k/1"), ("d", "9")]
+    tables.delete_knowledge_bases_from(spark, path, spark.createDataFrame([("k/1",)], "knowledge_base_id string"))
+    assert [r["document_id"] for r in tables.scan(spark, path).collect()] == ["d"]
+
+
+def test_retrieval_reads_only_the_folders_asked_for(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    stored = spark.createDataFrame([(f"d{i}", 0, [1.0, float(i)], f"k{i % 4}") for i in range(20)],
+                                   "document_id string, chunk_index int, embedding array<float>, knowledge_base_id string")
+    tables.write_chunks(stored, path)
+    documents = stored.select("document_id", "knowledge_base_id", F.lit("COMPLETED").alias("status"))
+    questions = spark.createDataFrame([(1, "k2", [1.0, 0.0])], "query_id int, knowledge_base_id string, embedding array<float>")
+    hits = retrieval.retrieve(documents, tables.scan(spark, path), questions)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(knowledge_base_id" in plan and "= k2" in plan
+    assert [r["document_id"] for r in hits.orderBy("rank").collect()] == ["d2", "d6", "d10"]
 
 
 def test_stream_ingest_takes_each_file_once(spark, uploads, tmp_path):
