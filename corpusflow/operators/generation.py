@@ -19,12 +19,12 @@ ModelFactory = Callable[[], Model]
 def first_chunk_model() -> Model:
     """Deterministic stand-in for a language model: repeats the best chunk."""
     opening = K.CONTEXT_ITEM_OPEN + "1" + K.CONTEXT_ITEM_CLOSE
-    second = K.CONTEXT_ITEM_END + K.CONTEXT_ITEM_OPEN + "2" + K.CONTEXT_ITEM_CLOSE
+    following = K.CONTEXT_ITEM_END + K.CONTEXT_ITEM_OPEN
     end = K.CONTEXT_ITEM_END + K.PROMPT_QUESTION
 
     def answer(prompt: str) -> str:
         _, _, rest = prompt.partition(opening)
-        return rest.partition(end)[0].partition(second)[0]
+        return rest.partition(end)[0].partition(following)[0]
 
     return answer
 

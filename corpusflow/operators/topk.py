@@ -304,12 +304,10 @@ def _scan_candidates(vectors, questions, k, metric, buckets: _Buckets, schema) -
     return vectors.mapInArrow(score, schema)
 
 
-def _pieces(df: DataFrame, keys: Sequence[str], tile_bytes: int, out: str) -> DataFrame:
-    """Keys whose rows exceed one block, with the number of blocks they need."""
-    size = F.sum(F.size("embedding").cast("long") * 8 + 32)
-    return (df.groupBy(*keys).agg(size.alias("_bytes"))
-            .where(F.col("_bytes") > tile_bytes)
-            .select(*keys, F.ceil(F.col("_bytes") / tile_bytes).cast("int").alias(out)))
+def _pieces(df: DataFrame, keys: Sequence[str], rows: int, out: str) -> DataFrame:
+    """Keys with more rows than one block takes, and the number of blocks they need."""
+    return (df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
+            .select(*keys, F.ceil(F.col("_rows") / rows).cast("int").alias(out)))
 
 
 def _computed_if_short(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -320,15 +318,20 @@ def _computed_if_short(df: DataFrame, rows: int = 100_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
 
 
-def _grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes) -> DataFrame:
+def _grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes, counted=None) -> DataFrame:
     """Blocks of vectors against blocks of questions, one task per meeting.
 
-    Only keys with more than one block are listed, so that list has at most
-    total bytes / block bytes entries.
+    ``counted`` are the vectors' keys where they can be had without reading the
+    vectors.  Only keys with more than one block are listed, so that list has
+    at most total rows / block rows entries.
     """
-    vectors = vectors.join(_computed_if_short(questions.select(*keys).distinct()), list(keys), "left_semi")
-    large = _computed_if_short(_pieces(vectors, keys, tile_bytes, "_tiles").join(
-        _pieces(questions, keys, tile_bytes, "_blocks"), list(keys), "full"))
+    counted = vectors if counted is None else counted
+    width = questions.agg(F.max(F.size("embedding"))).first()[0] or 1
+    rows = max(1, tile_bytes // (8 * width + 32))
+    asked = _computed_if_short(questions.select(*keys).distinct())
+    vectors, counted = (d.join(asked, list(keys), "left_semi") for d in (vectors, counted))
+    large = _computed_if_short(_pieces(counted.select(*keys), keys, rows, "_tiles").join(
+        _pieces(questions.select(*keys), keys, rows, "_blocks"), list(keys), "full"))
     tiles, blocks = F.coalesce("_tiles", F.lit(1)), F.coalesce("_blocks", F.lit(1))
 
     def own(count, *columns):
@@ -384,13 +387,15 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: st
     position.  Vectors of size 0 take no part; a question without vector gets
     no rows.
     """
+    stored = vectors
     vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
     if table_size(questions)[1] <= question_bytes:
         return _final(_scan_candidates(vectors, questions, k, metric, _Buckets(within), schema), k)
     if not scope:
-        vectors, questions = (d.withColumn("_all", F.lit(0)) for d in (vectors, questions))
+        stored, vectors, questions = (d.withColumn("_all", F.lit(0)) for d in (stored, vectors, questions))
     keys = scope or ["_all"]
-    return _final(_grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes), k)
+    return _final(_grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes,
+                                   stored.select(*keys)), k)
 
 
 # --- approximate form -------------------------------------------------------------

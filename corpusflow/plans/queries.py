@@ -21,7 +21,7 @@ from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.generation import first_chunk_model, generate
 from corpusflow.operators.topk import top_k, top_k_lsh
 from corpusflow.plans import answering, processing
-from corpusflow.plans.reference_sql import TIME, TRIM, literal, planes_sql, sql
+from corpusflow.plans.reference_sql import TIME, TRIM, cleaned, literal, planes_sql, sql
 from corpusflow.session import work_path
 from corpusflow.sources import tables
 from corpusflow.sources import views as vw
@@ -197,7 +197,7 @@ def upload_validation(spark, d):
 
 
 @query(f"""SELECT document_id, 'FAILED' AS status, '{K.MSG_NO_TEXT}' AS error_message
-       FROM doc WHERE status = 'FAILED' OR trim(text, {TRIM}) = ''""")
+       FROM doc WHERE status = 'FAILED' OR text IS NULL OR trim(text, {TRIM}) = ''""")
 def blank_text_documents(spark, d):
     return vw.extracted(spark, d).where(~tx.has_text(F.col("text"))).select(
         "document_id", F.lit("FAILED").alias("status"), F.lit(K.MSG_NO_TEXT).alias("error_message"))
@@ -532,9 +532,8 @@ def chunk_strategy(spark, d):
 MESSY = "chr(12) || chr(13) || chr(10) || chr(9) || chr(11) || ' '"
 
 
-@query(f"""SELECT doc_id AS document_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id,
-       trim(regexp_replace(replace(replace(text, chr(10), {MESSY}), chr(12), ''), '[ \\t\\n\\x0B\\r]+', ' ', 'g'), {TRIM}) AS t
-       FROM documents)""")
+@query(f"""SELECT document_id, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT document_id, {cleaned('m')} AS t
+       FROM (SELECT doc_id AS document_id, replace(text, chr(10), {MESSY}) AS m FROM documents))""")
 def clean_text(spark, d):
     messy = F.replace("text", F.lit("\n"), F.lit("\x0c\r\n\t\x0b "))
     cleaned = vw.source_text(spark, d).select("document_id", tx.clean_for_embedding(messy).alias("text"))
@@ -598,10 +597,11 @@ def batch_answers(spark, d):
 
 # --- pipelines --------------------------------------------------------------------
 
-@query(f"""SELECT document_id, CASE WHEN status = 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-       CASE WHEN status = 'FAILED' THEN 30 ELSE 100 END AS progress,
-       CASE WHEN status = 'FAILED' THEN 0 ELSE CAST(ceil(length(text) / 450.0) AS INT) END AS chunk_count,
-       CASE WHEN status = 'FAILED' THEN '{K.MSG_NO_TEXT}' END AS error_message FROM doc""")
+@query(f"""SELECT document_id, CASE WHEN bad THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+       CASE WHEN bad THEN 30 ELSE 100 END AS progress,
+       CASE WHEN bad THEN 0 ELSE CAST(ceil(length(text) / 450.0) AS INT) END AS chunk_count,
+       CASE WHEN bad THEN '{K.MSG_NO_TEXT}' END AS error_message FROM (SELECT *,
+       status = 'FAILED' OR text IS NULL OR trim(text, {TRIM}) = '' AS bad FROM doc)""")
 def process_documents(spark, d):
     found = processing.outcomes(vw.extracted(spark, d), hashing_encoder())
     return processing.status_of(found).drop("knowledge_base_id")

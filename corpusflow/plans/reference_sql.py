@@ -21,8 +21,17 @@ def literal(text: str) -> str:
 
 
 TRIM = literal(K.TRIM_CHARS[1:])  # U+0000 does not occur in the tables
+BLANK = literal(K.BLANK_CHARS)
 TIME = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
+
+
+def cleaned(text: str) -> str:
+    """The text as it is given to an encoder."""
+    folded = f"regexp_replace(replace({text}, chr(12), ''), '[ \\t\\n\\x0B\\r]+', ' ', 'g')"
+    return f"CASE WHEN trim({text}, {BLANK}) = '' THEN {text} ELSE trim({folded}, {TRIM}) END"
+
+
 VIEWS = f"""
 kb AS (SELECT DISTINCT source AS id, source AS name, 'collection ' || source AS description,
        TIMESTAMP '2024-01-01' + to_days(CAST(substr(source, 4) AS INT)) AS created_at FROM documents),
@@ -39,7 +48,7 @@ chunk_text AS (SELECT document_id, knowledge_base_id, CAST(i AS INT) AS chunk_in
 vec AS (SELECT vec_id, vec_id % 200 AS document_id, CAST(vec_id // 200 AS INT) AS chunk_index, label,
         embedding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 vector_text AS (SELECT v.document_id, v.chunk_index,
-                substr(d.text, CAST((v.chunk_index % CAST(ceil(length(d.text) / 450.0) AS BIGINT)) * 450 + 1 AS BIGINT), 500) AS content
+                substr(d.text, CAST((v.chunk_index % nullif(CAST(ceil(length(d.text) / 450.0) AS BIGINT), 0)) * 450 + 1 AS BIGINT), 500) AS content
                 FROM vec v JOIN documents d ON d.doc_id = v.document_id),
 question AS (SELECT vec_id AS query_id, 'src' || ((vec_id % 200) % 20) AS knowledge_base_id,
              CAST(vec_id AS VARCHAR) AS session_id, 'question ' || vec_id || ' about ' || label AS message,
@@ -81,8 +90,7 @@ global_hit AS (SELECT * FROM (SELECT query_id, document_id, chunk_index, score,
 context AS (SELECT h.query_id, {literal(K.CONTEXT_HEAD)} || string_agg({literal(K.CONTEXT_ITEM_OPEN)} || h.rank
             || {literal(K.CONTEXT_ITEM_CLOSE)} || t.content || {literal(K.CONTEXT_ITEM_END)}, '' ORDER BY h.rank) AS context
             FROM kb_hit h JOIN vector_text t USING (document_id, chunk_index) GROUP BY h.query_id),
-words AS (SELECT * FROM (SELECT document_id, chunk_index, knowledge_base_id, content, list_filter(string_split(lower(
-          trim(regexp_replace(replace(content, chr(12), ''), '[ \\t\\n\\x0B\\r]+', ' ', 'g'), {TRIM})), ' '),
+words AS (SELECT * FROM (SELECT document_id, chunk_index, knowledge_base_id, content, list_filter(string_split(lower({cleaned('content')}), ' '),
           lambda w: w <> '') AS words FROM chunk_text)),
 hashed AS (SELECT document_id, chunk_index, knowledge_base_id, content, counts,
            CASE WHEN len(words) = 0 THEN [] ELSE list_transform(counts, lambda c: CAST(CAST(c / sqrt(list_sum(
@@ -92,8 +100,7 @@ hashed AS (SELECT document_id, chunk_index, knowledge_base_id, content, counts,
 hashed_question AS (SELECT query_id, knowledge_base_id, message, list_transform(counts, lambda c: CAST(CAST(c / sqrt(list_sum(
              list_transform(counts, lambda x: x * x))) AS FLOAT) AS DOUBLE)) AS v
            FROM (SELECT *, list_transform(range(0, 64), lambda b: CAST(len(list_filter(buckets, lambda x: x = b)) AS DOUBLE)) AS counts
-                 FROM (SELECT *, list_transform(list_filter(string_split(lower(trim(regexp_replace(replace(message, chr(12), ''),
-                   '[ \\t\\n\\x0B\\r]+', ' ', 'g'), {TRIM})), ' '), lambda w: w <> ''),
+                 FROM (SELECT *, list_transform(list_filter(string_split(lower({cleaned('message')}), ' '), lambda w: w <> ''),
                    lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64) AS buckets FROM asked_text))),
 hashed_hit AS (SELECT * FROM (SELECT query_id, document_id, chunk_index, content, score, CAST(row_number() OVER (
                PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM

@@ -41,13 +41,14 @@ def build_session(app: str = "corpusflow", master: str | None = None, **conf) ->
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Distribute the rows of a scan that would keep fewer tasks busy than there are cores.
+    """Distribute the rows of a scan that would leave half of the cores idle.
 
-    Small inputs and files of few large row groups are meant.  A large input
-    has more partitions than there are cores and is left as it is.
+    Small inputs and files of few large row groups are meant, where the work
+    that follows costs more than moving the rows.  A large input has more
+    partitions than there are cores and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
 _SHIPPED: set[str] = set()

@@ -98,8 +98,8 @@ def vector_text(spark, folder) -> DataFrame:
     places = chunk_vector(spark, folder).select("document_id", "chunk_index")
     return (places.join(wanted, "document_id")
             .select("document_id", "chunk_index",
-                    F.element_at("chunks", (F.col("chunk_index") % F.size("chunks") + 1).cast("int"))
-                    .alias("content")))
+                    F.try_element_at("chunks", (F.try_mod(F.col("chunk_index"), F.size("chunks")) + 1)
+                                     .cast("int")).alias("content")))
 
 
 def question(spark, folder) -> DataFrame:

@@ -126,6 +126,18 @@ def test_answers(spark):
     assert calls.value == 1
 
 
+def test_from_files_to_answers(spark, uploads, tmp_path):
+    encoder = hashing_encoder(32)
+    documents = files.ingest_files(spark, str(uploads), "*.txt")
+    statuses = processing.process_to(documents, str(tmp_path / "chunks"), encoder)
+    chunks = processing.usable_chunks(processing.stored_outcomes(spark, str(tmp_path / "chunks")))
+    questions = spark.createDataFrame([(1, "k1", "what are Spark tables"), (2, "k3", "anything")],
+                                      "query_id int, knowledge_base_id string, message string")
+    got = {r["query_id"]: r["answer"] for r in answering.answer_questions(
+        statuses, chunks, embed(questions, encoder, text="message")).collect()}
+    assert got == {1: "knowledge about spark tables", 2: K.ANSWER_NO_DOCUMENTS}
+
+
 def test_stored_chunks_lose_deleted_documents(spark, tmp_path):
     path = str(tmp_path / "chunks")
     rows = [("a", 0, "k/1"), ("b", 0, "k/1"), ("c", 0, "7"), ("d", 0, "9")]
