@@ -443,3 +443,55 @@ def top_k_lsh(vectors: DataFrame, questions: DataFrame, width: int, k: int = K.T
     # One shuffle by question serves both the removal of repeats and the window.
     once = found.repartition("query_id").dropDuplicates(["query_id", "document_id", "chunk_index"])
     return _final(once, k)
+
+
+# --- approximate form over a stored table -----------------------------------------
+
+def add_bucket(df: DataFrame, width: int, bits: int, seed: int = 7) -> DataFrame:
+    """Add ``bucket``, the signs of ``bits`` random projections, to partition a stored table by."""
+    planes = hyperplanes(width, 1, bits, seed)
+
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(_sign_codes(*_vectors(column), planes, 1)[:, 0])
+
+    return df.withColumn("bucket", F.arrow_udf(sign, T.LongType()).asNondeterministic()("embedding"))
+
+
+def add_probes(questions: DataFrame, width: int, bits: int, probes: int, seed: int = 7) -> DataFrame:
+    """Questions once per bucket worth visiting, the nearest ``probes`` of them.
+
+    A bucket is as far away as the projections that would have to change sign
+    are large.
+    """
+    planes = hyperplanes(width, 1, bits, seed)
+    probes = min(probes, 1 << bits)
+    signs = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1 > 0
+
+    def visit(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            flat, starts, widths = _vectors(column)
+            buckets = np.full((len(widths), probes), -1, dtype=np.int64)
+            fit = np.flatnonzero(widths == width)
+            if len(fit):
+                margin = _matrix(flat, starts, fit, width) @ planes.T
+                side = margin > 0
+                # Cost of a bucket: the margins on the sides it does not share.
+                cost = np.abs(margin * ~side) @ signs.T + np.abs(margin * side) @ ~signs.T
+                buckets[fit] = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+            offsets = np.arange(0, buckets.size + 1, probes, dtype=np.int32)
+            yield pa.ListArray.from_arrays(offsets, buckets.ravel())
+
+    visited = F.array_distinct(F.arrow_udf(visit, T.ArrayType(T.LongType())).asNondeterministic()("embedding"))
+    return questions.withColumn("bucket", F.explode(visited))
+
+
+def top_k_probed(bucketed: DataFrame, questions: DataFrame, width: int, bits: int, probes: int,
+                 k: int = K.TOP_K, metric: str = "cosine", seed: int = 7, **limits) -> DataFrame:
+    """Approximate :func:`top_k` over a table kept by :func:`add_bucket`.
+
+    Only the folders of the visited buckets are read.  A vector is in one
+    bucket, so nothing is found twice; visiting all buckets is the exact search.
+    """
+    asked = add_probes(questions.where(F.size("embedding") > 0), width, bits, probes, seed)
+    return top_k(bucketed, asked, k, metric, within="bucket", **limits)

@@ -19,7 +19,7 @@ from corpusflow.operators import catalog, history, lifecycle, prompting, retriev
 from corpusflow.operators.chunking import chunk_documents, fixed_chunks
 from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.generation import first_chunk_model, generate
-from corpusflow.operators.topk import top_k, top_k_lsh
+from corpusflow.operators.topk import add_bucket, top_k, top_k_lsh, top_k_probed
 from corpusflow.plans import answering, processing
 from corpusflow.plans.reference_sql import TIME, TRIM, cleaned, literal, planes_sql, sql
 from corpusflow.session import work_path
@@ -476,6 +476,27 @@ def topk_lsh(spark, d):
     return _hits(top_k_lsh(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2", **LSH))
 
 
+PROBED = dict(width=64, bits=5, seed=7)
+PROBES = 8
+
+
+@query(f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {PROBED['bits']})) AS p, unnest({planes_sql(tables=1, **PROBED)}) AS w)),
+       margin AS (SELECT vec_id, p, list_dot_product(v, w) AS m FROM vec, plane),
+       home AS (SELECT vec_id, sum(CASE WHEN m > 0 THEN 1 << p ELSE 0 END) AS bucket FROM margin GROUP BY vec_id),
+       visit AS (SELECT vec_id, b FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY sum(
+                 CASE WHEN ((b >> p) & 1 = 1) <> (m > 0) THEN abs(m) ELSE 0 END)) AS r
+                 FROM margin, range(0, {1 << PROBED['bits']}) t(b) GROUP BY vec_id, b) WHERE r <= {PROBES}),
+       scored AS (SELECT q.query_id, c.document_id, c.chunk_index, round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
+                  FROM visit JOIN home ON home.bucket = visit.b JOIN question q ON q.query_id = visit.vec_id
+                  JOIN vec c ON c.vec_id = home.vec_id)
+       SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3""")
+def topk_probed(spark, d):
+    path = work_path(spark, "bucketed")
+    tables.write_by(add_bucket(vw.chunk_vector(spark, d), **PROBED), path, "bucket", "overwrite")
+    return _hits(top_k_probed(tables.scan(spark, path), vw.question(spark, d), probes=PROBES, metric="l2", **PROBED))
+
+
 @query(f"SELECT id, role, md5(content) AS content_md5, {TIME.format('created_at')} AS created_at "
        "FROM chat_history WHERE session_id = '5' ORDER BY chat_history.created_at")
 def history_by_session(spark, d):

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import retrieval
-from corpusflow.operators.topk import top_k, top_k_lsh
+from corpusflow.operators.topk import add_bucket, top_k, top_k_lsh, top_k_probed
+from corpusflow.sources.tables import scan, write_by
 
 
 def expected(vectors, questions, k, metric, scoped):
@@ -105,6 +106,27 @@ def test_lsh_with_no_bits_is_the_exact_search(tables):
     assert near == expected(same_width, asked, 4, "cosine", True)
 
 
+@pytest.mark.parametrize("limits", [{}, {"question_bytes": 0, "tile_bytes": 1500}])
+def test_visiting_all_buckets_is_the_exact_search(tables, limits):
+    vectors, questions, vdf, qdf = tables
+    fit = "size(embedding) = 8"
+    hits = top_k_probed(add_bucket(vdf.where(fit), 8, 4), qdf.where(fit), 8, 4, 16, k=4, **limits)
+    assert collected(hits) == expected([v for v in vectors if len(v[2]) == 8], [q for q in questions if len(q[2]) == 8],
+                                       4, "cosine", False)
+
+
+def test_probing_reads_only_visited_folders(spark, tables, tmp_path):
+    _, _, vdf, qdf = tables
+    path = str(tmp_path / "bucketed")
+    write_by(add_bucket(vdf.where("size(embedding) = 8"), 8, 5), path, "bucket")
+    one = qdf.where("query_id = 1")
+    hits = top_k_probed(scan(spark, path), one, 8, 5, 3, k=1)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: []" in plan
+    # The stored vector that equals the question is in the first bucket visited.
+    assert hits.first()["score"] == pytest.approx(1.0)
+
+
 def test_parameters_are_checked(tables):
     _, _, vdf, qdf = tables
     with pytest.raises(ValueError):
