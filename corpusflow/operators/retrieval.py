@@ -11,7 +11,7 @@ from corpusflow import constants as K
 from corpusflow.functions import text as tx
 from corpusflow.functions import vectors as vx
 from corpusflow.operators.topk import top_k
-from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, broadcast_or_none
 
 HIT_BYTES = 96  # generous size of one hit without its content
 
@@ -32,8 +32,9 @@ def kb_chunks(documents: DataFrame, chunks: DataFrame, limit: int = BROADCAST_BY
     stored = "knowledge_base_id" in chunks.columns
     on = ["document_id", "knowledge_base_id"] if stored else ["document_id"]
     keys = completed(documents).select("document_id", "knowledge_base_id")
-    if table_size(keys)[1] <= limit:
-        return chunks.join(F.broadcast(keys), on)
+    small = broadcast_or_none(keys, limit)
+    if small is not None:
+        return chunks.join(small, on)
     if not stored:
         return chunks.join(keys, on)
     others = chunks.select(*on).distinct().join(keys, on, "left_anti")

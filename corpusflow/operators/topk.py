@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow import constants as K
-from corpusflow.session import BROADCAST_BYTES, table_size
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size
 
 METRICS = ("cosine", "l2")
 # Scores are kept to this many decimals, so that summation order cannot decide
@@ -310,14 +310,6 @@ def _pieces(df: DataFrame, keys: Sequence[str], rows: int, out: str) -> DataFram
             .select(*keys, F.ceil(F.col("_rows") / rows).cast("int").alias(out)))
 
 
-def _computed_if_short(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Compute a list of keys once and broadcast it, unless it is long."""
-    got = df.limit(rows + 1).collect()
-    if len(got) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
-
-
 def _grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes, counted=None) -> DataFrame:
     """Blocks of vectors against blocks of questions, one task per meeting.
 
@@ -328,9 +320,9 @@ def _grid_candidates(vectors, questions, k, metric, keys, schema, tile_bytes, co
     counted = vectors if counted is None else counted
     width = questions.agg(F.max(F.size("embedding"))).first()[0] or 1
     rows = max(1, tile_bytes // (8 * width + 32))
-    asked = _computed_if_short(questions.select(*keys).distinct())
+    asked = broadcast_if_small(questions.select(*keys).distinct())
     vectors, counted = (d.join(asked, list(keys), "left_semi") for d in (vectors, counted))
-    large = _computed_if_short(_pieces(counted.select(*keys), keys, rows, "_tiles").join(
+    large = broadcast_if_small(_pieces(counted.select(*keys), keys, rows, "_tiles").join(
         _pieces(questions.select(*keys), keys, rows, "_blocks"), list(keys), "full"))
     tiles, blocks = F.coalesce("_tiles", F.lit(1)), F.coalesce("_blocks", F.lit(1))
 

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Largest estimated size of a side that is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Longest list of keys that is computed once and kept as local data.
+SHORT_ROWS = 50_000
 
 
 def build_session(app: str = "corpusflow", master: str | None = None, **conf) -> SparkSession:
@@ -104,11 +106,25 @@ def table_size(df: DataFrame) -> tuple[int, int]:
     return got["n"], got["b"]
 
 
+def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
+    """``df`` marked for broadcast if its measured size is within ``limit``, else None.
+
+    A short list, of key columns as a rule, is computed here once and handed on
+    as local data, so what it is derived from does not run a second time in the
+    join.  Reading stops as soon as a list turns out not to be short.
+    """
+    rows = min(SHORT_ROWS, limit // 1024)
+    if rows:
+        got = df.limit(rows + 1).collect()
+        if len(got) <= rows:
+            return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
+    return F.broadcast(df) if table_size(df)[1] <= limit else None
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only if its measured size is within ``limit``.
+    """``df`` marked for broadcast if it is small, else as it is.
 
-    Otherwise the frame is returned unmarked and the join shuffles, with
-    adaptive execution splitting hot keys.
+    In the second case the join shuffles, and adaptive execution splits hot keys.
     """
-    _, size = table_size(df)
-    return F.broadcast(df) if size <= limit else df
+    small = broadcast_or_none(df, limit)
+    return df if small is None else small

@@ -92,10 +92,11 @@ def chunk_vector(spark, folder) -> DataFrame:
 
 def vector_text(spark, folder) -> DataFrame:
     """Text of the stored vectors: positions beyond the last chunk start again at the first."""
-    chunks = fixed_chunks(F.col("text"))
-    wanted = (table(spark, folder, "documents")
-              .select(F.col("doc_id").alias("document_id"), chunks.alias("chunks")))
     places = chunk_vector(spark, folder).select("document_id", "chunk_index")
+    # Only documents that have vectors are cut.
+    wanted = (table(spark, folder, "documents").withColumnRenamed("doc_id", "document_id")
+              .join(places.select("document_id").distinct(), "document_id", "left_semi")
+              .select("document_id", fixed_chunks(F.col("text")).alias("chunks")))
     return (places.join(wanted, "document_id")
             .select("document_id", "chunk_index",
                     F.try_element_at("chunks", (F.try_mod(F.col("chunk_index"), F.size("chunks")) + 1)

@@ -217,12 +217,13 @@ def test_status_stream_over_several_batches(spark, tmp_path):
     assert run() == {"a": "PARSING", "b": "COMPLETED"}
 
 
-def test_broadcast_only_within_the_limit(spark):
-    df = spark.range(1000).selectExpr("id", "repeat('x', 100) AS t")
-    rows, size = table_size(df)
-    assert rows == 1000 and size >= 1000 * 108
-    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
-    assert hinted(broadcast_if_small(df)) and not hinted(broadcast_if_small(df, 1000))
+@pytest.mark.parametrize("rows,limit,sent", [(1000, 1 << 26, True), (60_000, 1 << 26, True), (1000, 1000, False),
+                                             (60_000, 1 << 20, False)])
+def test_broadcast_only_within_the_limit(spark, rows, limit, sent):
+    df = spark.range(rows).selectExpr("id", "repeat('x', 100) AS t")
+    got = broadcast_if_small(df, limit)
+    assert ("ResolvedHint" in got._jdf.queryExecution().analyzed().toString()) == sent
+    assert table_size(got) == table_size(df) and table_size(df)[1] >= rows * 108
 
 
 def test_work_path_is_fresh(spark):
