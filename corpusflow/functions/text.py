@@ -13,14 +13,19 @@ def trim_control(text: Column) -> Column:
     return F.btrim(text, F.lit(K.TRIM_CHARS))
 
 
+def _other_than(chars: str) -> str:
+    """Pattern of one character that is none of ``chars``; it is found at once in ordinary text."""
+    return "[^" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
 def has_text(text: Column) -> Column:
     """True if something is left after trimming; false for null."""
-    return F.coalesce(trim_control(text) != "", F.lit(False))
+    return F.coalesce(text.rlike(_other_than(K.TRIM_CHARS)), F.lit(False))
 
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and all-white-space text (Unicode white space)."""
-    return F.coalesce(F.btrim(text, F.lit(K.BLANK_CHARS)) == "", F.lit(True))
+    return ~F.coalesce(text.rlike(_other_than(K.BLANK_CHARS)), F.lit(False))
 
 
 def clean_for_embedding(text: Column) -> Column:
@@ -28,7 +33,7 @@ def clean_for_embedding(text: Column) -> Column:
 
     Blank text is passed through as it is.
     """
-    folded = F.regexp_replace(F.translate(text, "\f", ""), "[ \\t\\n\\x0B\\r]+", " ")
+    folded = F.regexp_replace(F.replace(text, F.lit("\f"), F.lit("")), "[ \\t\\n\\x0B\\r]+", " ")
     return F.when(is_blank(text), text).otherwise(trim_control(folded))
 
 
