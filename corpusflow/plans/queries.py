@@ -296,11 +296,11 @@ def _hits(hits: DataFrame) -> DataFrame:
 
 @query("""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS rank,
        document_id || '_' || chunk_index AS source, round(score, 6) AS score
-       FROM global_hit JOIN question USING (query_id) JOIN doc USING (document_id, knowledge_base_id)
+       FROM l2_hit JOIN question USING (query_id) JOIN doc USING (document_id, knowledge_base_id)
        WHERE status = 'COMPLETED'""")
 def retrieve_global_then_filter(spark, d):
     return _hits(retrieval.retrieve(vw.document(spark, d), vw.chunk_vector(spark, d), vw.question(spark, d),
-                                    scope="global_then_filter"))
+                                    metric="l2", scope="global_then_filter"))
 
 
 @query("""SELECT document_id, chunk_index, knowledge_base_id, label FROM vec JOIN doc USING (document_id)
@@ -452,10 +452,7 @@ def retrieve_kb(spark, d):
     return _hits(_kb_hits(spark, d))
 
 
-@query(f"""SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM
-       (SELECT q.query_id, c.document_id, c.chunk_index,
-        round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score FROM question q CROSS JOIN vec c)) WHERE rank <= 3""")
+@query(f"SELECT {HITS} FROM l2_hit")
 def topk_l2(spark, d):
     return _hits(top_k(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2"))
 

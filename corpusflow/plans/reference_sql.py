@@ -87,6 +87,10 @@ global_hit AS (SELECT * FROM (SELECT query_id, document_id, chunk_index, score,
                ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM
                (SELECT q.query_id, c.document_id, c.chunk_index, round(list_cosine_similarity(q.v, c.v), 9) AS score
                 FROM question q CROSS JOIN vec c)) WHERE rank <= 3),
+l2_hit AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+           ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM
+           (SELECT q.query_id, c.document_id, c.chunk_index,
+            round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score FROM question q CROSS JOIN vec c)) WHERE rank <= 3),
 context AS (SELECT h.query_id, {literal(K.CONTEXT_HEAD)} || string_agg({literal(K.CONTEXT_ITEM_OPEN)} || h.rank
             || {literal(K.CONTEXT_ITEM_CLOSE)} || t.content || {literal(K.CONTEXT_ITEM_END)}, '' ORDER BY h.rank) AS context
             FROM kb_hit h JOIN vector_text t USING (document_id, chunk_index) GROUP BY h.query_id),
