@@ -7,9 +7,11 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Largest estimated size of a side that is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -106,6 +108,16 @@ def table_size(df: DataFrame) -> tuple[int, int]:
     return got["n"], got["b"]
 
 
+def _local(df: DataFrame, rows: list) -> DataFrame:
+    """Collected rows as a frame again; plain keys go by Arrow."""
+    plain = (T.StringType, T.IntegralType, T.BooleanType)
+    if not rows or not all(isinstance(f.dataType, plain) for f in df.schema.fields):
+        return df.sparkSession.createDataFrame(rows, df.schema)
+    schema = to_arrow_schema(df.schema)
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), schema)]
+    return df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=schema), df.schema)
+
+
 def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` marked for broadcast if its measured size is within ``limit``, else None.
 
@@ -117,7 +129,7 @@ def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     if rows:
         got = df.limit(rows + 1).collect()
         if len(got) <= rows:
-            return F.broadcast(df.sparkSession.createDataFrame(got, df.schema))
+            return F.broadcast(_local(df, got))
     return F.broadcast(df) if table_size(df)[1] <= limit else None
 
 
