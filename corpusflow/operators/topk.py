@@ -34,6 +34,7 @@ METRICS = ("cosine", "l2")
 # between equal vectors.
 SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
+BLOCK_VALUES = 4_000_000  # numbers of the vectors of one score matrix
 LISTED_SCOPES = 1000  # scopes written out as a filter
 GATHER_BYTES = 16 * 1024 * 1024  # vectors scored together inside a task
 TILE_BYTES = 32 * 1024 * 1024  # vectors or questions of one block of the grid
@@ -212,7 +213,7 @@ def _score_block(best: _Best, metric: str, wanted, flat, starts, rows, width, do
     for asked_width, (asked, block, norm2) in wanted.items():
         if asked_width != width and metric != "cosine":
             continue
-        step = max(1, SCORE_CELLS // len(asked))
+        step = max(1, min(SCORE_CELLS // len(asked), BLOCK_VALUES // max(1, width)))
         for begin in range(0, len(rows), step):
             part = rows[begin:begin + step]
             if asked_width != width:
@@ -249,7 +250,7 @@ def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting.append(batch)
         size += batch.nbytes
         if size >= GATHER_BYTES:
-            yield pa.concat_batches(waiting)
+            yield waiting[0] if len(waiting) == 1 else pa.concat_batches(waiting)
             waiting, size = [], 0
     if waiting:
         yield pa.concat_batches(waiting)

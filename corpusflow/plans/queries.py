@@ -21,7 +21,7 @@ from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.generation import first_chunk_model, generate
 from corpusflow.operators.topk import add_bucket, top_k, top_k_lsh, top_k_probed
 from corpusflow.plans import answering, processing
-from corpusflow.plans.reference_sql import TIME, TRIM, cleaned, literal, planes_sql, sql
+from corpusflow.plans.check_sql import TIME, TRIM, cleaned, literal, planes_sql, sql
 from corpusflow.session import work_path
 from corpusflow.sources import tables
 from corpusflow.sources import views as vw

@@ -135,11 +135,11 @@ def test_contexts_and_prompts(spark):
     contexts = prompting.build_context(hits)
     text = dict(pairs(contexts, "query_id", "context"))
     assert text[1] == "参考文档：\n\n【文档1】\none\n\n【文档2】\ntwo\n\n"
-    asked = spark.createDataFrame([(1, "什么是RAG？"), (3, "no context")], "query_id int, message string")
+    asked = spark.createDataFrame([(1, "什么是数据表？"), (3, "no context")], "query_id int, message string")
     prompt = prompting.build_prompts(asked, contexts).collect()
     assert len(prompt) == 1
     assert prompt[0]["prompt"].startswith("你是一个专业的智能问答助手")
-    assert f"=== 参考文档 ===\n{text[1]}\n\n=== 用户问题 ===\n什么是RAG？\n\n=== 回答要求 ===\n" in prompt[0]["prompt"]
+    assert f"=== 参考文档 ===\n{text[1]}\n\n=== 用户问题 ===\n什么是数据表？\n\n=== 回答要求 ===\n" in prompt[0]["prompt"]
     assert prompt[0]["prompt"].endswith("=== 回答 ===\n")
 
 
