@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusflow.operators.catalog import validate_uploads
 from corpusflow.operators.embedding import EncoderFactory
 from corpusflow.operators.lifecycle import latest_status
 from corpusflow.plans import processing
@@ -29,26 +30,53 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder: EncoderFactory,
            pattern: str = "*.txt", strategy: str = "fixed", every: str | None = None,
-           files_per_trigger: int | None = None) -> StreamingQuery:
-    """Process every newly arrived file once: documents, chunks and statuses below ``out``."""
+           files_per_trigger: int | None = None, knowledge_bases: DataFrame | None = None,
+           extractor=None) -> StreamingQuery:
+    """Process every newly arrived file once: documents, chunks and statuses below ``out``.
+
+    With ``knowledge_bases`` a file has to pass the upload checks first; refused
+    ones are listed with their reason in ``out``/rejected.
+    """
 
     def each(files: DataFrame, batch: int) -> None:
         documents = to_documents(files)
-        statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy)
+        if knowledge_bases is not None:
+            documents = accepted(documents, batch)
+        statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy, extractor)
         final = statuses.drop("knowledge_base_id")
         head = documents.drop("content", "status", "progress", "error_message", "chunk_count", "processed_at")
         (head.join(final, "document_id").withColumn("processed_at", F.current_timestamp())
          .write.mode("overwrite").parquet(f"{out}/documents/batch={batch}"))
 
+    def accepted(documents: DataFrame, batch: int) -> DataFrame:
+        own = documents.sparkSession
+        uploads = documents.select(F.col("document_id").alias("upload_id"), "knowledge_base_id", "file_name")
+        stored = uploads.where("false")
+        if exists(own, f"{out}/documents"):
+            stored = _batches(own, f"{out}/documents").where(F.col("batch") != batch)
+        judged = validate_uploads(uploads, knowledge_bases, stored)
+        path = f"{out}/rejected/batch={batch}"
+        judged.where("reason IS NOT NULL").write.mode("overwrite").parquet(path)
+        passed = judged.where("reason IS NULL").select(F.col("upload_id").alias("document_id"))
+        return documents.join(broadcast_if_small(passed), "document_id", "left_semi").select(*documents.columns)
+
     return _start(stream_files(spark, folder, pattern, files_per_trigger), each, checkpoint, every=every)
 
 
+def _batches(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(path)
+
+
+def rejected_files(spark: SparkSession, out: str) -> DataFrame:
+    return _batches(spark, f"{out}/rejected").drop("batch")
+
+
 def ingested_documents(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", f"{out}/documents").parquet(f"{out}/documents").drop("batch")
+    return _batches(spark, f"{out}/documents").drop("batch")
 
 
 def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
-    rows = spark.read.option("basePath", f"{out}/chunks").parquet(f"{out}/chunks").drop("batch")
+    rows = _batches(spark, f"{out}/chunks").drop("batch")
     return processing.usable_chunks(rows.withColumn("knowledge_base_id", F.col("knowledge_base_id").cast("string")))
 
 
@@ -64,8 +92,7 @@ def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | Non
 def followed_status(spark: SparkSession, out: str) -> DataFrame:
     """Current status per document from what :func:`follow_status` wrote."""
     newest = F.max_by(F.struct("status", "ts"), F.col("batch"))
-    return (spark.read.option("basePath", out).parquet(out)
-            .groupBy("document_id").agg(newest.alias("last"))
+    return (_batches(spark, out).groupBy("document_id").agg(newest.alias("last"))
             .select("document_id", "last.status", "last.ts"))
 
 
@@ -82,7 +109,7 @@ def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | No
                .dropDuplicates(["id"]))
         if exists(spark, out):
             days = broadcast_if_small(new.select("day").distinct())
-            known = (_log(spark, out).where(F.col("batch") != batch)
+            known = (_batches(spark, out).where(F.col("batch") != batch)
                      .join(days, "day", "left_semi").select("id"))
             new = new.join(known, "id", "left_anti")
         new.write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={batch}")
@@ -90,9 +117,5 @@ def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | No
     return _start(messages, each, checkpoint, every=every)
 
 
-def _log(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.option("basePath", out).parquet(out)
-
-
 def logged_messages(spark: SparkSession, out: str) -> DataFrame:
-    return _log(spark, out).drop("batch", "day")
+    return _batches(spark, out).drop("batch", "day")

@@ -180,6 +180,28 @@ def test_stream_ingest_takes_each_file_once(spark, uploads, tmp_path):
     assert chunks.count() == 8 and "你好 世界" in {r["content"] for r in chunks.collect()}
 
 
+def test_stream_ingest_checks_uploads(spark, uploads, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    kbs = spark.createDataFrame([("k1", "one")], "id string, name string")
+
+    def upper(documents):
+        return documents.withColumn("text", F.upper(files.decode_text(F.col("content"))))
+
+    def run():
+        jobs.ingest(spark, str(uploads), out, checkpoint, hashing_encoder(16), "*", knowledge_bases=kbs,
+                    extractor=upper).awaitTermination()
+        return sorted(r["file_name"] for r in jobs.ingested_documents(spark, out).collect())
+
+    assert run() == ["a+b%20c.txt", "gbk 文.txt", "plain.txt"]
+    refused = {r["file_name"]: r["reason"] for r in jobs.rejected_files(spark, out).collect()}
+    assert set(refused) == {"blank.txt", "long.txt", "program.exe"} and refused["long.txt"] == "知识库不存在: k2"
+    (uploads / "k1" / "tool.exe").write_bytes(b"MZ")
+    (uploads / "k1" / "late.txt").write_text("late")
+    assert run() == ["a+b%20c.txt", "gbk 文.txt", "late.txt", "plain.txt"]
+    assert jobs.rejected_files(spark, out).where("file_name = 'tool.exe'").first()["reason"].startswith("不支持的文件类型")
+    assert "KNOWLEDGE ABOUT SPARK TABLES" in {r["content"] for r in jobs.ingested_chunks(spark, out).collect()}
+
+
 def test_message_log_is_free_of_repeats(spark, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("source", "out", "checkpoint"))
     schema = "id string, content string, created_at timestamp"
