@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from corpusflow.plans import queries as registered
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events")
@@ -23,7 +24,7 @@ def _sorted(found):
     return sorted(found, key=lambda row: tuple((v is None, v if v is not None else 0) for v in row))
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(registered.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = driver.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
