@@ -92,16 +92,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word in a buffer of UTF-8 bytes.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every word in texts that lie one after the other in a buffer of UTF-8 bytes.
 
     The hash of a word is a polynomial in its bytes modulo 2**64, each byte
     replaced by a random number, then mixed.  It is taken from running sums over
     the buffer, so no word becomes a Python object.
     """
-    blank = _IS_BLANK[data]
-    edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    word = ~_IS_BLANK[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    cut[0] = cut[-1] = True
+    begin, end = cut.copy(), cut.copy()
+    begin[1:-1] |= ~word[:-1]
+    end[1:-1] |= ~word[1:]
+    begin, end = np.flatnonzero(begin[:-1] & word), np.flatnonzero(end[1:] & word) + 1
     if not len(begin):
         return np.zeros(0, np.uint64), begin
     sums = np.zeros(len(data) + 1, dtype=np.uint64)

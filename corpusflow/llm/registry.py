@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import packing, token_counts, token_files
+from corpusflow.llm import mixing, near_dedup, packing, quality, token_counts, token_files
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_token_files": token_files.op7_token_files,
+    "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_quality_rules": quality.OP4_SQL, "op10_mixing": mixing.OP10_SQL}
