@@ -8,16 +8,38 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import common, packing, tokens
+from corpusflow.llm import common, line_dedup, mixing, near_dedup, packing, quality, tokens
 from corpusflow.session import work_path
 
 
+def clean(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Quality rules: documents that pass, without the lines that fail."""
+    return quality.keep(docs)
+
+
+def distinct_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Line dedup: documents without blocks that an earlier one has."""
+    return line_dedup.cleaned(docs)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """MinHash near-dedup: one document of each group, by shingles of five words."""
+    common.ready(spark)
+    return near_dedup.deduplicated(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Mixing: documents as often as the target weights of their sources say."""
+    return mixing.mixed(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Best-fit packing: the pieces of all documents and their places in sequences."""
     return packing.pack_documents(docs, tokens.tokenizer_path("byte_bpe_50k.json"))
 
 
-STAGES = [("best-fit packing", packed)]
+STAGES = [("quality rules", clean), ("line dedup", distinct_lines), ("near-duplicates", distinct_documents),
+          ("source mixing", mixed), ("best-fit packing", packed)]
 ORACLE_SQL = None
 
 
