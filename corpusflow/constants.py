@@ -25,7 +25,6 @@ STATUS_LABELS = {
     "COMPLETED": "已完成",
     "FAILED": "失败",
 }
-STATUSES = tuple(STATUS_LABELS)
 IN_PROGRESS_STATUSES = ("UPLOADING", "PARSING", "CHUNKING", "EMBEDDING")
 
 # Progress reached when a stage begins.
@@ -39,6 +38,7 @@ STAGE_PROGRESS = {
 
 # Messages stored with documents, uploads and knowledge bases.
 MSG_KB_MISSING = "知识库不存在: "
+MSG_DOCUMENT_MISSING = "文档不存在: "
 MSG_KB_NAME_EXISTS = "知识库名称已存在: "
 MSG_TYPE_UNSUPPORTED = "不支持的文件类型: "
 MSG_TYPE_HINT = "，仅支持 PDF、DOC、DOCX、XLS、XLSX、PPT、PPTX、TXT"

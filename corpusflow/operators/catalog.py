@@ -37,6 +37,11 @@ def kb_by_id(knowledge_bases: DataFrame, kb_id: str) -> DataFrame:
     return require(where_equal(knowledge_bases, id=kb_id), K.MSG_KB_MISSING + kb_id)
 
 
+def document_by_id(documents: DataFrame, document_id) -> DataFrame:
+    """The document, or an error naming the missing id."""
+    return require(where_equal(documents, document_id=document_id), f"{K.MSG_DOCUMENT_MISSING}{document_id}")
+
+
 def vector_ids(chunks: DataFrame, document_id, limit: int | None = None) -> DataFrame:
     """Ids of the vectors of a document; without ``limit`` all of them."""
     found = where_equal(chunks, document_id=document_id).select(
@@ -137,12 +142,17 @@ def delete_documents(documents: DataFrame, chunks: DataFrame, listed: DataFrame)
 def delete_kbs(knowledge_bases: DataFrame, documents: DataFrame, chunks: DataFrame, history: DataFrame,
                listed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """All four tables without the listed knowledge bases (column ``id``) and what is below them."""
-    inside = documents.join(
-        broadcast_if_small(listed.select(F.col("id").alias("knowledge_base_id")).distinct()),
-        "knowledge_base_id", "left_semi")
+    if "knowledge_base_id" in chunks.columns:
+        # Also chunks whose document is gone already.
+        left = delete_by_key(chunks, listed, "knowledge_base_id", "id")
+    else:
+        inside = documents.join(
+            broadcast_if_small(listed.select(F.col("id").alias("knowledge_base_id")).distinct()),
+            "knowledge_base_id", "left_semi")
+        left = delete_by_key(chunks, inside, "document_id")
     return (delete_by_key(knowledge_bases, listed, "id"),
             delete_by_key(documents, listed, "knowledge_base_id", "id"),
-            delete_by_key(chunks, inside, "document_id"),
+            left,
             delete_by_key(history, listed, "knowledge_base_id", "id"))
 
 

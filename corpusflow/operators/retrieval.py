@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 from corpusflow import constants as K
 from corpusflow.functions import text as tx
 from corpusflow.functions import vectors as vx
-from corpusflow.operators.topk import top_k
+from corpusflow.operators.topk import top_k, within_scopes
 from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, broadcast_or_none
 
-HIT_BYTES = 96  # generous size of one hit without its content
-
 
 def completed(documents: DataFrame) -> DataFrame:
     """Documents that may be used for answers."""
@@ -24,6 +22,9 @@ def completed(documents: DataFrame) -> DataFrame:
 def kb_chunks(documents: DataFrame, chunks: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Chunks of completed documents, with the knowledge base of the document.
 
+    A chunk without document, or a stored one without knowledge base, belongs
+    to no document; a document listed twice gives its chunks once.
+
     Vectors are not shuffled as long as one of two lists is small: the
     completed documents or, for stored chunks that carry their knowledge base,
     the documents among them that are not completed.  The second list costs a
@@ -31,14 +32,24 @@ def kb_chunks(documents: DataFrame, chunks: DataFrame, limit: int = BROADCAST_BY
     """
     stored = "knowledge_base_id" in chunks.columns
     on = ["document_id", "knowledge_base_id"] if stored else ["document_id"]
-    keys = completed(documents).select("document_id", "knowledge_base_id")
+    keys = completed(documents).select("document_id", "knowledge_base_id").distinct()
     small = broadcast_or_none(keys, limit)
-    if small is not None:
-        return chunks.join(small, on)
     if not stored:
-        return chunks.join(keys, on)
-    others = chunks.select(*on).distinct().join(keys, on, "left_anti")
-    return chunks.join(broadcast_if_small(others, limit), on, "left_anti")
+        return chunks.join(keys if small is None else small, on)
+    if small is not None:
+        return chunks.join(small, on, "left_semi")
+    named = chunks.where("document_id IS NOT NULL AND knowledge_base_id IS NOT NULL")
+    others = named.select(*on).distinct().join(keys, on, "left_anti")
+    return named.join(broadcast_if_small(others, limit), on, "left_anti")
+
+
+def asked_chunks(documents: DataFrame, chunks: DataFrame, questions: DataFrame) -> DataFrame:
+    """Chunks of completed documents of the knowledge bases asked for.
+
+    To be used before chunks are encoded: Catalyst moves no filter below an encoder.
+    """
+    scopes = broadcast_if_small(questions.select("knowledge_base_id").distinct())
+    return kb_chunks(documents.join(scopes, "knowledge_base_id", "left_semi"), chunks)
 
 
 def score_chunks(chunks: DataFrame, question: Sequence[float], metric: str = "cosine") -> DataFrame:
@@ -62,11 +73,6 @@ def top_k_single(chunks: DataFrame, question: Sequence[float], k: int = K.TOP_K,
     return top_k(chunks, one, k, metric).drop("query_id")
 
 
-def _few(hits: DataFrame, questions: DataFrame, k: int) -> DataFrame:
-    """Broadcast hits whose number, at most k per question, is small."""
-    return F.broadcast(hits) if questions.count() * k * HIT_BYTES <= BROADCAST_BYTES else hits
-
-
 def _renumber(hits: DataFrame) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "document_id", "chunk_index")
     return hits.withColumn("rank", F.row_number().over(order))
@@ -90,14 +96,23 @@ def retrieve(documents: DataFrame, chunks: DataFrame, questions: DataFrame, k: i
     usable = completed(documents).select("document_id", "knowledge_base_id")
     # document_id is unique, so this join only filters; written this way round
     # the few hits are what travels.
-    kept = usable.join(_few(hits, questions, k), ["document_id", "knowledge_base_id"])
+    kept = usable.join(broadcast_if_small(hits), ["document_id", "knowledge_base_id"])
     return _renumber(kept.select("query_id", "document_id", "chunk_index", "score"))
 
 
-def with_content(hits: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = K.TOP_K) -> DataFrame:
-    """Fetch the text of the hits only after they are chosen."""
-    texts = chunks.select("document_id", "chunk_index", "content")
-    return texts.join(_few(hits, questions, k), ["document_id", "chunk_index"])
+def with_content(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scope: str = "kb") -> DataFrame:
+    """Fetch the text of the hits only after they are chosen.
+
+    Hits within the knowledge base of the question are looked for only there:
+    of chunks stored by knowledge base the other folders are not read.
+    """
+    on = ["document_id", "chunk_index"]
+    texts = chunks.select(*on, "content")
+    if scope == "kb" and {"knowledge_base_id"} <= set(chunks.columns) & set(questions.columns):
+        texts = within_scopes(chunks, questions, "knowledge_base_id").select(*on, "content", "knowledge_base_id")
+        hits = hits.join(questions.select("query_id", "knowledge_base_id"), "query_id")
+        on = [*on, "knowledge_base_id"]
+    return texts.join(broadcast_if_small(hits), on).drop("knowledge_base_id")
 
 
 def project_hits(hits: DataFrame) -> DataFrame:

@@ -21,13 +21,14 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow import constants as K
-from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size, work_path
 
 METRICS = ("cosine", "l2")
 # Scores are kept to this many decimals, so that summation order cannot decide
@@ -36,6 +37,7 @@ SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
 BLOCK_VALUES = 4_000_000  # numbers of the vectors of one score matrix
 LISTED_SCOPES = 1000  # scopes written out as a filter
+CANDIDATES = 50_000_000  # candidates that the tasks of a scan may give in all
 GATHER_BYTES = 16 * 1024 * 1024  # vectors scored together inside a task
 TILE_BYTES = 32 * 1024 * 1024  # vectors or questions of one block of the grid
 
@@ -46,7 +48,7 @@ def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Flat values, start offsets and widths of a list column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    widths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    widths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     starts = np.concatenate(([0], np.cumsum(widths)[:-1])) if len(widths) else widths
     return flat, starts, widths
@@ -284,19 +286,44 @@ def _result_schema(vectors: DataFrame, questions: DataFrame) -> T.StructType:
     ])
 
 
-def _scan_candidates(vectors, questions, k, metric, buckets: _Buckets, schema) -> DataFrame:
+def _in_scopes(vectors: DataFrame, scope: str, listed: Sequence | None, asked: DataFrame) -> DataFrame:
+    """Vectors of the scopes asked for, so that other folders of a table kept by scope are not read.
+
+    A short list is a filter.  A longer one, ``asked``, is joined; its filter,
+    which nothing fails, is what dynamic partition pruning asks for.
+    """
+    if listed is not None:
+        return vectors.where(F.col(scope).isin(list(listed)))
+    asked = asked.select(scope).where(F.col(scope).cast("string") >= "").distinct()
+    return vectors.join(F.broadcast(asked) if table_size(asked)[1] <= BROADCAST_BYTES else asked, scope, "left_semi")
+
+
+def within_scopes(vectors: DataFrame, questions: DataFrame, scope: str) -> DataFrame:
+    """Vectors, or chunks, whose ``scope`` some question asks for."""
+    found = questions.select(scope).where(F.col(scope).isNotNull()).distinct().limit(LISTED_SCOPES + 1).collect()
+    return _in_scopes(vectors, scope, [r[0] for r in found] if len(found) <= LISTED_SCOPES else None, questions)
+
+
+def _scan_candidates(vectors, asked: pa.Table, k, metric, buckets: _Buckets, schema) -> DataFrame:
     """Questions on every executor, vectors scored in place.
 
-    The scopes that are asked for become a filter of the vectors, which prunes
-    partitions and row groups of a table kept by scope.
+    The scopes that are asked for become a filter of the vectors.  Every task
+    gives k candidates per question, so where there would be too many in all,
+    fewer tasks read more splits each.
     """
-    asked = questions.toArrow()
+    spark = vectors.sparkSession
     if buckets.scope:
         scopes = [v for v in asked[buckets.scope].unique().to_pylist() if v is not None]
-        if len(scopes) <= LISTED_SCOPES:
-            vectors = vectors.where(F.col(buckets.scope).isin(scopes))
+        frame = None
+        if len(scopes) > LISTED_SCOPES:
+            frame = spark.createDataFrame(pa.table({buckets.scope: asked[buckets.scope].unique()}))
+        vectors = _in_scopes(vectors, buckets.scope, scopes if frame is None else None, frame)
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(cores, CANDIDATES // max(1, asked.num_rows * k))
+    if vectors.rdd.getNumPartitions() > tasks:
+        vectors = vectors.coalesce(tasks)
     arrow = to_arrow_schema(schema)
-    sent = vectors.sparkSession.sparkContext.broadcast(asked)
+    sent = spark.sparkContext.broadcast(asked)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prepared = _Questions(sent.value, buckets, metric)
@@ -369,6 +396,22 @@ def _prepared(vectors, questions, k, metric, within):
     return vectors, questions, scope, _result_schema(vectors, questions)
 
 
+def _asked_once(questions: DataFrame, limit: int) -> tuple[pa.Table | None, DataFrame | None]:
+    """The questions as local data if they are within ``limit`` bytes, else as a stored table.
+
+    They are kept while they are measured, so an encoder behind them runs once.
+    """
+    kept = questions.persist(StorageLevel.DISK_ONLY)
+    try:
+        if table_size(kept)[1] <= limit:
+            return kept.toArrow(), None
+        path = work_path(questions.sparkSession, "questions")
+        kept.write.parquet(path)
+        return None, questions.sparkSession.read.schema(questions.schema).parquet(path)
+    finally:
+        kept.unpersist()
+
+
 def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: str = "cosine",
           within: str | None = None, question_bytes: int = BROADCAST_BYTES,
           tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -382,8 +425,9 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: st
     """
     stored = vectors
     vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
-    if table_size(questions)[1] <= question_bytes:
-        return _final(_scan_candidates(vectors, questions, k, metric, _Buckets(within), schema), k)
+    asked, questions = _asked_once(questions, question_bytes)
+    if asked is not None:
+        return _final(_scan_candidates(vectors, asked, k, metric, _Buckets(within), schema), k)
     if not scope:
         stored, vectors, questions = (d.withColumn("_all", F.lit(0)) for d in (stored, vectors, questions))
     keys = scope or ["_all"]
@@ -427,9 +471,10 @@ def top_k_lsh(vectors: DataFrame, questions: DataFrame, width: int, k: int = K.T
     """
     vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
     planes = hyperplanes(width, tables, bits, seed)
-    if table_size(questions)[1] <= question_bytes:
+    asked, questions = _asked_once(questions, question_bytes)
+    if asked is not None:
         buckets = _Buckets(within, planes, tables)
-        return _final(_scan_candidates(vectors, questions, k, metric, buckets, schema), k)
+        return _final(_scan_candidates(vectors, asked, k, metric, buckets, schema), k)
     left, right = (_with_buckets(d, planes, tables) for d in (vectors, questions))
     keys = [*scope, "_table", "_bucket"]
     found = _grid_candidates(left, right, k, metric, keys, schema, tile_bytes)

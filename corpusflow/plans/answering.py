@@ -13,7 +13,7 @@ from corpusflow.operators.generation import ModelFactory, first_chunk_model, gen
 def hits_with_content(documents: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = K.TOP_K,
                       metric: str = "cosine", scope: str = "kb") -> DataFrame:
     hits = retrieval.retrieve(documents, chunks, questions, k, metric, scope)
-    return retrieval.with_content(hits, chunks, questions, k)
+    return retrieval.with_content(hits, chunks, questions, scope)
 
 
 def answer_questions(documents: DataFrame, chunks: DataFrame, questions: DataFrame,

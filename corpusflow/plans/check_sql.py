@@ -45,14 +45,15 @@ chunk_text AS (SELECT document_id, knowledge_base_id, CAST(i AS INT) AS chunk_in
                FROM (SELECT doc_id AS document_id, source AS knowledge_base_id, text,
                      unnest(range(0, CAST(ceil(length(text) / 450.0) AS BIGINT))) AS i
                      FROM documents WHERE length(text) > 0)),
-vec AS (SELECT vec_id, vec_id % 200 AS document_id, CAST(vec_id // 200 AS INT) AS chunk_index, label,
-        embedding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+n_doc AS (SELECT count(*) AS n FROM documents),
+vec AS (SELECT vec_id, vec_id % n AS document_id, CAST(vec_id // n AS INT) AS chunk_index, label,
+        embedding, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, n_doc),
 vector_text AS (SELECT v.document_id, v.chunk_index,
                 substr(d.text, CAST((v.chunk_index % nullif(CAST(ceil(length(d.text) / 450.0) AS BIGINT), 0)) * 450 + 1 AS BIGINT), 500) AS content
                 FROM vec v JOIN documents d ON d.doc_id = v.document_id),
-question AS (SELECT vec_id AS query_id, 'src' || ((vec_id % 200) % 20) AS knowledge_base_id,
+question AS (SELECT vec_id AS query_id, 'src' || ((vec_id % n) % 20) AS knowledge_base_id,
              CAST(vec_id AS VARCHAR) AS session_id, 'question ' || vec_id || ' about ' || label AS message,
-             CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+             CAST(embedding AS DOUBLE[]) AS v FROM embeddings, n_doc),
 asked_text AS (SELECT item_id AS query_id, 'src' || (item_id % 25) AS knowledge_base_id, text AS message FROM benchmark),
 chat_history AS (SELECT conv_id || '_' || turn AS id, CAST(conv_id AS VARCHAR) AS session_id,
                  'src' || (conv_id % 20) AS knowledge_base_id, role, text AS content,

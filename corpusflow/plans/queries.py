@@ -6,8 +6,9 @@ Long texts are compared by md5, scores by six decimals, times as text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ from corpusflow.plans.check_sql import TIME, TRIM, cleaned, literal, planes_sql,
 from corpusflow.session import work_path
 from corpusflow.sources import tables
 from corpusflow.sources import views as vw
-from corpusflow.sources.files import decode_text
+from corpusflow.sources.files import decode_text, write_files
 from corpusflow.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,13 +84,15 @@ def upsert_documents(spark, d):
     return catalog.upsert(stored, changed, ["document_id"])
 
 
-@query("SELECT vec_id, len(embedding) AS n_items, '[' AS opening, true AS same FROM vec")
+# The sixteenths nearest to the items, whose texts are the same in any engine.
+@query("""SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CASE WHEN round(x * 16) = 0
+       THEN '0.0' ELSE CAST(CAST(round(x * 16) / 16 AS FLOAT) AS VARCHAR) END), ', ') || ']' AS text, len(embedding) AS n_items, true AS same FROM vec""")
 def vector_encode(spark, d):
-    text = vx.encode(F.col("embedding"))
-    return vw.chunk_vector(spark, d).withColumn("text", text).select(
-        "vec_id", F.size(F.split("text", ", ")).cast("bigint").alias("n_items"),
-        F.substring("text", 1, 1).alias("opening"),
-        (vx.decode(F.col("text")) == F.col("embedding")).alias("same"))
+    rounded = F.transform("embedding", lambda x: (F.round(x * 16) / 16 + F.lit(0.0)).cast("float"))
+    text, whole = vx.encode(rounded), vx.encode(F.col("embedding"))
+    return vw.chunk_vector(spark, d).select(
+        "vec_id", text.alias("text"), F.size(F.split(whole, ", ")).cast("bigint").alias("n_items"),
+        (vx.decode(whole) == F.col("embedding")).alias("same"))
 
 
 @query("""SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN len(v) ELSE 0 END AS n_items,
@@ -117,13 +120,39 @@ def write_chunks(spark, d):
         "document_id", "chunk_index", "knowledge_base_id", F.size("embedding").cast("bigint").alias("n_items"))
 
 
+# Ids that look like numbers: 007, 1e5.
+KB_NUMBER = "CASE WHEN knowledge_base_id = 'src5' THEN '1e5' ELSE lpad(substr(knowledge_base_id, 4), 3, '0') END"
+DOCUMENT_NUMBER = "lpad(CAST(document_id AS STRING), 7, '0')"
+
+
+@query(f"""SELECT {DOCUMENT_NUMBER} AS document_id, {KB_NUMBER} AS knowledge_base_id, chunk_index, len(embedding) AS n_items
+       FROM vec JOIN doc USING (document_id) WHERE status <> 'FAILED' AND knowledge_base_id <> 'src3'""")
+def delete_stored_documents(spark, d):
+    path = work_path(spark, "chunks")
+    documents = vw.document(spark, d)
+    rows = (vw.chunk_vector(spark, d).join(documents, "document_id").withColumn("number", F.expr(DOCUMENT_NUMBER))
+            .select(F.col("number").alias("document_id"), "chunk_index", "embedding", "status",
+                    F.expr(KB_NUMBER).alias("knowledge_base_id")))
+    tables.write_chunks(rows.drop("status"), path, "overwrite")
+    # Failed documents of all knowledge bases, and all documents of one, whose folder goes.
+    tables.delete_documents_from(spark, path, rows.where("status = 'FAILED' OR knowledge_base_id = '003'"))
+    return tables.scan(spark, path).select("document_id", "knowledge_base_id", "chunk_index",
+                                           F.size("embedding").cast("bigint").alias("n_items"))
+
+
 @query(f"""SELECT doc_id AS document_id, CASE WHEN doc_id % 2 = 0 THEN md5(text)
-       ELSE md5('你好' || regexp_replace(text, '[^\\x01-\\x7f]', '', 'g')) END AS text_md5 FROM documents""", name="decode_text")
+       ELSE md5('你好' || regexp_replace(text, '[^\\x01-\\x7fáàéèêíìóòúùü]', '?', 'g')) END AS text_md5 FROM documents""",
+       name="decode_text")
 def decode_bytes(spark, d):
-    # Every second document gets two GBK characters in front of its ASCII part.
-    ascii_part = F.regexp_replace("text", "[^\\x01-\\x7f]", "")
-    gbk = F.concat(F.unhex(F.lit("C4E3BAC3")), ascii_part.cast("binary"))
-    content = F.when(F.col("document_id") % 2 == 0, F.col("text").cast("binary")).otherwise(gbk)
+    # Every second document is encoded as GBK, behind two Chinese characters; what GBK lacks becomes "?".
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([None if t is None else ("你好" + t).encode("gbk", errors="replace")
+                            for t in texts.to_pylist()], pa.binary())
+
+    even = F.col("document_id") % 2 == 0
+    gbk = F.arrow_udf(encode, "binary")(F.when(~even, F.col("text")))
+    content = F.when(even, F.col("text").cast("binary")).otherwise(gbk)
     return (vw.source_text(spark, d).select("document_id", decode_text(content).alias("text"))
             .select("document_id", _md5("text")))
 
@@ -625,12 +654,48 @@ def process_documents(spark, d):
     return processing.status_of(found).drop("knowledge_base_id")
 
 
+# Plain text; a format with a parser, which fails on some files; a format without one.
+FILE_TYPE = "CASE document_id % 10 WHEN 3 THEN 'pdf' WHEN 4 THEN 'doc' ELSE 'txt' END"
+DAMAGED = "document_id % 20 = 3"
+
+
+@query(f"""WITH file AS (SELECT *, {FILE_TYPE} AS kind, {DAMAGED} AS damaged,
+       status = 'FAILED' OR text IS NULL OR trim(text, {TRIM}) = '' AS blank FROM doc),
+       bad AS (SELECT *, kind = 'doc' OR (kind = 'pdf' AND damaged) OR blank AS failed FROM file)
+       SELECT knowledge_base_id, 'doc_' || document_id || '.' || kind AS file_name, CASE WHEN failed THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+       CASE WHEN failed THEN 30 ELSE 100 END AS progress,
+       CASE WHEN failed THEN 0 ELSE CAST(ceil(length(text) / 450.0) AS INT) END AS chunk_count,
+       CASE WHEN kind = 'doc' THEN '{K.MSG_TYPE_UNSUPPORTED}doc{K.MSG_TYPE_HINT}'
+            WHEN kind = 'pdf' AND damaged THEN 'damaged file' WHEN blank THEN '{K.MSG_NO_TEXT}' END AS error_message FROM bad""")
+def stream_ingest(spark, d):
+    out = work_path(spark, "ingest")
+    content = F.concat(F.when(F.expr(DAMAGED), "!").otherwise("."), F.coalesce("text", F.lit("")))
+    kind = F.expr(FILE_TYPE)
+    found = vw.extracted(spark, d).select(
+        "knowledge_base_id", F.concat(F.lit("doc_"), F.col("document_id").cast("string"), F.lit("."), kind).alias("file_name"),
+        F.when(kind == "pdf", content).otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    write_files(found, f"{out}/uploads")
+
+    def parse(content: bytes) -> str:
+        if content.startswith(b"!"):
+            raise ValueError("damaged file")
+        return content[1:].decode()
+
+    jobs.ingest(spark, f"{out}/uploads", f"{out}/tables", f"{out}/checkpoint", hashing_encoder(16), "*",
+                parsers={"pdf": parse}).awaitTermination()
+    return jobs.ingested_documents(spark, f"{out}/tables").select(
+        "knowledge_base_id", "file_name", "status", "progress", "chunk_count", "error_message")
+
+
 @query(f"""SELECT q.query_id, CASE WHEN h.query_id IS NULL THEN md5('{K.ANSWER_NO_DOCUMENTS}') ELSE md5(h.content) END AS answer_md5,
        s.sources FROM asked_text q LEFT JOIN hashed_hit h ON h.query_id = q.query_id AND h.rank = 1
        LEFT JOIN (SELECT query_id, string_agg(document_id || '_' || chunk_index, ' ' ORDER BY rank) AS sources
        FROM hashed_hit GROUP BY 1) s ON s.query_id = q.query_id""")
 def answer_questions(spark, d):
-    answers = answering.answer_questions(vw.document(spark, d), vw.hashed_chunks(spark, d), vw.hashed_questions(spark, d))
+    # What is not asked for is left out before the encoder, which filters don't pass.
+    documents = vw.document(spark, d)
+    chunks = retrieval.asked_chunks(documents, vw.chunk_text(spark, d), vw.asked_text(spark, d))
+    answers = answering.answer_questions(documents, embed(chunks, hashing_encoder()), vw.hashed_questions(spark, d))
     listed = F.array_join(F.transform("sources", lambda s: s["source"]), " ")
     return answers.select("query_id", _md5("answer"), listed.alias("sources"))
 

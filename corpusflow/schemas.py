@@ -1,55 +1,44 @@
-"""Table schemas."""
+"""Schemas of stored tables.  Read with them, ids stay text whatever the folders are called."""
 
 from pyspark.sql import types as T
 
-KNOWLEDGE_BASE = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("name", T.StringType(), False),
-    T.StructField("description", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("updated_at", T.TimestampType()),
-])
-
 DOCUMENT = T.StructType([
-    T.StructField("document_id", T.StringType(), False),
-    T.StructField("knowledge_base_id", T.StringType(), False),
-    T.StructField("file_name", T.StringType(), False),
+    T.StructField("document_id", T.StringType()),
+    T.StructField("knowledge_base_id", T.StringType()),
+    T.StructField("file_name", T.StringType()),
     T.StructField("file_type", T.StringType()),
     T.StructField("file_path", T.StringType()),
+    T.StructField("uploaded_at", T.TimestampType()),
     T.StructField("status", T.StringType()),
     T.StructField("progress", T.IntegerType()),
-    T.StructField("error_message", T.StringType()),
     T.StructField("chunk_count", T.IntegerType()),
-    T.StructField("uploaded_at", T.TimestampType()),
+    T.StructField("error_message", T.StringType()),
     T.StructField("processed_at", T.TimestampType()),
 ])
 
-CHUNK = T.StructType([
-    T.StructField("document_id", T.StringType(), False),
-    T.StructField("chunk_index", T.IntegerType(), False),
+# One row per chunk of a processed document, see plans.processing.outcomes.
+OUTCOME = T.StructType([
+    T.StructField("document_id", T.StringType()),
+    T.StructField("error", T.StringType()),
+    T.StructField("chunk_index", T.IntegerType()),
     T.StructField("content", T.StringType()),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-    T.StructField("knowledge_base_id", T.StringType(), False),
-])
-
-CHAT_HISTORY = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("session_id", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("ok", T.BooleanType()),
     T.StructField("knowledge_base_id", T.StringType()),
-    T.StructField("role", T.StringType(), False),
-    T.StructField("content", T.StringType(), False),
-    T.StructField("created_at", T.TimestampType()),
 ])
 
-CHAT_MESSAGE = T.StructType([
-    T.StructField("role", T.StringType()),
-    T.StructField("content", T.StringType()),
+# A stage that a document has reached while it is processed.
+STAGE = T.StructType([
+    T.StructField("document_id", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("progress", T.IntegerType()),
+    T.StructField("ts", T.TimestampType()),
 ])
 
-# What the external vector format holds for one chunk.
-VECTOR_RECORD = T.StructType([
-    T.StructField("id", T.StringType(), False),
-    T.StructField("embedding", T.ArrayType(T.FloatType(), False)),
-    T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("document", T.StringType()),
+REJECTED = T.StructType([
+    T.StructField("upload_id", T.StringType()),
+    T.StructField("knowledge_base_id", T.StringType()),
+    T.StructField("file_name", T.StringType()),
+    T.StructField("file_type", T.StringType()),
+    T.StructField("reason", T.StringType()),
 ])

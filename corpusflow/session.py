@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import pathlib
 import tempfile
 import uuid
@@ -15,8 +16,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 # Largest estimated size of a side that is sent to every executor.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Longest list of keys that is computed once and kept as local data.
+# Longest list of keys that is computed once and kept as local data, and the
+# most bytes one of its rows may have.
 SHORT_ROWS = 50_000
+SHORT_ROW_BYTES = 1024
 
 
 def build_session(app: str = "corpusflow", master: str | None = None, **conf) -> SparkSession:
@@ -76,17 +79,22 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+@functools.cache
+def _local_root() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="corpusflow-", ignore_cleanup_errors=True)
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder the cluster names.
 
     Only a local session without ``spark.checkpoint.dir`` falls back to a
-    temporary folder of this machine.
+    temporary folder of this machine, which goes when the program ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="corpusflow-")
+        root = _local_root().name
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -94,17 +102,21 @@ def _width(field: T.StructField):
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(column), F.lit(0)) + 16
-    if isinstance(field.dataType, T.ArrayType):
+    if isinstance(field.dataType, T.ArrayType) and not isinstance(
+            field.dataType.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)):
         return F.coalesce(F.size(column), F.lit(0)) * 8 + 16
-    if isinstance(field.dataType, (T.StructType, T.MapType)):
+    if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
         return F.coalesce(F.octet_length(F.to_json(column)), F.lit(0)) + 16
     return F.lit(8)
 
 
+def _row_width(df: DataFrame):
+    return sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
+
+
 def table_size(df: DataFrame) -> tuple[int, int]:
     """(rows, estimated bytes) of a frame, by one aggregation on the cluster."""
-    row = sum((_width(f) for f in df.schema.fields), F.lit(0)).cast("long")
-    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row), F.lit(0)).alias("b")).first()
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(_row_width(df)), F.lit(0)).alias("b")).first()
     return got["n"], got["b"]
 
 
@@ -123,12 +135,14 @@ def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
 
     A short list, of key columns as a rule, is computed here once and handed on
     as local data, so what it is derived from does not run a second time in the
-    join.  Reading stops as soon as a list turns out not to be short.
+    join.  Reading stops as soon as a list turns out not to be short, and a row
+    of more than ``SHORT_ROW_BYTES`` is not handed over: with it the list isn't short.
     """
-    rows = min(SHORT_ROWS, limit // 1024)
+    rows = min(SHORT_ROWS, limit // SHORT_ROW_BYTES)
     if rows:
-        got = df.limit(rows + 1).collect()
-        if len(got) <= rows:
+        short = F.when(_row_width(df) <= SHORT_ROW_BYTES, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        got = [r[0] for r in df.limit(rows + 1).select(short).collect()]
+        if len(got) <= rows and None not in got:
             return F.broadcast(_local(df, got))
     return F.broadcast(df) if table_size(df)[1] <= limit else None
 

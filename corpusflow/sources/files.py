@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,23 @@ def read_files(spark: SparkSession, folder: str, pattern: str | None = None) ->
     return _from_path(reader.load(folder))
 
 
+def write_files(df: DataFrame, folder: str) -> int:
+    """Write ``content`` (bytes) of each row to ``folder``/<knowledge base>/<file name>; returns the number of files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        for batch in batches:
+            for base, name, content in zip(*(batch.column(c).to_pylist() for c in (
+                    "knowledge_base_id", "file_name", "content"))):
+                system.create_dir(f"{root}/{base}", recursive=True)
+                with system.open_output_stream(f"{root}/{base}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])
+
+    rows = df.select("knowledge_base_id", "file_name", "content")
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def stream_files(spark: SparkSession, folder: str, pattern: str | None = None,
                  files_per_trigger: int | None = None) -> DataFrame:
     """The same files as a stream: every path is delivered once."""

@@ -83,11 +83,17 @@ def paragraph_text(spark, folder) -> DataFrame:
     return source_text(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
+def _documents(spark, folder) -> int:
+    """Number of documents, which comes from file footers."""
+    return max(1, table(spark, folder, "documents").count())
+
+
 def chunk_vector(spark, folder) -> DataFrame:
-    """document_id, chunk_index, embedding, label of the stored vectors."""
+    """document_id, chunk_index, embedding, label of the stored vectors, dealt over all documents."""
+    n = _documents(spark, folder)
     return table(spark, folder, "embeddings").select(
-        (F.col("vec_id") % 200).alias("document_id"),
-        F.expr("cast(vec_id div 200 as int)").alias("chunk_index"), "embedding", "label", "vec_id")
+        (F.col("vec_id") % n).alias("document_id"),
+        F.expr(f"cast(vec_id div {n} as int)").alias("chunk_index"), "embedding", "label", "vec_id")
 
 
 def vector_text(spark, folder) -> DataFrame:
@@ -105,7 +111,7 @@ def vector_text(spark, folder) -> DataFrame:
 
 def question(spark, folder) -> DataFrame:
     """query_id, knowledge_base_id, session_id, message, embedding: every stored vector asks."""
-    document_id = F.col("vec_id") % 200
+    document_id = F.col("vec_id") % _documents(spark, folder)
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("src"), (document_id % 20).cast("string")).alias("knowledge_base_id"),

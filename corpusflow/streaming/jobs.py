@@ -8,17 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from corpusflow import constants as K
 from corpusflow.operators.catalog import validate_uploads
 from corpusflow.operators.embedding import EncoderFactory
 from corpusflow.operators.lifecycle import latest_status
 from corpusflow.plans import processing
+from corpusflow.schemas import DOCUMENT, OUTCOME, REJECTED, STAGE
 from corpusflow.session import broadcast_if_small
 from corpusflow.sources.files import stream_files, to_documents
-from corpusflow.sources.tables import exists
+from corpusflow.sources.tables import drop_folders, exists
+
+LOG_PARTS = 64  # folders of the message log
 
 
 def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str,
@@ -31,29 +36,44 @@ def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder: EncoderFactory,
            pattern: str = "*.txt", strategy: str = "fixed", every: str | None = None,
            files_per_trigger: int | None = None, knowledge_bases: DataFrame | None = None,
-           extractor=None) -> StreamingQuery:
-    """Process every newly arrived file once: documents, chunks and statuses below ``out``.
+           extractor=None, parsers=None) -> StreamingQuery:
+    """Process every newly arrived file once: documents, chunks, stages and statuses below ``out``.
 
     With ``knowledge_bases`` a file has to pass the upload checks first; refused
-    ones are listed with their reason in ``out``/rejected.
+    ones are listed with their reason in ``out``/rejected.  A batch may be empty
+    or all refused.  Stages a document passes are listed in ``out``/stages, as
+    :func:`follow_status` takes them.
     """
 
     def each(files: DataFrame, batch: int) -> None:
         documents = to_documents(files)
         if knowledge_bases is not None:
             documents = accepted(documents, batch)
-        statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy, extractor)
+        stage(documents, "PARSING", batch)
+        statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy, extractor,
+                                         parsers=parsers)
+        # Cutting and encoding are one job here; a document that got so far has passed both.
+        passed = statuses.where("chunk_count > 0")
+        for name in ("CHUNKING", "EMBEDDING"):
+            stage(passed, name, batch)
+        (statuses.select("document_id", "status", "progress", F.current_timestamp().alias("ts"))
+         .write.mode("overwrite").parquet(f"{out}/stages/batch={batch}/stage=FINAL"))
         final = statuses.drop("knowledge_base_id")
         head = documents.drop("content", "status", "progress", "error_message", "chunk_count", "processed_at")
         (head.join(final, "document_id").withColumn("processed_at", F.current_timestamp())
          .write.mode("overwrite").parquet(f"{out}/documents/batch={batch}"))
 
+    def stage(documents: DataFrame, name: str, batch: int) -> None:
+        (documents.select("document_id", F.lit(name).alias("status"), F.lit(K.STAGE_PROGRESS[name]).alias("progress"),
+                          F.current_timestamp().alias("ts"))
+         .write.mode("overwrite").parquet(f"{out}/stages/batch={batch}/stage={name}"))
+
     def accepted(documents: DataFrame, batch: int) -> DataFrame:
         own = documents.sparkSession
         uploads = documents.select(F.col("document_id").alias("upload_id"), "knowledge_base_id", "file_name")
         stored = uploads.where("false")
         if exists(own, f"{out}/documents"):
-            stored = _batches(own, f"{out}/documents").where(F.col("batch") != batch)
+            stored = _batches(own, f"{out}/documents", DOCUMENT).where(F.col("batch") != batch)
         judged = validate_uploads(uploads, knowledge_bases, stored)
         path = f"{out}/rejected/batch={batch}"
         judged.where("reason IS NOT NULL").write.mode("overwrite").parquet(path)
@@ -63,27 +83,46 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
     return _start(stream_files(spark, folder, pattern, files_per_trigger), each, checkpoint, every=every)
 
 
-def _batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("basePath", path).parquet(path)
+def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What the micro-batches wrote; with the schema stated no footer is opened for it."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).option("basePath", path).parquet(path)
 
 
 def rejected_files(spark: SparkSession, out: str) -> DataFrame:
-    return _batches(spark, f"{out}/rejected").drop("batch")
+    return _batches(spark, f"{out}/rejected", REJECTED).drop("batch")
 
 
 def ingested_documents(spark: SparkSession, out: str) -> DataFrame:
-    return _batches(spark, f"{out}/documents").drop("batch")
+    return _batches(spark, f"{out}/documents", DOCUMENT).drop("batch")
 
 
 def ingested_chunks(spark: SparkSession, out: str) -> DataFrame:
-    rows = _batches(spark, f"{out}/chunks").drop("batch")
-    return processing.usable_chunks(rows.withColumn("knowledge_base_id", F.col("knowledge_base_id").cast("string")))
+    return processing.usable_chunks(_batches(spark, f"{out}/chunks", OUTCOME).drop("batch"))
+
+
+def ingested_stages(spark: SparkSession, out: str) -> DataFrame:
+    """document_id, status, progress, ts of every stage that a document has passed."""
+    return _batches(spark, f"{out}/stages", STAGE).drop("batch", "stage")
 
 
-def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep the last status per document: each micro-batch writes the documents that changed."""
+def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | None = None,
+                  compact: int = 100) -> StreamingQuery:
+    """Keep the last status per document: each micro-batch writes the documents that changed.
+
+    Every ``compact``-th one writes the status of all documents instead, and the
+    next removes the folders before it, when it is sure to be complete.
+    """
 
     def each(changed: DataFrame, batch: int) -> None:
+        spark = changed.sparkSession
+        full = batch - batch % compact
+        if batch > full > 0:
+            drop_folders(spark, out, "batch", lambda name: int(name) < full)
+        elif batch == full > 0 and exists(spark, out):
+            before = _batches(spark, out, changed.schema).where(F.col("batch") < batch)
+            both = before.unionByName(changed.withColumn("batch", F.lit(batch).cast("long")))
+            changed = _newest(both, changed.columns)
         changed.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     return _start(latest_status(events), each, checkpoint, "update", every)
@@ -91,31 +130,40 @@ def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | Non
 
 def followed_status(spark: SparkSession, out: str) -> DataFrame:
     """Current status per document from what :func:`follow_status` wrote."""
-    newest = F.max_by(F.struct("status", "ts"), F.col("batch"))
-    return (_batches(spark, out).groupBy("document_id").agg(newest.alias("last"))
-            .select("document_id", "last.status", "last.ts"))
+    return _newest(spark.read.option("basePath", out).parquet(out), ["document_id", "status", "ts"])
+
+
+def _newest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The row of the last micro-batch per document."""
+    others = [c for c in columns if c != "document_id"]
+    last = rows.groupBy("document_id").agg(F.max_by(F.struct(*others), F.col("batch")).alias("last"))
+    return last.select("document_id", *[f"last.{c}" for c in others]).select(*columns)
 
 
 def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Append messages of a history stream, each id once, however late it repeats.
+    """Append messages of a history stream, each id once, however late it repeats and whatever its time is.
 
-    The log is kept by day of the message, so a micro-batch is compared only
-    with the days it has messages of.
+    The log is kept in folders by hash of the id; a micro-batch reads the ids of
+    the folders that it has messages for.  Messages without id are all kept.
     """
 
     def each(arrived: DataFrame, batch: int) -> None:
         spark = arrived.sparkSession
-        new = (arrived.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-               .dropDuplicates(["id"]))
+        part = F.pmod(F.xxhash64("id"), F.lit(LOG_PARTS)).cast("int")
+        # Ties among repeats in one batch go to the earliest, so a batch that runs again writes the same.
+        order = Window.partitionBy("id").orderBy(*sorted(c for c in arrived.columns if c != "id"))
+        named = arrived.where("id IS NOT NULL").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+        new = named.withColumn("part", part)
         if exists(spark, out):
-            days = broadcast_if_small(new.select("day").distinct())
-            known = (_batches(spark, out).where(F.col("batch") != batch)
-                     .join(days, "day", "left_semi").select("id"))
-            new = new.join(known, "id", "left_anti")
-        new.write.mode("overwrite").partitionBy("day").parquet(f"{out}/batch={batch}")
+            schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("part", T.IntegerType())])
+            asked = [r[0] for r in new.select("part").distinct().collect()]
+            known = _batches(spark, out, schema).where((F.col("batch") != batch) & F.col("part").isin(asked))
+            new = new.join(known.select("id"), "id", "left_anti")
+        rows = new.unionByName(arrived.where("id IS NULL").withColumn("part", F.lit(0)))
+        rows.write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch}")
 
     return _start(messages, each, checkpoint, every=every)
 
 
 def logged_messages(spark: SparkSession, out: str) -> DataFrame:
-    return _batches(spark, out).drop("batch", "day")
+    return spark.read.option("basePath", out).parquet(out).drop("batch", "part")
