@@ -19,6 +19,9 @@ from corpusflow.functions.text import clean_for_embedding
 # is called once per task, where it may load a model.
 Encoder = Callable[[pa.Array], Sequence | np.ndarray | pa.Array]
 EncoderFactory = Callable[[], Encoder]
+# Texts that fail one after the other before the encoder counts as down.
+FAILURES_IN_A_ROW = 1000
+TEXTS_AT_ONCE = 1024
 
 
 def _lists(values: np.ndarray, widths: np.ndarray) -> pa.ListArray:
@@ -65,6 +68,22 @@ def hashing_encoder(width: int = 64, normalise: bool = True) -> EncoderFactory:
     return factory
 
 
+class EncoderContractError(ValueError):
+    """The encoder itself is wrong; unlike a text it fails on, this ends the job."""
+
+
+class _Failures:
+    """Counts texts that failed in a row, so that an outage doesn't cost two calls for each of all texts."""
+
+    def __init__(self):
+        self.count = 0
+
+    def add(self, problem: Exception) -> None:
+        self.count += 1
+        if self.count > FAILURES_IN_A_ROW:
+            raise RuntimeError(f"the encoder failed on {self.count} texts in a row") from problem
+
+
 def _encoded(encode: Encoder, texts: pa.Array) -> pa.ListArray:
     vectors = encode(texts)
     if not isinstance(vectors, pa.Array):
@@ -72,20 +91,25 @@ def _encoded(encode: Encoder, texts: pa.Array) -> pa.ListArray:
         widths = np.fromiter(map(len, vectors), np.int64, len(vectors))
         vectors = _lists(np.concatenate(vectors) if len(vectors) else np.empty(0), widths)
     if len(vectors) != len(texts):
-        raise ValueError("the encoder must give one vector per text")
+        raise EncoderContractError("the encoder must give one vector per text")
     return vectors
 
 
-def _safely(encode: Encoder, texts: pa.Array) -> pa.ListArray:
+def _safely(encode: Encoder, texts: pa.Array, failures: _Failures) -> pa.ListArray:
     """One vector per text; a text the encoder fails on gets an empty one."""
     try:
-        return _encoded(encode, texts)
-    except Exception:
+        vectors = _encoded(encode, texts)
+        failures.count = 0
+        return vectors
+    except EncoderContractError:
+        raise
+    except Exception as problem:
         if len(texts) <= 1:
+            failures.add(problem)
             return _lists(np.empty(0), np.zeros(len(texts), np.int64))
-        # Halve until only the failing texts stand alone.
-        middle = len(texts) // 2
-        return pa.concat_arrays([_safely(encode, texts[:middle]), _safely(encode, texts[middle:])])
+    # Halve until only the failing texts stand alone.
+    middle = len(texts) // 2
+    return pa.concat_arrays([_safely(encode, part, failures) for part in (texts[:middle], texts[middle:])])
 
 
 def embed(df: DataFrame, encoder: EncoderFactory, text: str = "content", out: str = "embedding",
@@ -97,9 +121,12 @@ def embed(df: DataFrame, encoder: EncoderFactory, text: str = "content", out: st
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = encoder()
+        encode, failures = encoder(), _Failures()
         for texts in batches:
-            vectors = _safely(encode, texts.drop_null())
+            found = texts.drop_null()
+            # Slices bound what a batch of long vectors takes.
+            vectors = pa.concat_arrays([_safely(encode, found[i:i + TEXTS_AT_ONCE], failures)
+                                        for i in range(0, max(1, len(found)), TEXTS_AT_ONCE)])
             if texts.null_count:
                 widths = np.zeros(len(texts), np.int64)
                 widths[texts.is_valid().to_numpy(zero_copy_only=False)] = vectors.value_lengths().to_numpy()

@@ -506,7 +506,7 @@ PROBED = dict(width=64, bits=5, seed=7)
 PROBES = 8
 
 
-@query(f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {PROBED['bits']})) AS p, unnest({planes_sql(tables=1, **PROBED)}) AS w)),
+PROBED_SQL = f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {PROBED['bits']})) AS p, unnest({planes_sql(tables=1, **PROBED)}) AS w)),
        margin AS (SELECT vec_id, p, list_dot_product(v, w) AS m FROM vec, plane),
        home AS (SELECT vec_id, sum(CASE WHEN m > 0 THEN 1 << p ELSE 0 END) AS bucket FROM margin GROUP BY vec_id),
        visit AS (SELECT vec_id, b FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY sum(
@@ -514,13 +514,34 @@ PROBES = 8
                  FROM margin, range(0, {1 << PROBED['bits']}) t(b) GROUP BY vec_id, b) WHERE r <= {PROBES}),
        scored AS (SELECT q.query_id, c.document_id, c.chunk_index, round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
                   FROM visit JOIN home ON home.bucket = visit.b JOIN question q ON q.query_id = visit.vec_id
-                  JOIN vec c ON c.vec_id = home.vec_id)
-       SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3""")
-def topk_probed(spark, d):
+                  JOIN vec c ON c.vec_id = home.vec_id),
+       probed_hit AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3)
+       """
+
+
+def _probed(spark, d) -> DataFrame:
     path = work_path(spark, "bucketed")
     tables.write_by(add_bucket(vw.chunk_vector(spark, d), **PROBED), path, "bucket", "overwrite")
-    return _hits(top_k_probed(tables.scan(spark, path), vw.question(spark, d), probes=PROBES, metric="l2", **PROBED))
+    return top_k_probed(tables.scan(spark, path), vw.question(spark, d), probes=PROBES, metric="l2", **PROBED)
+
+
+@query(f"{PROBED_SQL} SELECT {HITS} FROM probed_hit")
+def topk_probed(spark, d):
+    return _hits(_probed(spark, d))
+
+
+@query(f"""{PROBED_SQL} SELECT e.rank, count(*) AS exact, count(p.query_id) AS found,
+       round(count(p.query_id) / count(*), 6) AS recall FROM l2_hit e LEFT JOIN probed_hit p
+       USING (query_id, document_id, chunk_index) GROUP BY e.rank""")
+def topk_recall(spark, d):
+    """How many of the exact hits the approximate search finds, by their rank."""
+    key = ["query_id", "document_id", "chunk_index"]
+    exact = top_k(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2").select(*key, "rank")
+    found = _probed(spark, d).select(*key, F.lit(True).alias("hit"))
+    counts = exact.join(found, key, "left").groupBy("rank").agg(
+        F.count("*").alias("exact"), F.count("hit").alias("found"))
+    return counts.withColumn("recall", F.round(F.col("found") / F.col("exact"), 6))
 
 
 @query(f"SELECT id, role, md5(content) AS content_md5, {TIME.format('created_at')} AS created_at "

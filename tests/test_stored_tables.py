@@ -1,12 +1,13 @@
 """Stored tables and streams where ids look like numbers, batches are empty and parsers fail."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.operators import catalog, retrieval
 from corpusflow.operators.embedding import embed, hashing_encoder
-from corpusflow.operators.topk import add_bucket
+from corpusflow.operators.topk import add_bucket, add_probes, top_k, top_k_probed
 from corpusflow.plans import answering, processing
 from corpusflow.sources import files, tables
 from corpusflow.streaming import jobs
@@ -180,3 +181,40 @@ def test_contents_are_read_from_the_folders_asked_for(spark, tmp_path):
     scans = [part for part in plan.split("FileScan parquet")[1:]]
     assert scans and all("knowledge_base_id" in s.split("PartitionFilters: [")[1].split("]")[0] for s in scans)
     assert sorted(r["content"] for r in found.collect()) == ["text 10", "text 2", "text 6"]
+
+
+def test_an_encoder_that_breaks_its_contract_ends_the_job(spark):
+    def factory():
+        return lambda texts: [[1.0]] * (len(texts) + 1)
+
+    df = spark.createDataFrame([("a",), ("b",)], "content string")
+    with pytest.raises(Exception, match="one vector per text"):
+        embed(df, factory).collect()
+
+
+def test_an_encoder_that_is_down_ends_the_job(spark):
+    def factory():
+        def encode(texts):
+            raise RuntimeError("down")
+        return encode
+
+    df = spark.range(1500).selectExpr("cast(id AS string) AS content").coalesce(1)
+    with pytest.raises(Exception, match="texts in a row"):
+        embed(df, factory).collect()
+    assert embed(df.limit(900), factory).where("size(embedding) = 0").count() == 900
+
+
+def test_recall_of_the_approximate_search_on_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 64))
+    vectors = np.concatenate([c + 0.15 * rng.standard_normal((20, 64)) for c in centres])
+    rows = [(str(i), 0, v.tolist()) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "document_id string, chunk_index int, embedding array<float>")
+    asked = df.where("cast(document_id AS int) % 6 = 0").withColumnRenamed("document_id", "query_id").drop("chunk_index")
+    exact = {tuple(r) for r in top_k(df, asked, 5).select("query_id", "document_id").collect()}
+    kept = add_bucket(df, 64, 6)
+    found = {tuple(r) for r in top_k_probed(kept, asked, 64, 6, 12, 5).select("query_id", "document_id").collect()}
+    assert len(exact & found) >= 0.95 * len(exact)
+    size = {r["bucket"]: r["count"] for r in kept.groupBy("bucket").count().collect()}
+    visited = sum(size.get(r["bucket"], 0) for r in add_probes(asked, 64, 6, 12).collect())
+    assert visited <= 0.25 * len(rows) * asked.count()
