@@ -4,10 +4,12 @@ A question is scored against a whole block of vectors by one matrix product
 inside a task, and only the best k per question leave the task.  No pair of
 question and vector ever becomes a row.
 
-Two physical forms give the same result:
+Three physical forms give the same result:
 
 * questions of a measured, bounded size are sent to every executor and the
   vectors are scored where they are read: no shuffle of the vectors;
+* up to eight times as many come in blocks of that size, for each of which the
+  vectors are scanned once more;
 * otherwise both sides are cut into blocks of bounded size and every block of
   vectors meets every block of questions of its group in a task of its own, so
   a group that holds a large share of all rows spreads over many tasks.
@@ -17,6 +19,7 @@ A last window keeps the k best of the per-task candidates.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -37,6 +40,7 @@ SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
 BLOCK_VALUES = 4_000_000  # numbers of the vectors of one score matrix
 LISTED_SCOPES = 1000  # scopes written out as a filter
+SCANS = 8  # most scans of the vectors for blocks of questions
 CANDIDATES = 50_000_000  # candidates that the tasks of a scan may give in all
 GATHER_BYTES = 16 * 1024 * 1024  # vectors scored together inside a task
 TILE_BYTES = 32 * 1024 * 1024  # vectors or questions of one block of the grid
@@ -332,6 +336,12 @@ def _scan_candidates(vectors, asked: pa.Table, k, metric, buckets: _Buckets, sch
     return vectors.mapInArrow(score, schema)
 
 
+def _scans(vectors, asked: list[pa.Table], k, metric, buckets: _Buckets, schema) -> DataFrame:
+    """Candidates for all blocks of questions, the vectors being scanned for each."""
+    found = [_scan_candidates(vectors, block, k, metric, buckets, schema) for block in asked]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def _pieces(df: DataFrame, keys: Sequence[str], rows: int, out: str) -> DataFrame:
     """Keys with more rows than one block takes, and the number of blocks they need."""
     return (df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
@@ -396,18 +406,23 @@ def _prepared(vectors, questions, k, metric, within):
     return vectors, questions, scope, _result_schema(vectors, questions)
 
 
-def _asked_once(questions: DataFrame, limit: int) -> tuple[pa.Table | None, DataFrame | None]:
-    """The questions as local data if they are within ``limit`` bytes, else as a stored table.
+def _asked_once(questions: DataFrame, limit: int) -> tuple[list[pa.Table], DataFrame | None]:
+    """The questions as local data in blocks of ``limit`` bytes, SCANS at most, else as a stored table.
 
     They are kept while they are measured, so an encoder behind them runs once.
     """
     kept = questions.persist(StorageLevel.DISK_ONLY)
     try:
-        if table_size(kept)[1] <= limit:
-            return kept.toArrow(), None
+        size = table_size(kept)[1]
+        if size <= limit:
+            return [kept.toArrow()], None
+        if size <= SCANS * limit:
+            n = -(-size // limit)
+            block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+            return [kept.where(block == i).toArrow() for i in range(n)], None
         path = work_path(questions.sparkSession, "questions")
         kept.write.parquet(path)
-        return None, questions.sparkSession.read.schema(questions.schema).parquet(path)
+        return [], questions.sparkSession.read.schema(questions.schema).parquet(path)
     finally:
         kept.unpersist()
 
@@ -426,8 +441,8 @@ def top_k(vectors: DataFrame, questions: DataFrame, k: int = K.TOP_K, metric: st
     stored = vectors
     vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
     asked, questions = _asked_once(questions, question_bytes)
-    if asked is not None:
-        return _final(_scan_candidates(vectors, asked, k, metric, _Buckets(within), schema), k)
+    if asked:
+        return _final(_scans(vectors, asked, k, metric, _Buckets(within), schema), k)
     if not scope:
         stored, vectors, questions = (d.withColumn("_all", F.lit(0)) for d in (stored, vectors, questions))
     keys = scope or ["_all"]
@@ -472,9 +487,9 @@ def top_k_lsh(vectors: DataFrame, questions: DataFrame, width: int, k: int = K.T
     vectors, questions, scope, schema = _prepared(vectors, questions, k, metric, within)
     planes = hyperplanes(width, tables, bits, seed)
     asked, questions = _asked_once(questions, question_bytes)
-    if asked is not None:
+    if asked:
         buckets = _Buckets(within, planes, tables)
-        return _final(_scan_candidates(vectors, asked, k, metric, buckets, schema), k)
+        return _final(_scans(vectors, asked, k, metric, buckets, schema), k)
     left, right = (_with_buckets(d, planes, tables) for d in (vectors, questions))
     keys = [*scope, "_table", "_bucket"]
     found = _grid_candidates(left, right, k, metric, keys, schema, tile_bytes)

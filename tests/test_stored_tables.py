@@ -8,6 +8,7 @@ from corpusflow import constants as K
 from corpusflow.operators import catalog, retrieval
 from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.topk import add_bucket, add_probes, top_k, top_k_probed
+from corpusflow.session import table_size
 from corpusflow.plans import answering, processing
 from corpusflow.sources import files, tables
 from corpusflow.streaming import jobs
@@ -218,3 +219,14 @@ def test_recall_of_the_approximate_search_on_clustered_vectors(spark):
     size = {r["bucket"]: r["count"] for r in kept.groupBy("bucket").count().collect()}
     visited = sum(size.get(r["bucket"], 0) for r in add_probes(asked, 64, 6, 12).collect())
     assert visited <= 0.25 * len(rows) * asked.count()
+
+
+@pytest.mark.parametrize("within", [None, "knowledge_base_id"])
+def test_blocks_of_questions_are_scanned_in_turn(spark, within):
+    rng = np.random.default_rng(2)
+    rows = [(f"d{i}", 0, rng.standard_normal(8).tolist(), f"k{i % 3}") for i in range(120)]
+    df = spark.createDataFrame(rows, CHUNK)
+    asked = df.limit(40).withColumnRenamed("document_id", "query_id").drop("chunk_index")
+    got = top_k(df, asked, 4, within=within, question_bytes=table_size(asked)[1] // 3)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, top_k(df, asked, 4, within=within).collect()))
