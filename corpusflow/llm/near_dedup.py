@@ -9,9 +9,10 @@
 3. What may still be missing are links between classes of one bucket that are in
    different components.  Buckets with more than one component are cut into
    blocks, and each class outside a bucket's largest component meets all the
-   others, by signature within a task; links that the full sets confirm
-   complete the components.  Classes of one component are not compared again,
-   so large groups of copies cost a star, not all pairs.
+   others, by signature within a task.  Classes live in homes of bounded size; a
+   class asks for each home of which some signature agrees, and is compared
+   there in full.  Classes of one component are not compared again, and pairs
+   never become rows, only links do.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ BANDS, ROWS = 42, 6
 #: Signatures that agree less, in standard deviations below the threshold, are not compared in full.
 DEVIATIONS = 5
 BLOCK = 512
+#: Classes of a component in open buckets, below which it has no homes of its own.
+SMALL = 16
+#: Classes that one copy of a home answers.
+ASKING = 4096
 
 _SIGNED = "doc_id long, n_shingles long, class_id long, check long, signature binary, bands array<long>"
 #: Nodes of classes that no doc_id names begin here.
@@ -187,25 +192,32 @@ def _confirm(percent: int):
     return run
 
 
+def _runs(*columns: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the runs of rows that agree in all columns."""
+    keys = np.stack(columns)
+    edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+    return zip(np.append(0, edges).tolist(), np.append(edges, keys.shape[1]).tolist())
+
+
 def _meet(least: int):
-    """Pairs within a block whose signatures agree, one of them outside the bucket's largest component.
+    """Which classes have to be compared in full with which home blocks.
 
-    Rows come sorted by block; one that continues in the next batch is carried over.
+    Rows come sorted by block of a bucket; one that continues in the next batch
+    is carried over.  A class outside the bucket's largest component asks for
+    the home of every class of another component whose signature agrees.
     """
 
     def pairs(rows: pa.Table) -> pa.RecordBatch:
-        blocks = np.stack([rows.column(c).to_numpy() for c in ("bucket", "in_all", "in_own")])
-        edges = np.flatnonzero((blocks[:, 1:] != blocks[:, :-1]).any(axis=0)) + 1
         marks = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(rows), -1)
-        ids, parts, own = (rows.column(c).to_numpy() for c in ("node", "component", "own"))
+        ids, parts, home, own = (rows.column(c).to_numpy() for c in ("node", "component", "home", "own"))
         found = [np.zeros((0, 2), np.int64)]
-        for a, b in zip(np.append(0, edges), np.append(edges, len(rows))):
+        for a, b in _runs(*(rows.column(c).to_numpy() for c in ("bucket", "in_all", "in_own"))):
             for i in a + np.flatnonzero(own[a:b]):
                 near = (parts[a:b] != parts[i]) & ((marks[a:b] == marks[i]).sum(axis=1) >= least)
-                met = ids[a:b][near]
-                found.append(np.stack([np.minimum(met, ids[i]), np.maximum(met, ids[i])], axis=1))
+                homes = np.unique(home[a:b][near])
+                found.append(np.stack([np.full(len(homes), ids[i]), homes], axis=1))
         found = np.unique(np.concatenate(found), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "home"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
@@ -214,11 +226,7 @@ def _meet(least: int):
             rows = pa.concat_tables([carried, rows]).combine_chunks() if carried is not None else rows
             if not len(rows):
                 continue
-            same = np.ones(len(rows), bool)
-            for c in ("bucket", "in_all", "in_own"):
-                values = rows.column(c).to_numpy()
-                same &= values == values[-1]
-            open_at = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0
+            *_, (open_at, _) = _runs(*(rows.column(c).to_numpy() for c in ("bucket", "in_all", "in_own")))
             carried = rows.slice(open_at)
             if open_at:
                 yield pairs(rows.slice(0, open_at))
@@ -227,6 +235,43 @@ def _meet(least: int):
     return run
 
 
+def _compare(percent: int):
+    """Links between classes that ask and the classes of a home block, on full sets.
+
+    Rows come sorted by home and part: the classes at home first, which are kept
+    until the next home begins, then those that ask, one after the other.
+    """
+
+    def links(node, component, asked, home) -> list[tuple[int, int]]:
+        nodes, parts, values, starts, sizes = home
+        at = np.searchsorted(asked, values)
+        at[at == len(asked)] = 0
+        both = np.add.reduceat(asked[at] == values, starts, dtype=np.int64)
+        near = (parts != component) & (100 * both >= percent * (sizes + len(asked) - both))
+        return [(min(node, v), max(node, v)) for v in nodes[near].tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, home = None, [], None
+        for batch in batches:
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("home", "part", "own", "node", "component")]
+            for *now, own, node, component, shingles in zip(*columns, batch.column("shingles")):
+                values = np.frombuffer(shingles.as_buffer(), np.uint64)
+                if now != key:
+                    key, members, home = now, [], None
+                if not own:
+                    members.append((node, component, values.copy()))
+                elif members:
+                    if home is None:
+                        sizes = np.array([len(v) for *_, v in members])
+                        home = (np.array([n for n, *_ in members]), np.array([c for _, c, _ in members]),
+                                np.concatenate([v for *_, v in members]), np.cumsum(sizes) - sizes, sizes)
+                    found += links(node, component, values, home)
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)],
+                                             names=["u", "v"])
+    return run
+
+
 def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """``pairs`` (u, v) with the column of both ends as su and sv."""
     u = values.select(F.col("node").alias("u"), F.col(column).alias("su"))
@@ -255,7 +300,9 @@ def _links(classes: DataFrame, sets_of, least: int, percent: int) -> DataFrame:
     keys = (classes.select("node", F.posexplode("bands").alias("band", "value"))
             .select("node", F.xxhash64("band", "value").alias("bucket")))
     buckets = keys.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n"))
-    members = common.stored(keys.join(buckets.filter("n > 1"), "bucket").select("bucket", "node", "first"), "buckets")
+    # Stored, so that a large bucket's side of the join is a plain shuffle, which adaptive execution can split.
+    buckets = common.stored(buckets.filter("n > 1").drop("n"), "shared_buckets")
+    members = common.stored(keys.join(buckets, "bucket").select("bucket", "node", "first"), "buckets")
     marks = common.stored(classes.select("node", "signature").join(members.select("node").distinct(), "node"), "marks")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -272,24 +319,63 @@ def _links(classes: DataFrame, sets_of, least: int, percent: int) -> DataFrame:
     placed = members.select("bucket", "node").join(parts, "node", "left")
     placed = common.stored(placed.select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    open_ = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    mixed = (sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
              .filter(F.col("m.n") < F.col("all"))
              .select("bucket", F.col("m.component").alias("largest"), F.ceil(F.col("all") / BLOCK).alias("n_all"),
                      F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("n_own")))
+    open_ = common.stored(placed.join(common.stored(mixed, "mixed"), "bucket"), "open")
+    homes = common.stored(_homes(open_), "homes")
+
     # Blocks of the classes outside the largest component meet blocks of all classes of the bucket.
     drawn = F.xxhash64("node", F.lit(7))
-    rows = placed.join(open_, "bucket").join(marks, "node").select(
-        "bucket", "node", "component", "signature", (F.col("component") != F.col("largest")).alias("other"),
+    rows = open_.join(homes.drop("component"), "node").join(marks, "node").select(
+        "bucket", "node", "component", "signature", "home", (F.col("component") != F.col("largest")).alias("other"),
         "n_all", "n_own", F.pmod(drawn, "n_all").alias("in_all"), F.pmod(drawn, "n_own").alias("in_own"))
-    rows = common.stored(rows, "open")
+    rows = common.stored(rows, "meeting")
     every = rows.withColumn("in_own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_own") - 1))).withColumn(
         "own", F.lit(False))
     other = rows.filter("other").withColumn(
         "in_all", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_all") - 1))).withColumn("own", F.lit(True))
     block = ["bucket", "in_all", "in_own"]
-    met = (every.unionByName(other).select(*block, "node", "component", "signature", "own")
-           .repartition(*block).sortWithinPartitions(*block).mapInArrow(_meet(least), "u long, v long"))
-    return parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(confirmed(met.distinct()))
+    asks = (every.unionByName(other).select(*block, "node", "component", "signature", "home", "own")
+            .repartition(*block).sortWithinPartitions(*block).mapInArrow(_meet(least), "node long, home long"))
+    asks = common.stored(asks.distinct(), "asks")
+    return parts.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(
+        _answers(asks, homes, sets_of, percent))
+
+
+def _homes(open_: DataFrame) -> DataFrame:
+    """node, component, home of the classes in open buckets: about BLOCK classes to a home.
+
+    Classes of a component live together, those of very small ones with others
+    of a bucket they share, so a class asks for few homes.
+    """
+    nodes = open_.groupBy("node", "component").agg(F.min("bucket").alias("bucket"))
+    count = nodes.groupBy("component").agg(F.count("*").alias("n"))
+    placed = nodes.join(count, "component").select("node", "component", F.when(
+        F.col("n") >= SMALL, F.xxhash64(F.lit(1), "component")).otherwise(F.xxhash64(F.lit(2), "bucket")).alias("at"))
+    placed = common.stored(placed, "living")
+    blocks = placed.groupBy("at").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    return placed.join(blocks, "at").select(
+        "node", "component", F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(3)), "n")).alias("home"))
+
+
+def _answers(asks: DataFrame, homes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (u, v) of the classes that ask, with the homes they ask for.
+
+    A home that very many ask for is copied for every ASKING of them.
+    """
+    parts = common.stored(asks.groupBy("home").agg(F.ceil(F.count("*") / ASKING).alias("n")), "asked_homes")
+    members = homes.join(parts, "home").select(
+        "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part"), "node", "component",
+        F.lit(False).alias("own"))
+    asking = asks.join(parts, "home").join(homes.select("node", "component"), "node").select(
+        "home", F.pmod(F.xxhash64("node", F.lit(5)), "n").alias("part"), "node", "component", F.lit(True).alias("own"))
+    rows = common.stored(members.unionByName(asking), "meetings")
+    sets = sets_of(common.stored(rows.select("node").distinct(), "ends"))
+    return common.stored(rows.join(sets, "node").select("home", "part", "own", "node", "component", "shingles")
+                         .repartition("home", "part").sortWithinPartitions("home", "part", "own")
+                         .mapInArrow(_compare(percent), "u long, v long"), "links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS,
