@@ -138,6 +138,8 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     doc = F.struct("id", "t")
     shared = (lines.groupBy("h", "g").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
               .filter("first <> last").select("h", "g", "first"))
+    # Stored, so that a frequent line's side of the join is a plain shuffle, which adaptive execution can split.
+    shared = common.stored(shared, "shared_lines")
     held = common.stored(lines.join(shared, ["h", "g"]).select(
         "id", "t", "pos", "h", "words", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")), "held")
     lists = common.stored(held.groupBy("id", "t").agg(
