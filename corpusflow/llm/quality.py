@@ -29,9 +29,11 @@ MAX_REMOVED_PERCENT = 50
 BLANK = r"[\x20\x09-\x0D]"
 # A sentence ends somewhere in the line.
 SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
-SEPARATOR = r"(^|[\x20\x09-\x0D])[|»›•·>]($|[\x20\x09-\x0D])"
+SEPARATORS = "[|»›•·>]"
+SEPARATOR = rf"(^|[\x20\x09-\x0D]){SEPARATORS}($|[\x20\x09-\x0D])"
 SHOUT = r"[!?]{2,}"
-BOILERPLATE = (r"(?i)(all rights reserved|cookies? (policy|settings)|accept (all )?cookies|terms of (use|service)"
+# The phrase begins where no letter stands before, so most places are passed by at once.
+BOILERPLATE = (r"(?i)(^|[^a-z])(all rights reserved|cookies? (policy|settings)|accept (all )?cookies|terms of (use|service)"
                r"|privacy policy|sign (in|up)|log ?in to|subscribe to|click here|enable javascript|javascript is"
                r"|lorem ipsum|powered by|licensed under|released under the|copyright ©|skip to content)")
 
@@ -50,7 +52,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def _symbols(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return _count(text, f"[{SYMBOLS}]")
 
 
 def repeated_words(words: Column) -> Column:
@@ -82,7 +84,7 @@ def repeated_words(words: Column) -> Column:
 def line_passes(line: Column) -> Column:
     """Whether a line with at least one word is kept."""
     words = _count(line, common.WORD)
-    parts = _count(line, SEPARATOR)
+    parts = F.when(line.rlike(SEPARATORS), _count(line, SEPARATOR)).otherwise(0)
     noise = F.greatest(_symbols(line), _count(line, SHOUT))
     navigation = (parts >= 3) & (words <= NAVIGATION_WORDS * (parts + 1) + parts)
     return (line.rlike(SENTENCE_END) & ~navigation & ~line.rlike(BOILERPLATE)
@@ -96,25 +98,30 @@ def verdict(text: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(common.WORD))
 
         def judged(lines: Column) -> Column:
-            clean = F.array_join(F.filter(lines, line_passes), "\n")
             return F.struct(
                 F.size(words).cast("long").alias("n_words"),
-                F.length(F.translate(text, common.BLANKS, "")).cast("long").alias("word_chars"),
+                F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
                 _symbols(text).cast("long").alias("n_symbols"),
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 repeated_words(words).cast("long").alias("n_repeat_words"),
-                clean.alias("clean_text"))
+                F.size(lines).alias("n_lines"), F.filter(lines, line_passes).alias("clean"))
 
         return _let(lines, judged)
 
     def decided(f: Column) -> Column:
         failed = ((f["n_words"] < MIN_WORDS)
                   | (f["n_repeat_words"] * 100 > f["n_words"] * MAX_REPEATED_PERCENT))
-        removed = f["n_words"] - common.count_words(f["clean_text"])
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text")
-        return F.struct(*[f[n].alias(n) for n in names], failed.alias("base_failed"),
-                        removed.alias("n_removed_words"),
-                        (~failed & (removed * 100 <= f["n_words"] * MAX_REMOVED_PERCENT)).alias("kept"))
+        clean = F.array_join(f["clean"], "\n")
+        removed = F.when(F.size(f["clean"]) == f["n_lines"], F.lit(0).cast("long")).otherwise(
+            f["n_words"] - common.count_words(clean))
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+        def judged(removed: Column) -> Column:
+            return F.struct(*[f[n].alias(n) for n in names], clean.alias("clean_text"), failed.alias("base_failed"),
+                            removed.alias("n_removed_words"),
+                            (~failed & (removed * 100 <= f["n_words"] * MAX_REMOVED_PERCENT)).alias("kept"))
+
+        return _let(removed, judged)
 
     return _let(_let(_words(text), figures), decided)
 
