@@ -90,8 +90,10 @@ def cut_lengths(total: int, capacity: int) -> list[int]:
 
 def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         encoder = tokens.unit_encoder(path)
-        row = 0
+        row = TaskContext.get().partitionId() << 36  # so that no two pieces draw alike
         for batch in batches:
             docs = batch.column("doc_id")
             for rows, lengths, ids in encoder.encode(batch.column("text")):

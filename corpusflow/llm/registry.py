@@ -18,4 +18,5 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 
-ORACLE = {"op2_topk_hamming": hamming.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_quality_rules": quality.OP4_SQL, "op10_mixing": mixing.OP10_SQL}
+ORACLE = {"op2_topk_hamming": hamming.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_quality_rules": quality.OP4_SQL,
+          "op10_mixing": mixing.OP10_SQL}
