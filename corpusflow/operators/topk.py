@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow import constants as K
-from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, table_size, work_path
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, short_rows, table_size, work_path
 
 METRICS = ("cosine", "l2")
 # Scores are kept to this many decimals, so that summation order cannot decide
@@ -409,8 +409,12 @@ def _prepared(vectors, questions, k, metric, within):
 def _asked_once(questions: DataFrame, limit: int) -> tuple[list[pa.Table], DataFrame | None]:
     """The questions as local data in blocks of ``limit`` bytes, SCANS at most, else as a stored table.
 
-    They are kept while they are measured, so an encoder behind them runs once.
+    A short list is read at once.  Others are kept while they are measured, so
+    an encoder behind them runs once but for the rows of that first look.
     """
+    short = short_rows(questions, limit)
+    if short is not None:
+        return [short], None
     kept = questions.persist(StorageLevel.DISK_ONLY)
     try:
         size = table_size(kept)[1]

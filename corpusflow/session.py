@@ -130,6 +130,18 @@ def _local(df: DataFrame, rows: list) -> DataFrame:
     return df.sparkSession.createDataFrame(pa.Table.from_arrays(columns, schema=schema), df.schema)
 
 
+def short_rows(df: DataFrame, limit: int) -> pa.Table | None:
+    """All rows of a short list within ``limit`` bytes, by one read, or None."""
+    rows = min(SHORT_ROWS, limit // SHORT_ROW_BYTES)
+    if not rows:
+        return None
+    short = F.when(_row_width(df) <= SHORT_ROW_BYTES, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    got = df.limit(rows + 1).select(short.alias("row")).toArrow()["row"].combine_chunks()
+    if len(got) > rows or got.null_count:
+        return None
+    return pa.Table.from_struct_array(got).cast(to_arrow_schema(df.schema))
+
+
 def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` marked for broadcast if its measured size is within ``limit``, else None.
 
