@@ -1,16 +1,20 @@
 """Line dedup by pairwise alignment of documents that share lines.
 
 Each line that occurs in more than one document points from every later holder
-to its first holder.  Each such pair of documents is aligned by patience diff,
-and common blocks are deleted from the later one.  As a line leads to its first
-holder only, a frequent line costs as many pairs as it has holders; rare and
-frequent lines are treated alike and none is left out.  The first holder of a
-line never loses it.
+to its first holder, and so does each shortest run of several such lines that
+has the words of a block.  Each such pair of documents is aligned by patience
+diff, and common blocks are deleted from the later one.  Every line of a block
+lies in a line or shortest run that has the words of a block itself, and their
+first holders come no later than any other document with the block, so no block
+is left.  As a line or run leads to its first holder only, a frequent one costs
+as many pairs as it has holders; rare and frequent lines are treated alike and
+none is left out.  The first holder of a line never loses it.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -58,7 +62,8 @@ def deleted(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]]
     lines that are unique in both and extends them over equal neighbours.  What
     is left of the later document is aligned again, so moved blocks are found
     too; where no unique line is left, runs of lines that the first document
-    also has are the common blocks.
+    also has are the common blocks.  Blocks that the alignment cuts, as it gives
+    each line one partner only, are found by their shortest runs.
     """
     have = {h for _, h, _ in first}
     left = [x for x in later if x[1] in have]
@@ -89,24 +94,73 @@ def deleted(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]]
             block.append(j)
         out += _long_enough(left, block, least)
         left = [x for j, x in enumerate(left) if j not in matched]
+    gone = set(out)
+    common_runs = {tuple(keys[i:j]) for i, j in runs(first, least)}
+    for i, j in runs(later, least):
+        if tuple(h for _, h, _ in later[i:j]) in common_runs:
+            out += [n for n, _, _ in later[i:j] if n not in gone]
+            gone.update(n for n, _, _ in later[i:j])
     return out
 
 
+def runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
+    """Begin and end of the runs of following lines with ``least`` words or more that lose them without their last line,
+    or without their first.
+
+    Which runs these are depends on their own lines only, so documents with a
+    block in common have its runs in common, and these cover the block.
+    """
+    out: set[tuple[int, int]] = set()
+    begin = 0
+    for stop in range(1, len(lines) + 1):
+        if stop < len(lines) and lines[stop][0] == lines[stop - 1][0] + 1:
+            continue
+        sums = [0, *itertools.accumulate(w for _, _, w in lines[begin:stop])]
+        for k in range(len(sums) - 1):
+            end = bisect.bisect_left(sums, sums[k] + least, k + 1)
+            if end < len(sums):
+                out.add((begin + k, begin + end))
+            start = bisect.bisect_right(sums, sums[k + 1] - least, 0, k + 1) - 1
+            if start >= 0:
+                out.add((begin + start, begin + k + 1))
+        begin = stop
+    return sorted(out)
+
+
 def _long_enough(lines: list[tuple[int, int, int]], block: list[int], least: int) -> list[int]:
     return [lines[j][0] for j in block] if sum(lines[j][2] for j in block) >= least else []
 
 
+def _listed(batch: pa.RecordBatch, name: str) -> Iterator[list[tuple[int, int, int]]]:
+    """Line number, hash and words of the lines of each row."""
+    lists = batch.column(name)
+    parts = [lists.values.field(c).to_numpy().tolist() for c in ("pos", "h", "words")]
+    at = lists.offsets.to_numpy()
+    for r in range(len(batch)):
+        yield [*zip(*(p[at[r]:at[r + 1]] for p in parts))]
+
+
+def _runs(least: int):
+    """The runs of several lines; lines that are long enough alone have holders of their own."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for r, lines in enumerate(_listed(batch, "lines")):
+                got = {tuple(h for _, h, _ in lines[i:j]) for i, j in runs(lines, least) if j > i + 1}
+                rows += [r] * len(got)
+                found += got
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(at), batch.column("t").take(at), pa.array(found, pa.list_(pa.int64()))],
+                names=["id", "t", "run"])
+    return run
+
+
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for name in ("first_lines", "later_lines"):
-                lists = batch.column(name)
-                parts = [lists.values.field(c).to_numpy() for c in ("pos", "h", "words")]
-                sides.append((lists.offsets.to_numpy(), [p.tolist() for p in parts]))
             rows, places = [], []
-            for r in range(len(batch)):
-                first, later = ([*zip(*(p[o[r]:o[r + 1]] for p in parts))] for o, parts in sides)
+            for r, (first, later) in enumerate(zip(_listed(batch, "first_lines"), _listed(batch, "later_lines"))):
                 got = deleted(first, later, least)
                 rows += [r] * len(got)
                 places += got
@@ -135,15 +189,25 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
                      common.count_words(line).alias("words")).filter("words > 0"))
     lines = common.stored(lines.dropDuplicates(["id", "t", "pos"]), "lines")
     doc = F.struct("id", "t")
-    shared = (lines.groupBy("h", "g").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
-              .filter("first <> last").select("h", "g", "first"))
-    # Stored, so that a frequent line's side of the join is a plain shuffle, which adaptive execution can split.
-    shared = common.stored(shared, "shared_lines")
+
+    def shared_by(found: DataFrame, name: str) -> DataFrame:
+        shared = (found.groupBy("h", "g").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
+                  .filter("first <> last").select("h", "g", "first"))
+        # Stored, so that a frequent line's side of the join is a plain shuffle, which adaptive execution can split.
+        return common.stored(shared, name)
+
+    shared = shared_by(lines, "shared_lines")
     held = common.stored(lines.join(shared, ["h", "g"]).select(
         "id", "t", "pos", "h", "words", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")), "held")
     lists = common.stored(held.groupBy("id", "t").agg(
         F.sort_array(F.collect_list(F.struct("pos", "h", "words"))).alias("lines")), "held_lists")
-    pairs = held.filter("id <> first_id or t <> first_t").select("id", "t", "first_id", "first_t").distinct()
+    run = common.stored(
+        lists.mapInArrow(_runs(least), "id long, t long, run array<long>")
+        .select("id", "t", F.xxhash64("run").alias("h"), F.xxhash64(F.lit(1), "run").alias("g")), "runs")
+    run = run.join(shared_by(run, "shared_runs"), ["h", "g"]).select(
+        "id", "t", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"))
+    pairs = (held.select("id", "t", "first_id", "first_t").unionByName(run)
+             .filter("id <> first_id or t <> first_t").distinct())
     both = (pairs.join(lists.select(F.col("id").alias("first_id"), F.col("t").alias("first_t"),
                                     F.col("lines").alias("first_lines")), ["first_id", "first_t"])
             .join(lists.withColumnRenamed("lines", "later_lines"), ["id", "t"])

@@ -81,3 +81,47 @@ def test_pipeline_form_drops_emptied_documents(spark):
 
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def common_runs(first, later, least):
+    """Places of the later list of (hash, words) that lie in a run of ``least`` words which the first has too."""
+    places = set()
+    for i in range(len(later)):
+        for j in range(i + 1, len(later) + 1):
+            run = later[i:j]
+            if sum(w for _, w in run) >= least and any(first[k:k + j - i] == run for k in range(len(first) - (j - i) + 1)):
+                places |= set(range(i, j))
+    return places
+
+
+def test_lines_with_earlier_single_holders_go_as_a_block(spark):
+    block = ["one two three", "four five six", "seven eight nine"]
+    rows = [(n, f"{line}\nown {n}") for n, line in enumerate(block, 1)]
+    rows += [(4, "\n".join(["d", *block, "e"])), (5, "\n".join(["f", *block, "g"]))]
+    got = {r.doc_id: r.text for r in run(spark, rows)}
+    assert got == dict(rows) | {5: "f\ng"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_block_of_any_earlier_document_stays(spark, seed):
+    rng = random.Random(seed)
+    short = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 8))) for _ in range(40)]
+    blocks = [[rng.choice(short) for _ in range(rng.randrange(2, 6))] for _ in range(15)]
+    rows = [(n, line) for n, line in enumerate(short)]
+    for n in range(len(short), 100):
+        parts = [rng.choice(blocks) if rng.random() < .5 else [f"own {n} {k}"] for k in range(5)]
+        rows.append((n, "\n".join(line for part in parts for line in part)))
+    listed = {n: [(line, len(line.split())) for line in text.split("\n")] for n, text in rows}
+    lost = 0
+    for r in run(spark, rows):
+        must = set().union(*(common_runs(listed[e], listed[r.doc_id], 8) for e in range(r.doc_id)))
+        left = [line for k, (line, _) in enumerate(listed[r.doc_id]) if k not in must]
+        kept = iter(left)
+        assert all(line in kept for line in (r.text.split("\n") if r.text else [])), r.doc_id
+        lost += len(must)
+    assert lost > 50
+
+
+def test_blocks_that_the_alignment_cuts():
+    first = [(0, 1, 1), (1, 2, 4), (2, 2, 4), (3, 3, 4)]
+    assert sorted(line_dedup.deleted(first, [(0, 1, 1), (1, 2, 4), (2, 3, 4)], 8)) == [1, 2]
