@@ -27,8 +27,6 @@ from corpusflow.llm import common
 #: Words that a common block needs to be deleted: shorter lines coincide by chance.
 BLOCK_WORDS = 8
 
-_LINES = "array<struct<pos:int,h:long,words:long>>"
-
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs, ascending by the first number, in which the second ascends too."""
@@ -58,7 +56,8 @@ def anchors(first: list[int], later: list[int]) -> list[tuple[int, int]]:
 def deleted(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]], least: int) -> list[int]:
     """Line numbers of the common blocks of ``least`` words or more in the later document.
 
-    Both are lists of (line number, hash, words).  The patience diff aligns the
+    Both are lists of (line number, hash, words), in which lines that follow one
+    another have numbers that do.  The patience diff aligns the
     lines that are unique in both and extends them over equal neighbours.  What
     is left of the later document is aligned again, so moved blocks are found
     too; where no unique line is left, runs of lines that the first document
@@ -132,9 +131,9 @@ def _long_enough(lines: list[tuple[int, int, int]], block: list[int], least: int
 
 
 def _listed(batch: pa.RecordBatch, name: str) -> Iterator[list[tuple[int, int, int]]]:
-    """Line number, hash and words of the lines of each row."""
+    """Number among the lines with words, hash and words of the lines of each row."""
     lists = batch.column(name)
-    parts = [lists.values.field(c).to_numpy().tolist() for c in ("pos", "h", "words")]
+    parts = [lists.values.field(c).to_numpy().tolist() for c in ("n", "h", "words")]
     at = lists.offsets.to_numpy()
     for r in range(len(batch)):
         yield [*zip(*(p[at[r]:at[r + 1]] for p in parts))]
@@ -160,10 +159,13 @@ def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, places = [], []
+            later_at = batch.column("later_lines")
+            offsets, pos = later_at.offsets.to_numpy(), later_at.values.field("pos").to_numpy()
             for r, (first, later) in enumerate(zip(_listed(batch, "first_lines"), _listed(batch, "later_lines"))):
                 got = deleted(first, later, least)
                 rows += [r] * len(got)
-                places += got
+                where = dict(zip((n for n, _, _ in later), pos[offsets[r]:offsets[r + 1]].tolist()))
+                places += [where[n] for n in got]
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id").take(at), batch.column("t").take(at), pa.array(places, pa.int32())],
@@ -184,9 +186,13 @@ def _named(docs: DataFrame, *more: str) -> DataFrame:
 def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """id, t, lines (ascending line numbers to delete), a row per document that loses any."""
     line = F.col("line")
-    lines = (_named(docs).select("id", "t", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-             .select("id", "t", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
-                     common.count_words(line).alias("words")).filter("words > 0"))
+    # Numbered once lines without a word are gone, as they don't part a block; pos tells what to delete.
+    worded = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))),
+                      lambda x: x["line"].rlike(common.WORD))
+    lines = (_named(docs).select("id", "t", F.posexplode(worded).alias("n", "at"))
+             .select("id", "t", "n", "at.pos", "at.line")
+             .select("id", "t", "n", "pos", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"),
+                     common.count_words(line).alias("words")))
     lines = common.stored(lines.dropDuplicates(["id", "t", "pos"]), "lines")
     doc = F.struct("id", "t")
 
@@ -198,9 +204,9 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
 
     shared = shared_by(lines, "shared_lines")
     held = common.stored(lines.join(shared, ["h", "g"]).select(
-        "id", "t", "pos", "h", "words", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")), "held")
+        "id", "t", "n", "pos", "h", "words", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")), "held")
     lists = common.stored(held.groupBy("id", "t").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "h", "words"))).alias("lines")), "held_lists")
+        F.sort_array(F.collect_list(F.struct("n", "h", "words", "pos"))).alias("lines")), "held_lists")
     run = common.stored(
         lists.mapInArrow(_runs(least), "id long, t long, run array<long>")
         .select("id", "t", F.xxhash64("run").alias("h"), F.xxhash64(F.lit(1), "run").alias("g")), "runs")
@@ -228,7 +234,7 @@ def dedup_lines(docs: DataFrame, least: int = BLOCK_WORDS, *more: str) -> DataFr
 
     ``least``: words that a block needs.  ``more``: further columns to keep.
     Uses doc_id and text.  Lines are what line feeds separate; lines without a
-    word are never deleted for themselves.  A null text has no lines and stays
+    word are never deleted for themselves and never part a block.  A null text has no lines and stays
     null.  Documents are ordered by doc_id, null last, then by the hash of the
     text; rows alike in both are one document and share its fate.
     """

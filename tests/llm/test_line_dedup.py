@@ -125,3 +125,15 @@ def test_no_block_of_any_earlier_document_stays(spark, seed):
 def test_blocks_that_the_alignment_cuts():
     first = [(0, 1, 1), (1, 2, 4), (2, 2, 4), (3, 3, 4)]
     assert sorted(line_dedup.deleted(first, [(0, 1, 1), (1, 2, 4), (2, 3, 4)], 8)) == [1, 2]
+
+
+@pytest.mark.parametrize("gap", ["\n\n", "\n \t\n\n"])
+def test_lines_without_words_do_not_part_a_block(spark, gap):
+    verses = [f"verse {n} of song" for n in range(15)]
+    rows = [(1, "\n".join(verses)), (2, "a\n" + gap.join(verses) + "\nb"), (3, gap.join(verses[:2])),
+            (4, gap.join(verses[:1])), (5, f"{verses[3]}\nown line\n{verses[4]}")]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert got[1].text == rows[0][1]
+    assert got[2].text.split() == ["a", "b"] and got[2].n_removed_lines == 15 and got[2].n_removed_words == 60
+    assert not got[3].text.split() and got[3].n_removed_words == 8
+    assert [got[n].text for n in (4, 5)] == [text for n, text in rows if n in (4, 5)]
