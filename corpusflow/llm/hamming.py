@@ -26,7 +26,8 @@ from corpusflow.llm import common
 K = 10
 PART_CODES = 100_000
 QUERY_BLOCK = 20_000
-_FOUND = "query int, id long, distance int"
+#: Code and place in its entry tell rows apart that share id and distance.
+_FOUND = "query int, id long, distance int, code string, place int"
 
 
 def binary_code(vector, width: int):
@@ -79,7 +80,8 @@ def _segments(codes: list[str]) -> np.ndarray:
 
 def _look_up(numbers: np.ndarray, queries: np.ndarray, radius: int, k: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        codes = _segments(frame["code"].tolist())
+        names = frame["code"].tolist()
+        codes = _segments(names)
         ids = frame["ids"].tolist()
         out = []
         for number, own, rows in zip(numbers, queries, search(codes, queries, radius)):
@@ -87,9 +89,10 @@ def _look_up(numbers: np.ndarray, queries: np.ndarray, radius: int, k: int):
             kept = np.argsort(distance, kind="stable")
             if len(kept) > k:  # ties with the kth stay, as their ids decide
                 kept = kept[distance[kept] <= distance[kept[k - 1]]]
-            best = sorted((int(distance[i]), -1 if x is None else x, x) for i in kept for x in ids[rows[i]])[:k]
-            out += [(number, x, d) for d, _, x in best]
-        return pd.DataFrame(out, columns=["query", "id", "distance"]).astype({"id": "Int64"})
+            best = sorted((int(distance[i]), -1 if x is None else x, names[rows[i]], n, x)
+                          for i in kept for n, x in enumerate(ids[rows[i]]))[:k]
+            out += [(number, x, d, code, n) for d, _, code, n, x in best]
+        return pd.DataFrame(out, columns=["query", "id", "distance", "code", "place"]).astype({"id": "Int64"})
     return run
 
 
@@ -100,7 +103,8 @@ def top_k(rows: DataFrame, queries: DataFrame, id_name: str, vector: str, k: int
     Codes are the signs of the vectors (1 where above 0).  Ties go to the
     smaller id, a null id first; a row may be a result of itself.  Null numbers count as
     0 and shorter vectors are filled with 0; rows and queries whose vector is
-    null are left out.  Queries alike in id and code are one.  With fewer rows
+    null are left out.  Repeated rows are results of their own each; queries
+    alike in id and code are one.  With fewer rows
     than k all are returned.  Further columns are ignored.
     """
     spark = common.ready(rows.sparkSession)

@@ -90,3 +90,16 @@ def test_radius_search_covers_all():
 def test_empty_tables(spark):
     none = spark.createDataFrame(pd.DataFrame({"vec_id": [1], "embedding": [[1.0]]})).limit(0)
     assert hamming.top_k(none, none, "vec_id", "embedding").count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 10, 40])
+def test_repeated_rows_are_results_of_their_own(spark, k):
+    rng = random.Random(9)
+    vectors = [[rng.gauss(0, 1) for _ in range(32)] for _ in range(6)]
+    rows = [(4, vectors[0])] * 5 + [(i, vectors[0]) for i in (5, 6, 7)] + [(10 + i, v) for i, v in enumerate(vectors)]
+    turned = [[-x if n == m else x for n, x in enumerate(vectors[0])] for m in (0, 1)]
+    rows += [(1, turned[0]), (1, turned[1]), (1, turned[1]), (None, vectors[1]), (None, vectors[1])]
+    queries = [(100 + i, v) for i, v in enumerate(vectors)]
+    make = lambda found: spark.createDataFrame(found, "vec_id long, embedding array<float>")
+    got = hamming.top_k(make(rows), make(queries), "vec_id", "embedding", k, part_codes=3).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, queries, k), key=repr)
