@@ -151,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bits: int =
     """
     common.ready(docs.sparkSession)
     known = (common.take(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-             .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label")))
+             .filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).alias("label"))
+             .join(common.take(docs, "doc_id"), "doc_id", "left_semi"))
     draw = F.xxhash64("doc_id", F.lit(11))
     chosen = known.withColumn("draw", draw).orderBy("draw", "doc_id").limit(training_rows)
     chosen = common.stored(chosen, "training_labels")

@@ -103,3 +103,11 @@ def test_repeated_rows_are_results_of_their_own(spark, k):
     make = lambda found: spark.createDataFrame(found, "vec_id long, embedding array<float>")
     got = hamming.top_k(make(rows), make(queries), "vec_id", "embedding", k, part_codes=3).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute(rows, queries, k), key=repr)
+
+
+def test_labels_without_a_document_take_no_training_rows(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 2} of {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    more = labels.unionByName(spark.range(1000, 5000).selectExpr("id AS doc_id", "1 AS quality"))
+    alone = classifier.fit(docs, labels, bits=10, training_rows=20)
+    assert alone.any() and (classifier.fit(docs, more, bits=10, training_rows=20) == alone).all()
