@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from corpusflow.llm import (classifier, hamming, line_dedup, mixing, near_dedup, packing, quality, token_counts, token_files,
-                             warc)
+                             warc, winnowing)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_classifier": classifier.op8_quality_classifier,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_winnowing": winnowing.op11_winnowing,
 }
 
 ORACLE = {"op2_topk_hamming": hamming.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_quality_rules": quality.OP4_SQL,
