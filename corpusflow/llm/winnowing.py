@@ -10,15 +10,18 @@ beginning of the common run; nothing shorter than K is ever matched.
 A text is cut into chunks that overlap by what a window needs, so the arrays of
 a moment are bounded by a chunk, whatever the length of the text.  Within a
 chunk the code points lie in 4 bytes each, where a gram is found without
-counting characters.  A fold over the hashes keeps the minimum of the window and
-looks through the window again only when the minimum leaves it.
+counting characters.  A hash and its place counted down are one number, so the
+smallest number is the rightmost smallest hash; minima of windows of 2, 4, 8 ...
+hashes follow from each other, each by one pass.
 
-A chosen hash is one number: the upper 32 bits of the hash, then the position
-counted down, so that the smallest number is the rightmost smallest hash.
+Whether a hash is chosen depends on the windows around it only, so of a text of
+which a part was replaced only the windows that touch it are looked at again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +29,11 @@ from corpusflow.llm import common
 from corpusflow.llm.common import let
 
 #: Code points of a gram, and grams of a window.
-K, W = 12, 32
+K, W = 12, 16
 #: Code points of a chunk, without what it has from the next one.
 CHUNK = 4096
+# Low bits of a number within a chunk, which hold the place in bytes.
+_PLACE = (1 << 15) - 1
 _POSITIONS = (1 << 31) - 1
 #: Text or rows of one block of neighbours, and most blocks.
 BLOCK_BYTES = 16 * 1024 * 1024
@@ -38,43 +43,38 @@ MAX_BLOCKS = 1 << 14
 SAMPLED_PER_BLOCK = 32
 
 
-def _coded(gram: Column, place: Column) -> Column:
-    """Upper 32 bits of the hash of a gram, then its place counted down."""
-    return F.shiftleft(F.shiftrightunsigned(F.xxhash64(gram), 32), 31) + (F.lit(_POSITIONS) - place)
-
-
 def _minima(grams: Column, width: int) -> Column:
-    """Minimum of every full window, each time it changes; of the whole array if there is no full window."""
-    position = F.lit(_POSITIONS)
-
-    def step(state: Column, x: Column) -> Column:
-        least, out = state["least"], state["out"]
-        left = least.bitwiseAND(position) - x.bitwiseAND(position) >= width
-
-        def found(y: Column) -> Column:
-            return F.struct(y.alias("least"), F.concat(out, F.array(y)).alias("out"))
-
-        here = (position - x.bitwiseAND(position)).cast("int")
-        again = F.array_min(F.slice(grams, here - (width - 2), F.lit(width)))
-        return F.when(x < least, found(x)).when(left, let(again, found)).otherwise(state)
-
-    def folded(first: Column) -> Column:
-        begin = F.struct(first.alias("least"), F.array(first).alias("out"))
-        return F.aggregate(F.slice(grams, width + 1, F.greatest(F.size(grams) - width, F.lit(0))), begin, step,
-                           lambda state: state["out"])
+    """Minimum of the window that ends at each gram; windows are cut off at both ends."""
+    def further(by: int) -> Callable[[Column], Column]:
+        none = F.array_repeat(F.lit(None).cast("bigint"), by)
+        return lambda v: F.zip_with(v, F.concat(none, v), lambda a, b: F.least(a, b))
 
-    return let(F.array_min(F.slice(grams, 1, width)), folded)
+    reach = 1
+    while reach < width:
+        by = min(reach, width - reach)
+        grams = let(grams, further(by))
+        reach += by
+    return grams
 
 
 def _of_chunk(points: Column, number: Column, k: int, width: int, chunk: int) -> Column:
     """Chosen hashes of the windows that begin in a chunk; ``points``: 4 bytes a code point."""
-    n = (F.octet_length(points) / 4).cast("int")
     first = number == 0
-    count = F.when(first & (n > 0), F.greatest(n - k + 1, F.lit(1))).otherwise(n - k + 1)
-    grams = F.transform(F.sequence(F.lit(0), count - 1), lambda i: _coded(F.substring(points, i * 4 + 1, F.lit(4 * k)), i))
-    some = F.when(first, count > 0).otherwise(count >= width)
-    return F.when(some, let(grams, lambda v: F.transform(_minima(v, width), lambda x: x - number * chunk))).otherwise(
-        F.array().cast("array<bigint>"))
+
+    def chosen(count: Column) -> Column:
+        places = F.sequence(F.lit(1), count * 4 - 3, F.lit(4))
+        grams = F.transform(places, lambda i: F.xxhash64(F.substring(points, i, F.lit(4 * k))).bitwiseOR(
+            F.lit(_PLACE).cast("bigint")) - i)
+        full = F.slice(_minima(grams, width), F.least(count, F.lit(width)), F.greatest(count - (width - 1), F.lit(1)))
+        return F.when(count >= F.when(first, 1).otherwise(width), F.transform(F.array_distinct(full), placed)).otherwise(
+            F.array().cast("array<bigint>"))
+
+    def placed(x: Column) -> Column:
+        inside = F.shiftright(F.lit(_PLACE - 1) - x.bitwiseAND(F.lit(_PLACE).cast("bigint")), 2)
+        return F.shiftleft(F.shiftrightunsigned(x, 32), 31) + (F.lit(_POSITIONS) - inside - number * chunk)
+
+    n = F.shiftright(F.octet_length(points), 2)
+    return let(F.when(first & (n > 0), F.greatest(n - (k - 1), F.lit(1))).otherwise(n - (k - 1)), chosen)
 
 
 def winnowed(text: Column, k: int = K, width: int = W, chunk: int = CHUNK) -> Column:
@@ -82,6 +82,8 @@ def winnowed(text: Column, k: int = K, width: int = W, chunk: int = CHUNK) -> Co
 
     A text shorter than ``k`` is one gram, one with fewer than ``width`` grams one window.
     """
+    if 4 * (chunk + k + width) > _PLACE:
+        raise ValueError("chunk, k and width are too large")
     chunks = F.regexp_extract_all(F.coalesce(text, F.lit("")),
                                   F.lit(rf"(?s)(?=(.{{1,{chunk + k + width - 2}}})).{{1,{chunk}}}"), F.lit(1))
     found = F.transform(chunks, lambda c, j: let(
@@ -193,6 +195,19 @@ def with_next(docs: DataFrame, derived: dict[str, Column], block_bytes: int = BL
     return out.select("doc_id", *names, *[f"next_{c}" for c in names])
 
 
+def rewinnowed(chosen: Column, text: Column, same: Column, k: int = K, width: int = W) -> Column:
+    """:func:`winnowed` of a text, given what another text that agrees with it in the first ``same`` code points has.
+
+    Windows that lie within these code points choose alike.  Only the last of
+    them and all later windows are looked at.
+    """
+    last = same - (k + width - 1)
+    begin = F.greatest(last - (width - 2), F.lit(0))
+    kept = F.when(last >= 0, F.filter(chosen, lambda x: position_of(x) <= last)).otherwise(F.array().cast("array<bigint>"))
+    tail = winnowed(F.substring(text, begin + 1, F.length(text)), k, width)
+    return F.array_distinct(F.concat(kept, F.transform(tail, lambda x: x - begin)))
+
+
 def edited(docs: DataFrame, k: int = K, width: int = W, **sizes) -> DataFrame:
     """doc_id, text, edited_text, chosen, edited_chosen, next_chosen: every text and its edited form with their fingerprints.
 
@@ -200,9 +215,10 @@ def edited(docs: DataFrame, k: int = K, width: int = W, **sizes) -> DataFrame:
     many of the next document's first ones, or all it has.
     """
     rows = with_next(docs, {"chosen": winnowed(F.col("text"), k, width)}, **sizes)
-    cut = F.floor(F.length("text") / 4).cast("int")
-    text = F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring("next_text", F.lit(1), cut))
-    rows = rows.withColumn("edited_text", text).withColumn("edited_chosen", winnowed(F.col("edited_text"), k, width))
+    rows = rows.withColumn("_cut", F.shiftright(F.length("text"), 2)).withColumn("_same", F.length("text") - F.col("_cut"))
+    rows = rows.withColumn("edited_text", F.concat(
+        F.substring("text", F.lit(1), F.col("_same")), F.substring("next_text", F.lit(1), F.col("_cut"))))
+    rows = rows.withColumn("edited_chosen", rewinnowed(F.col("chosen"), F.col("edited_text"), F.col("_same"), k, width))
     return rows.select("doc_id", "text", "edited_text", "chosen", "edited_chosen", "next_chosen")
 
 
