@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from corpusflow.llm import (classifier, hamming, line_dedup, mixing, near_dedup, packing, quality, token_counts, token_files,
-                             warc, winnowing)
+from corpusflow.llm import (alignment, classifier, hamming, infill, line_dedup, mixing, near_dedup, packing, quality,
+                             token_counts, token_files, warc, winnowing)
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -17,7 +17,9 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mixing": mixing.op10_mixing,
     "op11_winnowing": winnowing.op11_winnowing,
+    "op12_infill": infill.op12_infill,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE = {"op2_topk_hamming": hamming.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_quality_rules": quality.OP4_SQL,
-          "op10_mixing": mixing.OP10_SQL}
+          "op10_mixing": mixing.OP10_SQL, "op12_infill": infill.OP12_SQL}

@@ -26,13 +26,14 @@ def test_query_equals_sql(spark, name):
     assert expected and got == expected
 
 
-@pytest.mark.parametrize("name", ["op8_quality_classifier", "op9_line_dedup", "op5_token_counts"])
+@pytest.mark.parametrize("name", ["op8_quality_classifier", "op9_line_dedup", "op5_token_counts", "op11_winnowing",
+                                  "op13_alignment"])
 def test_a_row_per_document(spark, name):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").count()
     assert driver.queries()[name](spark, FOLDER).count() == docs
 
 
-def test_ten_operators_and_the_pipeline():
+def test_all_operators_and_the_pipeline():
     names = driver.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} >= {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op") and n[2].isdigit()} >= {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names
