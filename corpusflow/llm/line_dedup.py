@@ -1,14 +1,20 @@
-"""Line dedup by pairwise alignment of documents that share lines.
-
-Each line that occurs in more than one document points from every later holder
-to its first holder, and so does each shortest run of several such lines that
-has the words of a block.  Each such pair of documents is aligned by patience
-diff, and common blocks are deleted from the later one.  Every line of a block
-lies in a line or shortest run that has the words of a block itself, and their
-first holders come no later than any other document with the block, so no block
-is left.  As a line or run leads to its first holder only, a frequent one costs
-as many pairs as it has holders; rare and frequent lines are treated alike and
-none is left out.  The first holder of a line never loses it.
+"""Line dedup by pairwise alignment of documents that share rare lines.
+
+A run of lines is what documents are found by: the shortest runs of following
+lines that have the words of a block, a single line if it has them itself.  Of
+such a run only the first document that holds it counts, so each later holder
+has one partner per run, however frequent it is; rare and frequent runs are
+treated alike and none is left out.  A pair of documents is aligned by patience
+diff over the runs they share: those that either has once and that stand in the
+same order, then what has moved or is repeated.  Aligned runs that follow one
+another in both are a block, and blocks go from the later document.
+
+Every line of a common block lies in a shortest run of the block, and the first
+holder of that run comes no later than any other document with the block: so
+all common blocks go, and nothing outside of them.  A later document receives a
+row per run it shares, with the places on both sides, and never the lines of its
+partners, so the work is linear in shared lines.  The first holder of a run
+never loses it.
 """
 
 from __future__ import annotations
@@ -53,53 +59,66 @@ def anchors(first: list[int], later: list[int]) -> list[tuple[int, int]]:
     return _increasing(pairs)
 
 
+def chains(pairs: list[tuple[int, int]]) -> list[list[int]]:
+    """Numbers of the pairs, which ascend by the first number, dealt to as few sequences as ascend by the second too."""
+    tails: list[int] = []
+    found: list[list[int]] = []
+    for k, (_, j) in enumerate(pairs):
+        n = bisect.bisect_left(tails, j) - 1
+        if n < 0:
+            tails.insert(0, j)
+            found.insert(0, [k])
+        else:
+            tails[n] = j
+            found[n].append(k)
+    return found
+
+
+def blocks(shared: list[tuple[int, int, bool]]) -> list[list[int]]:
+    """Numbers of the shared runs of two documents, by common block.
+
+    A run is (place in the later document, place in the first one, whether it
+    stands once in both), in the order of the former.  Patience diff aligns the
+    runs that stand once; the others, moved or repeated, are aligned in
+    sequences of their own.  Runs at the same distance that follow one another
+    are one block.
+    """
+    once = [k for k, (_, _, alone) in enumerate(shared) if alone]
+    kept = _increasing([(shared[k][0], shared[k][1]) for k in once])
+    main = set(kept)
+    aligned = [[k for k in once if (shared[k][0], shared[k][1]) in main]]
+    rest = [k for k in range(len(shared)) if not (shared[k][2] and (shared[k][0], shared[k][1]) in main)]
+    aligned += [[rest[n] for n in chain] for chain in chains([(shared[k][0], shared[k][1]) for k in rest])]
+    out: list[list[int]] = []
+    for chain in aligned:
+        for n, k in enumerate(chain):
+            here, there, _ = shared[k]
+            last = shared[chain[n - 1]] if n else None
+            if last and here - last[0] <= 1 and there - last[1] == here - last[0]:
+                out[-1].append(k)
+            else:
+                out.append([k])
+    return out
+
+
+def held_runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[tuple[int, ...], int, int]]:
+    """(hashes, begin, end) of the runs of a document."""
+    return [(tuple(h for _, h, _ in lines[i:j]), i, j) for i, j in runs(lines, least)]
+
+
 def deleted(first: list[tuple[int, int, int]], later: list[tuple[int, int, int]], least: int) -> list[int]:
-    """Line numbers of the common blocks of ``least`` words or more in the later document.
+    """Line numbers of the common blocks of ``least`` words or more in the later of two documents.
 
     Both are lists of (line number, hash, words), in which lines that follow one
-    another have numbers that do.  The patience diff aligns the
-    lines that are unique in both and extends them over equal neighbours.  What
-    is left of the later document is aligned again, so moved blocks are found
-    too; where no unique line is left, runs of lines that the first document
-    also has are the common blocks.  Blocks that the alignment cuts, as it gives
-    each line one partner only, are found by their shortest runs.
+    another have numbers that do.
     """
-    have = {h for _, h, _ in first}
-    left = [x for x in later if x[1] in have]
-    keys = [h for _, h, _ in first]
-    out: list[int] = []
-    while left:
-        other = [h for _, h, _ in left]
-        found = anchors(keys, other)
-        matched: dict[int, int] = {}
-        for i, j in found:
-            matched[j] = i
-        for i, j in found:
-            for step in (1, -1):
-                a, b = i + step, j + step
-                while (0 <= a < len(keys) and 0 <= b < len(other) and keys[a] == other[b] and b not in matched
-                       and first[a][0] - first[a - step][0] == step == left[b][0] - left[b - step][0]):
-                    matched[b] = a
-                    a, b = a + step, b + step
-        if not found:
-            matched = {j: j for j in range(len(left))}
-        block: list[int] = []
-        for j in sorted(matched):
-            joined = block and j == block[-1] + 1 and left[j][0] == left[block[-1]][0] + 1 and (
-                not found or matched[j] == matched[block[-1]] + 1)
-            if not joined:
-                out += _long_enough(left, block, least)
-                block = []
-            block.append(j)
-        out += _long_enough(left, block, least)
-        left = [x for j, x in enumerate(left) if j not in matched]
-    gone = set(out)
-    common_runs = {tuple(keys[i:j]) for i, j in runs(first, least)}
-    for i, j in runs(later, least):
-        if tuple(h for _, h, _ in later[i:j]) in common_runs:
-            out += [n for n, _, _ in later[i:j] if n not in gone]
-            gone.update(n for n, _, _ in later[i:j])
-    return out
+    there = held_runs(first, least)
+    here = held_runs(later, least)
+    times, own = Counter(r for r, _, _ in there), Counter(r for r, _, _ in here)
+    place = {r: first[i][0] for r, i, _ in reversed(there)}
+    shared = [(r, i, j) for r, i, j in here if r in place]
+    found = blocks([(later[i][0], place[r], times[r] == own[r] == 1) for r, i, _ in shared])
+    return sorted({n for block in found for k in block for n, _, _ in later[shared[k][1]:shared[k][2]]})
 
 
 def runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]:
@@ -126,10 +145,6 @@ def runs(lines: list[tuple[int, int, int]], least: int) -> list[tuple[int, int]]
     return sorted(out)
 
 
-def _long_enough(lines: list[tuple[int, int, int]], block: list[int], least: int) -> list[int]:
-    return [lines[j][0] for j in block] if sum(lines[j][2] for j in block) >= least else []
-
-
 def _listed(batch: pa.RecordBatch, name: str) -> Iterator[list[tuple[int, int, int]]]:
     """Number among the lines with words, hash and words of the lines of each row."""
     lists = batch.column(name)
@@ -140,37 +155,45 @@ def _listed(batch: pa.RecordBatch, name: str) -> Iterator[list[tuple[int, int, i
 
 
 def _runs(least: int):
-    """The runs of several lines; lines that are long enough alone have holders of their own."""
+    """The runs of the lines of each row: where they begin, how often the document has them, the lines to delete, the hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, found = [], []
+            rows, places, times, lines_of, hashes = [], [], [], [], []
+            at = batch.column("lines").offsets.to_numpy()
+            pos = batch.column("lines").values.field("pos").to_numpy()
             for r, lines in enumerate(_listed(batch, "lines")):
-                got = {tuple(h for _, h, _ in lines[i:j]) for i, j in runs(lines, least) if j > i + 1}
-                rows += [r] * len(got)
-                found += got
-            at = pa.array(rows, pa.int64())
+                found = held_runs(lines, least)
+                often = Counter(h for h, _, _ in found)
+                rows += [r] * len(found)
+                places += [lines[i][0] for _, i, _ in found]
+                times += [often[h] for h, _, _ in found]
+                lines_of += [pos[at[r] + i:at[r] + j] for _, i, j in found]
+                hashes += [h for h, _, _ in found]
+            take = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("t").take(at), pa.array(found, pa.list_(pa.int64()))],
-                names=["id", "t", "run"])
+                [batch.column("id").take(take), batch.column("t").take(take), pa.array(places, pa.int32()),
+                 pa.array(times, pa.int32()), pa.array(lines_of, pa.list_(pa.int32())),
+                 pa.array(hashes, pa.list_(pa.int64()))],
+                names=["id", "t", "n", "times", "pos", "run"])
     return run
 
 
-def _align(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, places = [], []
-            later_at = batch.column("later_lines")
-            offsets, pos = later_at.offsets.to_numpy(), later_at.values.field("pos").to_numpy()
-            for r, (first, later) in enumerate(zip(_listed(batch, "first_lines"), _listed(batch, "later_lines"))):
-                got = deleted(first, later, least)
-                rows += [r] * len(got)
-                where = dict(zip((n for n, _, _ in later), pos[offsets[r]:offsets[r + 1]].tolist()))
-                places += [where[n] for n in got]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(at), batch.column("t").take(at), pa.array(places, pa.int32())],
-                names=["id", "t", "pos"])
-    return run
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines to delete of each later document, from the runs it shares with each of its partners."""
+    for batch in batches:
+        out = []
+        for row in batch.column("shared"):
+            partners: dict[tuple[int, int], list[dict]] = {}
+            for run in sorted(row.as_py(), key=lambda x: (x["n"], x["there"])):
+                partners.setdefault((run["first_id"], run["first_t"]), []).append(run)
+            gone: set[int] = set()
+            for own in partners.values():
+                for block in blocks([(x["n"], x["there"], x["once"]) for x in own]):
+                    for k in block:
+                        gone.update(own[k]["pos"])
+            out.append(sorted(gone))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), pa.array(out, pa.list_(pa.int32()))],
+                                         names=["id", "t", "lines"])
 
 
 #: Documents without doc_id come after all others.
@@ -196,30 +219,25 @@ def removals(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     lines = common.stored(lines.dropDuplicates(["id", "t", "pos"]), "lines")
     doc = F.struct("id", "t")
 
-    def shared_by(found: DataFrame, name: str) -> DataFrame:
-        shared = (found.groupBy("h", "g").agg(F.min(doc).alias("first"), F.max(doc).alias("last"))
-                  .filter("first <> last").select("h", "g", "first"))
+    def shared_by(found: DataFrame, name: str, first) -> DataFrame:
+        shared = found.groupBy("h", "g").agg(F.min(first).alias("first"), F.max(doc).alias("last")).filter(
+            "first.id <> last.id or first.t <> last.t")
         # Stored, so that a frequent line's side of the join is a plain shuffle, which adaptive execution can split.
-        return common.stored(shared, name)
+        return common.stored(shared.select("h", "g", "first"), name)
 
-    shared = shared_by(lines, "shared_lines")
-    held = common.stored(lines.join(shared, ["h", "g"]).select(
-        "id", "t", "n", "pos", "h", "words", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t")), "held")
-    lists = common.stored(held.groupBy("id", "t").agg(
-        F.sort_array(F.collect_list(F.struct("n", "h", "words", "pos"))).alias("lines")), "held_lists")
+    held = lines.join(shared_by(lines, "shared_lines", doc).drop("first"), ["h", "g"]).select(
+        "id", "t", "n", "pos", "h", "words")
+    lists = held.groupBy("id", "t").agg(F.sort_array(F.collect_list(F.struct("n", "h", "words", "pos"))).alias("lines"))
     run = common.stored(
-        lists.mapInArrow(_runs(least), "id long, t long, run array<long>")
-        .select("id", "t", F.xxhash64("run").alias("h"), F.xxhash64(F.lit(1), "run").alias("g")), "runs")
-    run = run.join(shared_by(run, "shared_runs"), ["h", "g"]).select(
-        "id", "t", F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"))
-    pairs = (held.select("id", "t", "first_id", "first_t").unionByName(run)
-             .filter("id <> first_id or t <> first_t").distinct())
-    both = (pairs.join(lists.select(F.col("id").alias("first_id"), F.col("t").alias("first_t"),
-                                    F.col("lines").alias("first_lines")), ["first_id", "first_t"])
-            .join(lists.withColumnRenamed("lines", "later_lines"), ["id", "t"])
-            .select("id", "t", "first_lines", "later_lines"))
-    gone = both.mapInArrow(_align(least), "id long, t long, pos int")
-    return gone.distinct().groupBy("id", "t").agg(F.sort_array(F.collect_list("pos")).alias("lines"))
+        lists.mapInArrow(_runs(least), "id long, t long, n int, times int, pos array<int>, run array<long>")
+        .select("id", "t", "n", "times", "pos", F.xxhash64("run").alias("h"), F.xxhash64(F.lit(1), "run").alias("g")), "runs")
+    once = F.struct("id", "t", "n", "times")
+    pairs = run.join(shared_by(run, "shared_runs", once), ["h", "g"]).filter("id <> first.id or t <> first.t")
+    shared = F.struct(F.col("first.id").alias("first_id"), F.col("first.t").alias("first_t"), "n",
+                      F.col("first.n").alias("there"), ((F.col("times") == 1) & (F.col("first.times") == 1)).alias("once"),
+                      "pos")
+    return (pairs.groupBy("id", "t").agg(F.collect_list(shared).alias("shared"))
+            .mapInArrow(_align, "id long, t long, lines array<int>"))
 
 
 def _without(text, lines):

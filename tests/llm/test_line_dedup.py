@@ -1,6 +1,7 @@
 """Line dedup: what has to go, what has to stay."""
 
 import random
+import time
 
 import pytest
 
@@ -137,3 +138,64 @@ def test_lines_without_words_do_not_part_a_block(spark, gap):
     assert got[2].text.split() == ["a", "b"] and got[2].n_removed_lines == 15 and got[2].n_removed_words == 60
     assert not got[3].text.split() and got[3].n_removed_words == 8
     assert [got[n].text for n in (4, 5)] == [text for n, text in rows if n in (4, 5)]
+
+
+def brute(texts, least=8):
+    """What is left of each document, by all common runs of worded lines with any earlier one."""
+    worded = [[(k, line, len(line.split())) for k, line in enumerate(t.split("\n")) if line.split()] for t in texts]
+    out = []
+    for n, text in enumerate(texts):
+        later = [(line, w) for _, line, w in worded[n]]
+        gone = set().union(*(common_runs([(line, w) for _, line, w in worded[e]], later, least) for e in range(n)))
+        lines = {worded[n][k][0] for k in gone}
+        out.append("\n".join(line for k, line in enumerate(text.split("\n")) if k not in lines))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exactly_the_common_blocks_go(spark, seed):
+    """Both ways, with few different lines, so that documents repeat them in any order."""
+    rng = random.Random(seed)
+    pool = [" ".join("abc"[seed % 3] * (k + 1) for k in range(n)) for n in (1, 2, 3, 3, 4, 5, 9)] + ["x y z", "p q r s", "  "]
+    texts = ["\n".join(rng.choice(pool) if rng.random() < .8 else f"own {n} {k}" for k in range(rng.randrange(1, 14)))
+             for n in range(50)]
+    got = {r.doc_id: r.text for r in run(spark, list(enumerate(texts)))}
+    assert [got[n] for n in range(len(texts))] == brute(texts)
+
+
+def test_lines_in_another_order_stay(spark):
+    a, b, c = "one two three", "four five six", "seven eight nine"
+    texts = ["\n".join([a, a, b, b, c, c]), "\n".join([c, b, a, c, b, a]), "\n".join(["nine words " * 5, a, a, b, b, c, c]),
+             "\n".join(["nine words " * 5, c, b, a, c, b, a])]
+    got = {r.doc_id: r.text for r in run(spark, list(enumerate(texts)))}
+    assert got[1] == texts[1] and got == dict(enumerate(brute(texts)))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_two_documents_by_brute_force(seed):
+    rng = random.Random(seed)
+    def document():
+        return [(k, rng.randrange(5), 0) for k in range(rng.randrange(1, 25))]
+    words = [rng.randrange(1, 6) for _ in range(5)]
+    first, later = ([(k, h, words[h]) for k, h, _ in document()] for _ in "ab")
+    gone = common_runs([(h, w) for _, h, w in first], [(h, w) for _, h, w in later], 8)
+    assert line_dedup.deleted(first, later, 8) == sorted(gone)
+
+
+def test_blocks_are_aligned_by_patience():
+    shared = [(0, 10, True), (1, 11, True), (2, 3, True), (3, 12, True), (4, 13, False), (5, 14, False)]
+    assert line_dedup.blocks(shared) == [[0, 1], [3], [2], [4, 5]]
+    assert sorted(map(len, line_dedup.chains([(k, -k) for k in range(4)]))) == [1, 1, 1, 1]
+    assert line_dedup.chains([(0, 5), (1, 6), (2, 1), (3, 7), (4, 2)]) == [[2, 4], [0, 1, 3]]
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_one_long_document_with_very_many_partners_is_linear(spark, forward):
+    lines = [f"line number {k} of a long list with words" for k in range(20_000)]
+    rest = [(k + (1 if forward else -5000), lines[k * 6]) for k in range(3000)]
+    rows = [(0, "\n".join(lines))] + rest
+    begin = time.perf_counter()
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert time.perf_counter() - begin < 20
+    assert sum(r.n_removed_lines for r in got.values()) == 3000
+    assert got[0].n_removed_lines == (0 if forward else 3000)
