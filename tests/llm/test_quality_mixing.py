@@ -109,3 +109,47 @@ def test_mixed_documents_repeat(spark):
     got = mixing.mixed(df)
     assert got.columns == df.columns
     assert Counter(r.doc_id for r in got.collect()) == Counter({k: v for k, v in copies.items() if v})
+
+
+def taken_words(got):
+    out = Counter()
+    for r in got:
+        out[r.source] += r.copies * r.size
+    return out
+
+
+@pytest.mark.parametrize("block_rows", [7, 1000])
+def test_repeated_rows_are_served_one_by_one(spark, block_rows):
+    rows = [(5, "a", 10)] * 600 + [(i, s, 10) for s in "bc" for i in range(600)] + [(None, "d", 3)] * 50 + [(None, "d", 0)] * 9
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    got = mixing.mix(df, 100, block_rows).collect()
+    sizes, target = fair(rows)
+    taken = taken_words(got)
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter(rows)
+    for source in sizes:
+        assert abs(taken[source] - target[source]) <= 10, source
+    for source in "a", "d":
+        copies = Counter(r.copies for r in got if r.source == source and r.size)
+        assert max(copies) - min(copies) <= 1
+
+
+def test_mixed_documents_among_equal_rows(spark):
+    rows = [(5, f"text {i % 7}", "en", "a", 5) for i in range(60)] + [(i, "other text here", "en", "b", 5) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    words = taken_words(mixing.mix(df).collect())
+    got = mixing.mixed(df).collect()
+    assert Counter(r.source for r in got) == {"a": words["a"] // 2, "b": words["b"] // 3}
+    base = words["a"] // 2 // 60
+    for text, n in Counter(r.text for r in got if r.source == "a").items():
+        there = sum(t == text for _, t, *_ in rows)
+        assert base * there <= n <= (base + 1) * there
+
+
+def test_the_budget_is_found_in_small_slots(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3 if i % 5 else 0], 1 + i * 31 % 17) for i in range(900)]
+    df = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
+    expected = sorted(map(tuple, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "SLOTS", 3)
+    monkeypatch.setattr(mixing, "LAST_ROWS", 5)
+    monkeypatch.setattr(mixing, "BUCKETS", 2)
+    assert sorted(map(tuple, mixing.mix(df, 20).collect())) == expected
