@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow import constants as K
 from corpusflow.functions import status as st
 from corpusflow.functions import text as tx
 from corpusflow.functions import vectors as vx
-from corpusflow.operators import catalog, history, lifecycle, prompting, retrieval
+from corpusflow.operators import catalog, history, ivf, lifecycle, prompting, retrieval
 from corpusflow.operators.chunking import chunk_documents, fixed_chunks
 from corpusflow.operators.embedding import embed, hashing_encoder
 from corpusflow.operators.generation import first_chunk_model, generate
@@ -486,60 +486,100 @@ def topk_l2(spark, d):
     return _hits(top_k(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2"))
 
 
-LSH = dict(width=64, tables=12, bits=4, seed=7)
+LSH = dict(width=64, tables=20, bits=4, seed=7)
 
 
-@query(f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {LSH['tables'] * LSH['bits']})) AS p, unnest({planes_sql(**LSH)}) AS w)),
+LSH_SQL = f"""lsh_plane AS (SELECT * FROM (SELECT unnest(range(0, {LSH['tables'] * LSH['bits']})) AS p, unnest({planes_sql(**LSH)}) AS w)),
        side AS (SELECT vec_id, v, p // {LSH['bits']} AS t, sum(CASE WHEN list_dot_product(v, w) > 0 THEN 1 << (p % {LSH['bits']})
-                ELSE 0 END) AS bucket FROM vec, plane GROUP BY vec_id, v, p // {LSH['bits']}),
+                ELSE 0 END) AS bucket FROM vec, lsh_plane GROUP BY vec_id, v, p // {LSH['bits']}),
        pair AS (SELECT DISTINCT a.vec_id AS query_id, b.vec_id FROM side a JOIN side b USING (t, bucket)),
-       scored AS (SELECT pair.query_id, c.document_id, c.chunk_index,
-                  round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
-                  FROM pair JOIN question q ON q.query_id = pair.query_id JOIN vec c ON c.vec_id = pair.vec_id)
-       SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3""")
+       lsh_scored AS (SELECT pair.query_id, c.vec_id, c.document_id, c.chunk_index,
+                      round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
+                      FROM pair JOIN question q ON q.query_id = pair.query_id JOIN vec c ON c.vec_id = pair.vec_id)"""
+
+
+@query(f"""WITH {LSH_SQL} SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM lsh_scored) WHERE rank <= 3""")
 def topk_lsh(spark, d):
     return _hits(top_k_lsh(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2", **LSH))
 
 
 PROBED = dict(width=64, bits=5, seed=7)
-PROBES = 8
+# The given vectors have no clusters, so most buckets have to be visited for a recall of 0.9.
+PROBES = 28
 
 
-PROBED_SQL = f"""WITH plane AS (SELECT * FROM (SELECT unnest(range(0, {PROBED['bits']})) AS p, unnest({planes_sql(tables=1, **PROBED)}) AS w)),
+PROBED_SQL = f"""plane AS (SELECT * FROM (SELECT unnest(range(0, {PROBED['bits']})) AS p, unnest({planes_sql(tables=1, **PROBED)}) AS w)),
        margin AS (SELECT vec_id, p, list_dot_product(v, w) AS m FROM vec, plane),
        home AS (SELECT vec_id, sum(CASE WHEN m > 0 THEN 1 << p ELSE 0 END) AS bucket FROM margin GROUP BY vec_id),
        visit AS (SELECT vec_id, b FROM (SELECT vec_id, b, row_number() OVER (PARTITION BY vec_id ORDER BY sum(
                  CASE WHEN ((b >> p) & 1 = 1) <> (m > 0) THEN abs(m) ELSE 0 END)) AS r
                  FROM margin, range(0, {1 << PROBED['bits']}) t(b) GROUP BY vec_id, b) WHERE r <= {PROBES}),
-       scored AS (SELECT q.query_id, c.document_id, c.chunk_index, round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
+       probed_scored AS (SELECT q.query_id, c.vec_id, c.document_id, c.chunk_index,
+                  round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score
                   FROM visit JOIN home ON home.bucket = visit.b JOIN question q ON q.query_id = visit.vec_id
-                  JOIN vec c ON c.vec_id = home.vec_id),
-       probed_hit AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
-       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM scored) WHERE rank <= 3)
-       """
+                  JOIN vec c ON c.vec_id = home.vec_id)"""
 
 
-def _probed(spark, d) -> DataFrame:
+def _probed(spark, d, k: int = K.TOP_K) -> DataFrame:
     path = work_path(spark, "bucketed")
     tables.write_by(add_bucket(vw.chunk_vector(spark, d), **PROBED), path, "bucket", "overwrite")
-    return top_k_probed(tables.scan(spark, path), vw.question(spark, d), probes=PROBES, metric="l2", **PROBED)
+    return top_k_probed(tables.scan(spark, path), vw.question(spark, d), probes=PROBES, k=k, metric="l2", **PROBED)
 
 
-@query(f"{PROBED_SQL} SELECT {HITS} FROM probed_hit")
+@query(f"""WITH {PROBED_SQL} SELECT {HITS} FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM probed_scored) WHERE rank <= 3""")
 def topk_probed(spark, d):
     return _hits(_probed(spark, d))
 
 
-@query(f"""{PROBED_SQL} SELECT e.rank, count(*) AS exact, count(p.query_id) AS found,
-       round(count(p.query_id) / count(*), 6) AS recall FROM l2_hit e LEFT JOIN probed_hit p
-       USING (query_id, document_id, chunk_index) GROUP BY e.rank""")
+def _ivf(spark, d, k: int = K.TOP_K) -> DataFrame:
+    vectors = vw.chunk_vector(spark, d)
+    model = ivf.train(vectors, 64)
+    return ivf.top_k_ivf(ivf.write_index(vectors, model, work_path(spark, "ivf")), vw.question(spark, d), model, k)
+
+
+@query(f"SELECT {HITS} FROM l2_hit")
+def topk_ivf(spark, d):
+    return _hits(_ivf(spark, d))
+
+
+def _other_sql(scored: str) -> str:
+    """The three best hits of each question but for the question itself."""
+    return f"""SELECT query_id, document_id, chunk_index, CAST(row_number() OVER (PARTITION BY query_id
+       ORDER BY score DESC, document_id, chunk_index) AS INT) AS rank FROM {scored} WHERE vec_id <> query_id
+       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) <= 3"""
+
+
+@query(f"""WITH {LSH_SQL}, {PROBED_SQL},
+       all_scored AS (SELECT q.query_id, c.vec_id, c.document_id, c.chunk_index,
+                      round(1 / (1 + pow(list_distance(q.v, c.v), 2)), 9) AS score FROM question q CROSS JOIN vec c),
+       exact AS ({_other_sql('all_scored')}),
+       found AS (SELECT 'lsh' AS method, * FROM ({_other_sql('lsh_scored')})
+                 UNION ALL SELECT 'probed', * FROM ({_other_sql('probed_scored')}) UNION ALL SELECT 'ivf', * FROM exact)
+       SELECT m.method, e.rank, count(*) AS exact, count(f.query_id) AS found, round(count(f.query_id) / count(*), 6) AS recall
+       FROM exact e CROSS JOIN (SELECT unnest(['lsh', 'probed', 'ivf']) AS method) m LEFT JOIN found f
+       ON f.method = m.method AND f.query_id = e.query_id AND f.document_id = e.document_id AND f.chunk_index = e.chunk_index
+       GROUP BY m.method, e.rank""")
 def topk_recall(spark, d):
-    """How many of the exact hits the approximate search finds, by their rank."""
+    """How many of the exact hits other than the question itself each search finds, by their rank."""
+    vectors, questions = vw.chunk_vector(spark, d), vw.question(spark, d)
     key = ["query_id", "document_id", "chunk_index"]
-    exact = top_k(vw.chunk_vector(spark, d), vw.question(spark, d), metric="l2").select(*key, "rank")
-    found = _probed(spark, d).select(*key, F.lit(True).alias("hit"))
-    counts = exact.join(found, key, "left").groupBy("rank").agg(
+    own = vectors.select(F.col("vec_id").alias("query_id"), "document_id", "chunk_index")
+    best = Window.partitionBy("query_id").orderBy("rank")
+
+    def others(hits: DataFrame) -> DataFrame:
+        left = hits.select(*key, "rank").join(own, key, "left_anti")
+        return left.withColumn("rank", F.row_number().over(best)).where(f"rank <= {K.TOP_K}")
+
+    more = K.TOP_K + 1
+    searches = {"lsh": top_k_lsh(vectors, questions, k=more, metric="l2", **LSH), "probed": _probed(spark, d, more),
+                "ivf": _ivf(spark, d, more)}
+    named = [others(hits).select(*key, F.lit(name).alias("method"), F.lit(True).alias("hit")) for name, hits in searches.items()]
+    found = named[0].unionByName(named[1]).unionByName(named[2])
+    exact = others(top_k(vectors, questions, more, "l2")).withColumn(
+        "method", F.explode(F.array(*map(F.lit, searches))))
+    counts = exact.join(found, [*key, "method"], "left").groupBy("method", "rank").agg(
         F.count("*").alias("exact"), F.count("hit").alias("found"))
     return counts.withColumn("recall", F.round(F.col("found") / F.col("exact"), 6))
 
