@@ -37,9 +37,8 @@ SMALL = 16
 #: Classes that one copy of a home answers.
 ASKING = 4096
 
-_SIGNED = "doc_id long, n_shingles long, class_id long, check long, signature binary, bands array<long>"
-#: Nodes of classes that no doc_id names begin here.
-NAMELESS = 1 << 62
+_SIGNED = "doc_id long, t long, n_shingles long, class_id long, check long, signature binary, bands array<long>"
+_SETS = "node long, wanted long, class_id long, check long, shingles binary"
 
 
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,11 +126,11 @@ def _sign(width: int, bands: int, rows: int):
                 lists = np.zeros(len(size) + 1, np.int32)
                 lists[1:] = np.cumsum(np.where(size > 0, bands, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(size)), pa.array(size.astype(np.int64)),
+                    [ids.slice(first, len(size)), batch.column("t").slice(first, len(size)), pa.array(size.astype(np.int64)),
                      pa.array(prints[0].view(np.int64), mask=size == 0), pa.array(prints[1].view(np.int64)),
                      pa.array(signs, pa.binary()),
                      pa.ListArray.from_arrays(pa.array(lists), pa.array(keys.ravel().view(np.int64)))],
-                    names=["doc_id", "n_shingles", "class_id", "check", "signature", "bands"])
+                    names=["doc_id", "t", "n_shingles", "class_id", "check", "signature", "bands"])
     return run
 
 
@@ -142,9 +141,10 @@ def _full_sets(width: int):
                 values, bounds = shingle_sets(data, offsets, width)
                 prints = fingerprints(values, bounds)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(first, len(bounds) - 1), *map(pa.array, prints.view(np.int64)),
+                    [*(batch.column(c).slice(first, len(bounds) - 1) for c in ("node", "wanted")),
+                     *map(pa.array, prints.view(np.int64)),
                      pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                    names=["node", "class_id", "check", "shingles"])
+                    names=["node", "wanted", "class_id", "check", "shingles"])
     return run
 
 
@@ -280,19 +280,14 @@ def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 
 
 def _classes(signed: DataFrame) -> DataFrame:
-    """class_id, check, node, signature, bands: a row per distinct set.
+    """class_id, check, node, least, signature, bands: a row per distinct set, stored.
 
-    The node of a class is its smallest doc_id; without any, a number above all
-    doc_ids made from its fingerprint.
+    Nodes are numbers of their own, so that two texts of one doc_id are two
+    nodes; least is the smallest doc_id of the class, null if it has none.
     """
     rows = signed.filter("class_id is not null").groupBy("class_id", "check").agg(
         F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    return rows.select("class_id", "check", F.coalesce("least", _nameless(F.col("class_id"))).alias("node"),
-                       "signature", "bands")
-
-
-def _nameless(class_id):
-    return class_id.bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS))
+    return common.stored(rows.withColumn("node", F.monotonically_increasing_id()), "classes")
 
 
 def _links(classes: DataFrame, sets_of, least: int, percent: int) -> DataFrame:
@@ -378,6 +373,40 @@ def _answers(asks: DataFrame, homes: DataFrame, sets_of, percent: int) -> DataFr
                          .mapInArrow(_compare(percent), "u long, v long"), "links")
 
 
+def _grouped(docs: DataFrame, width: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """doc_id, t (hash of the text), n_shingles, component (a node), component_id: a row per row of ``docs``.
+
+    component is null for a text without shingles; component_id is the smallest doc_id of the component, or null.
+    """
+    common.ready(docs.sparkSession)
+    docs = common.take(docs, "doc_id", "text").withColumn("t", F.xxhash64("text"))
+    signed = common.stored(docs.mapInArrow(_sign(width, bands, rows), _SIGNED), "minhash")
+    classes = _classes(signed)
+    mark = F.xxhash64("class_id", "check")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Full sets of the wanted nodes, from the texts of their smallest doc_ids that have the class."""
+        own = common.stored(wanted.join(classes.select("node", "class_id", "check", "least"), "node"), "wanted")
+        named = own.filter("least is not null").select(F.col("least").alias("_least"), "node", mark.alias("wanted"))
+        texts = common.join_small(docs.filter("doc_id is not null"), named, F.col("doc_id") == F.col("_least"))
+        sets = texts.select("node", "wanted", "text").mapInArrow(_full_sets(width), _SETS).filter(mark == F.col("wanted"))
+        none = F.lit(None).cast("long")
+        nameless = docs.filter("doc_id is null").select(none.alias("node"), none.alias("wanted"), "text").mapInArrow(
+            _full_sets(width), _SETS).select("class_id", "check", "shingles")
+        nameless = nameless.join(own.filter("least is null").select("class_id", "check", "node"), ["class_id", "check"])
+        return common.stored(sets.select("node", "shingles").unionByName(nameless.select("node", "shingles"))
+                             .dropDuplicates(["node"]), "sets")
+
+    found = _links(classes, sets_of, least_agreement(percent, bands * rows), percent)
+    parts = common.stored(components(found), "components")
+    placed = classes.select("class_id", "check", "node", "least").join(parts, "node", "left")
+    placed = common.stored(placed.select("class_id", "check", F.coalesce("component", "node").alias("component"), "least"), "placed")
+    labels = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = common.join_small(placed.drop("least"), common.stored(labels, "labels"), "component")
+    return common.join_small(signed.select("doc_id", "t", "n_shingles", "class_id", "check"), common.stored(names, "names"),
+                             ["class_id", "check"], "left").drop("class_id", "check")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, bands: int = BANDS,
                     rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row per row of ``docs``.
@@ -396,44 +425,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, ban
     A link at the threshold itself is missed with a probability of
     (1 - 0.8**6)**42, that is 3 in a million, and less above it.
     """
-    common.ready(docs.sparkSession)
-    docs = common.take(docs, "doc_id", "text")
-    signed = common.stored(docs.mapInArrow(_sign(width, bands, rows), _SIGNED), "minhash")
-    classes = common.stored(_classes(signed), "classes")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """Full sets of the wanted nodes, from their texts."""
-        schema = "node long, class_id long, check long, shingles binary"
-        named = common.join_small(docs.filter("doc_id is not null"), wanted.withColumnRenamed("node", "_node"),
-                                  F.col("doc_id") == F.col("_node"))
-        sets = named.select(F.col("_node").alias("node"), "text").mapInArrow(_full_sets(width), schema)
-        nameless = (docs.filter("doc_id is null").select(F.lit(None).cast("long").alias("node"), "text")
-                    .mapInArrow(_full_sets(width), schema).withColumn("node", _nameless(F.col("class_id"))))
-        nameless = nameless.join(wanted.filter(F.col("node") >= NAMELESS), "node", "left_semi")
-        return common.stored(sets.unionByName(nameless).dropDuplicates(["node", "class_id", "check"])
-                             .select("node", "shingles"), "sets")
-
-    found = _links(classes, sets_of, least_agreement(percent, bands * rows), percent)
-    parts = common.stored(components(found), "components")
-    names = classes.select("class_id", "check", "node").join(parts, "node", "left").select(
-        "class_id", "check", F.coalesce("component", "node").alias("component"))
-    names = common.stored(names, "names")
-    out = common.join_small(signed.select("doc_id", "n_shingles", "class_id", "check"), names, ["class_id", "check"],
-                            "left")
-    component = F.when(F.col("class_id").isNull(), F.col("doc_id")).when(
-        F.col("component") < NAMELESS, F.col("component"))
+    out = _grouped(docs, width, percent, bands, rows)
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One document of each group, in the columns doc_id, text, lang, source, n_chars.
+    """One row of each group, in the columns doc_id, text, lang, source, n_chars.
 
-    Rows without doc_id whose group has none stay, as there is nothing to choose by.
+    The row with the smallest doc_id, null last, then with the smallest hash of
+    the text; of rows alike in both any one.  Every row without words is a group
+    of its own.
     """
-    kept = near_duplicates(docs, width).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = common.take(docs, "doc_id", "text", "lang", "source", "n_chars")
-    return common.join_small(rows, common.stored(kept, "kept"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = common.take(docs, "doc_id", "text", "lang", "source", "n_chars").withColumn("_hash", F.xxhash64("text"))
+    grouped = _grouped(docs, width, PERCENT, BANDS, ROWS).filter("component is not null")
+    alike = grouped.groupBy("component", "doc_id", "t").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t", "n")
+    kept = common.stored(alike.groupBy("component").agg(F.min(first).alias("m")).select(
+        F.col("m.doc_id").alias("_id"), F.col("m.t").alias("_t"), F.col("m.n").alias("_n")), "kept")
+    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t"))
+    out = common.join_small(rows.filter(worded), kept.filter("_n = 1"), same, "left_semi")
+    if kept.filter("_n > 1").limit(1).count():
+        out = out.unionByName(common.join_small(rows.filter(worded), kept.filter("_n > 1"), same, "left_semi")
+                              .dropDuplicates(["doc_id", "_hash"]))
+    return out.unionByName(rows.filter(~worded)).drop("_hash")
 
 
 def op1_near_dedup(spark, folder):

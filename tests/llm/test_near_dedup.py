@@ -102,6 +102,37 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 5]
 
 
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def variants(words, n):
+    """A long text and texts near to it."""
+    text = words[n:n + 100]
+    return [" ".join(text), " ".join(text[:-1] + ["changed"]), " ".join(["changed"] + text[1:])]
+
+
+def test_two_texts_of_one_doc_id(spark, words):
+    a, near_a, other_a = variants(words, 0)
+    b, near_b, _ = variants(words, 200)
+    rows = [(5, a), (5, b), (9, near_a), (11, near_b), (2, other_a)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENT)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())
+    assert got == [(2, 2, True), (5, 2, False), (5, 5, True), (9, 2, False), (11, 5, False)]
+    assert sorted((r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()) == [(2, other_a), (5, b)]
+
+
+def test_every_group_keeps_exactly_one_row(spark, words):
+    a, near_a, _ = variants(words, 0)
+    b, near_b, _ = variants(words, 200)
+    c, near_c, _ = variants(words, 400)
+    rows = [(5, a), (5, a), (5, near_a), (3, b), (5, near_b), (None, c), (None, near_c), (None, c), (7, " "), (7, " "), (8, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCUMENT)
+    got = [(r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()]
+    assert sum(t in (a, near_a) for _, t in got) == 1 and (3, b) in got and (5, near_b) not in got
+    assert sum(t in (c, near_c) for _, t in got) == 1
+    assert sorted(i for i, t in got if not t or not t.split()) == [7, 7, 8] and len(got) == 6
+
+
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
