@@ -2,22 +2,25 @@
 
 A code is cut into segments of 16 bits.  Two codes whose distance is below
 m * (r + 1), with m segments, differ by at most r bits in one of them.  So a
-round looks up all values at radius r around each segment of a query, verifies
-what it finds by full distance and keeps k; a query is finished when its kth
+task looks up all values at radius r around each segment of a query, verifies
+what it finds by full distance and keeps k; the radius grows until the kth
 verified distance is below m * (r + 1).
 
 Rows of one code share an index entry with their k smallest ids: no more of
-them can be among the k results, however many rows a code has.  Index entries
-are dealt over parts by a hash of the code, queries come in blocks of bounded
-size, and every part returns k results per query and round at most.
+them can be among the k results, however many rows a code has.  Entries are
+dealt over parts by a hash of the code, once per search, and a part is a row of
+the stored index.  Queries come in blocks of bounded size, which every task has.
+A first round with small radii gives an upper bound of each query's kth
+distance, so that in the second no part searches farther than the whole needs.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +28,13 @@ from corpusflow.llm import common
 
 K = 10
 PART_CODES = 100_000
-QUERY_BLOCK = 20_000
-#: Code and place in its entry tell rows apart that share id and distance.
-_FOUND = "query int, id long, distance int, code string, place int"
+QUERY_BLOCK = 200_000
+#: Queries that a task looks up at once.
+AT_ONCE = 500
+#: Largest radius of the first round.
+FIRST_RADIUS = 1
+_FOUND = "query int, id long, distance int"
+_PART = "codes binary, counts array<int>, ids array<long>"
 
 
 def binary_code(vector, width: int):
@@ -78,24 +85,83 @@ def _segments(codes: list[str]) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(codes)), np.uint16).reshape(len(codes), -1)
 
 
-def _look_up(numbers: np.ndarray, queries: np.ndarray, radius: int, k: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        names = frame["code"].tolist()
-        codes = _segments(names)
-        ids = frame["ids"].tolist()
-        out = []
-        for number, own, rows in zip(numbers, queries, search(codes, queries, radius)):
-            distance = np.bitwise_count(codes[rows] ^ own).sum(axis=1, dtype=np.int32)
-            kept = np.argsort(distance, kind="stable")
-            if len(kept) > k:  # ties with the kth stay, as their ids decide
-                kept = kept[distance[kept] <= distance[kept[k - 1]]]
-            best = sorted((int(distance[i]), -1 if x is None else x, names[rows[i]], n, x)
-                          for i in kept for n, x in enumerate(ids[rows[i]]))[:k]
-            out += [(number, x, d, code, n) for d, _, code, n, x in best]
-        return pd.DataFrame(out, columns=["query", "id", "distance", "code", "place"]).astype({"id": "Int64"})
+def _pack(table: pa.Table) -> pa.Table:
+    """The entries of a part as one row."""
+    ids = table["ids"].combine_chunks()
+    counts = ids.value_lengths().to_pylist()
+    codes = bytes.fromhex("".join(table["code"].to_pylist()))
+    return pa.table({"codes": pa.array([codes], pa.binary()), "counts": pa.array([counts], pa.list_(pa.int32())),
+                     "ids": pa.array([ids.flatten().to_pylist()], pa.list_(pa.int64()))})
+
+
+def nearest(codes: np.ndarray, counts: np.ndarray, queries: np.ndarray, k: int, bounds: np.ndarray,
+            most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(entries, distances) per query: at least those of the k nearest rows within its bound, ties included.
+
+    ``counts``: rows of an entry.  The radius grows until the kth distance, or
+    the bound, is covered, or ``most`` is reached.
+    """
+    segments = codes.shape[1]
+    needed = min(k, int(counts.sum()))
+    open_ = np.arange(len(queries))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in queries]
+    for radius in range(most + 1):
+        left = []
+        for q, new in zip(open_.tolist(), search(codes, queries[open_], radius)):
+            new = np.setdiff1d(new, found[q][0])
+            distance = np.bitwise_count(codes[new] ^ queries[q]).sum(axis=1, dtype=np.int32)
+            rows, distance = np.append(found[q][0], new), np.append(found[q][1], distance)
+            order = np.argsort(distance, kind="stable")
+            rows, distance = rows[order], distance[order]
+            kth = int(np.searchsorted(np.cumsum(counts[rows]), needed))  # the entry with the row that is needed last
+            covered = segments * (radius + 1)
+            if kth < len(rows):
+                keep = distance <= distance[kth]
+                rows, distance = rows[keep], distance[keep]
+            found[q] = (rows, distance)
+            if bounds[q] >= covered and not (kth < len(rows) and distance[kth] < covered):
+                left.append(q)
+        open_ = np.array(left, np.int64)
+        if not len(open_):
+            break
+    return found
+
+
+def _look_up(sent, k: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, bounds = sent.value
+        for batch in batches:
+            for r in range(len(batch)):
+                codes = np.frombuffer(batch.column("codes")[r].as_py(), np.uint16).reshape(-1, queries.shape[1])
+                counts = batch.column("counts")[r].values.to_numpy(zero_copy_only=False)
+                ids = batch.column("ids")[r].values
+                missing, numbers = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                begins = np.cumsum(counts) - counts
+                for at in range(0, len(queries), AT_ONCE):
+                    part = slice(at, at + AT_ONCE)
+                    yield _best_rows(nearest(codes, counts, queries[part], k, bounds[part], most), at, begins, counts,
+                                     numbers, missing, k)
     return run
 
 
+def _best_rows(found, at: int, begins, counts, numbers, missing, k: int) -> pa.RecordBatch:
+    """The k rows with the least (distance, id) of every query, null ids first."""
+    query, place, distances = [], [], []
+    for n, (entries, distance) in enumerate(found):
+        own = np.repeat(begins[entries] - (np.cumsum(counts[entries]) - counts[entries]), counts[entries])
+        own = own + np.arange(len(own))
+        far = np.repeat(distance, counts[entries])
+        best = np.lexsort((numbers[own], ~missing[own], far))[:k]
+        query.append(np.full(len(best), at + n, np.int32))
+        place.append(own[best])
+        distances.append(far[best])
+    query, place, distances = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (query, place, distances))
+    place = place.astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query.astype(np.int32)), pa.array(numbers[place].astype(np.int64), mask=missing[place]),
+         pa.array(distances.astype(np.int32))], names=["query", "id", "distance"])
+
+
 def top_k(rows: DataFrame, queries: DataFrame, id_name: str, vector: str, k: int = K,
           part_codes: int = PART_CODES, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, id, distance: the k rows with the least Hamming distance to each query.
@@ -119,36 +185,34 @@ def top_k(rows: DataFrame, queries: DataFrame, id_name: str, vector: str, k: int
     index = common.stored(index.select("code", F.col("ids.id").alias("ids")), "codes")
     parts = max(1, -(-index.count() // part_codes))
     dealt = index.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)))
-    held = dealt.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    packed = common.stored(dealt.groupBy("part").applyInArrow(_pack, _PART), "packed").repartition(parts)
     wanted = common.stored(queries.select("id", binary_code(F.col("vector"), width).alias("code")).distinct(), "queries")
     blocks = max(1, -(-wanted.count() // query_block))
     out = None
     for block in range(blocks):
-        own = wanted.filter(F.pmod(F.xxhash64("code", "id"), F.lit(blocks)) == block).toPandas()
-        done = _block(spark, dealt, own, min(k, held), width // 16, k)
+        own = wanted.filter(F.pmod(F.xxhash64("code", "id"), F.lit(blocks)) == block).toArrow()
+        done = _block(spark, packed, own, width // 16, k, parts)
         out = done if out is None else out.unionByName(done)
     return out
 
 
-def _block(spark, dealt: DataFrame, own: pd.DataFrame, needed: int, segments: int, k: int) -> DataFrame:
-    """Results of one block of queries, radius by radius."""
-    codes = _segments(own["code"].tolist()) if len(own) else np.zeros((0, segments), np.uint16)
-    open_ = np.arange(len(own))
-    found = spark.createDataFrame([], _FOUND)
+def _block(spark, packed: DataFrame, own: pa.Table, segments: int, k: int, parts: int) -> DataFrame:
+    """Results of one block of queries."""
+    codes = _segments(own["code"].to_pylist()) if len(own) else np.zeros((0, segments), np.uint16)
     order = Window.partitionBy("query").orderBy("distance", F.col("id").asc_nulls_first())
-    for radius in range(17):
-        if not len(open_):
-            break
-        new = dealt.groupBy("part").applyInPandas(_look_up(open_, codes[open_], radius, k), _FOUND)
-        both = found.unionByName(new).distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        found = common.stored(both.drop("rank"), "found")
-        kth = found.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("kth")).toPandas()
-        covered = kth["query"][(kth["n"] >= needed) & (kth["kth"] < segments * (radius + 1))]
-        open_ = np.setdiff1d(np.arange(len(own)), covered)
-    names = spark.createDataFrame(
-        [(int(n), None if pd.isna(i) else int(i)) for n, i in enumerate(own["id"])], "query int, query_id long")
-    return (found.join(F.broadcast(names), "query").withColumn("rank", F.row_number().over(order))
-            .select("query_id", "rank", "id", "distance"))
+    bounds = np.full(len(codes), np.iinfo(np.int32).max)
+
+    def round_(most: int) -> DataFrame:
+        sent = spark.sparkContext.broadcast((codes, bounds))
+        found = packed.mapInArrow(_look_up(sent, k, most), _FOUND)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    if parts > 1:
+        kth = round_(FIRST_RADIUS).filter(F.col("rank") == k).select("query", "distance").toArrow()
+        bounds[kth["query"].to_numpy()] = kth["distance"].to_numpy()
+    names = spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(own), dtype=np.int32)),
+                                            "query_id": own["id"].cast(pa.int64())}))
+    return round_(16).join(F.broadcast(names), "query").select("query_id", "rank", "id", "distance")
 
 
 def op2_topk_hamming(spark, folder):

@@ -111,3 +111,24 @@ def test_labels_without_a_document_take_no_training_rows(spark):
     more = labels.unionByName(spark.range(1000, 5000).selectExpr("id AS doc_id", "1 AS quality"))
     alone = classifier.fit(docs, labels, bits=10, training_rows=20)
     assert alone.any() and (classifier.fit(docs, more, bits=10, training_rows=20) == alone).all()
+
+
+@pytest.mark.parametrize("part_codes", [1, 100_000])
+def test_ids_are_exact_beside_null(spark, part_codes):
+    big = 2**53
+    rows = [(None, [1.0] * 16), (-5, [1.0] * 16), (big + 1, [1.0] * 16), (big + 3, [1.0] * 16), (1, [-1.0] * 16), (2, [1.0] * 15 + [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    own = spark.createDataFrame([(7, [1.0] * 16), (None, [-1.0] * 16)], "vec_id long, embedding array<float>")
+    got = hamming.top_k(df, own, "vec_id", "embedding", 4, part_codes).collect()
+    assert sorted((r["rank"], r.id, r.distance) for r in got if r.query_id == 7) == [
+        (1, None, 0), (2, -5, 0), (3, big + 1, 0), (4, big + 3, 0)]
+    assert [(r.id, r.distance) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id is None] == [
+        (1, 0), (2, 15), (None, 16), (-5, 16)]
+
+
+def test_the_index_is_shuffled_once_whatever_the_radius(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plan = hamming.top_k(df, df.limit(5), "vec_id", "embedding", 3, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1
