@@ -27,8 +27,13 @@ NAVIGATION_WORDS = 4
 MAX_REMOVED_PERCENT = 50
 
 BLANK = r"[\x20\x09-\x0D]"
+# Marks that end a sentence, by script: Latin, Greek, Armenian, Arabic, Urdu, Devanagari, Tibetan, Burmese, Ethiopic,
+# Khmer, Mongolian, CJK.
+STOPS = ".!?…‽\u037e\u0589\u061f\u06d4।॥\u0f0d\u104a\u104b\u1362\u1367\u17d4\u17d5\u1803。！？．｡"
 # A sentence ends somewhere in the line.
-SENTENCE_END = r"[.!?…。！？][\"'”’»)\]]*([\x20\x09-\x0D]|$)"
+SENTENCE_END = rf"[{STOPS}][\"'”’»)\]」』）】》]*([\x20\x09-\x0D]|$)"
+# A line begins within a sentence: in lower case.
+WITHIN_SENTENCE = r"^[\x20\x09-\x0D]*\p{Ll}"
 SEPARATORS = "[|»›•·>]"
 SEPARATOR = rf"(^|[\x20\x09-\x0D]){SEPARATORS}($|[\x20\x09-\x0D])"
 SHOUT = r"[!?]{2,}"
@@ -81,13 +86,18 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(_let(windows, covered))
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line with at least one word is kept."""
+def line_passes(line: Column, after: Column) -> Column:
+    """Whether a line with at least one word is kept; ``after``: the next such line, or null.
+
+    A line that is wrapped within a sentence, which goes on in lower case on the
+    next line, is treated like one with an end of a sentence.
+    """
     words = _count(line, common.WORD)
     parts = F.when(line.rlike(SEPARATORS), _count(line, SEPARATOR)).otherwise(0)
     noise = F.greatest(_symbols(line), _count(line, SHOUT))
     navigation = (parts >= 3) & (words <= NAVIGATION_WORDS * (parts + 1) + parts)
-    return (line.rlike(SENTENCE_END) & ~navigation & ~line.rlike(BOILERPLATE)
+    whole = line.rlike(SENTENCE_END) | F.coalesce(after.rlike(WITHIN_SENTENCE), F.lit(False))
+    return (whole & ~navigation & ~line.rlike(BOILERPLATE)
             & (noise * 100 <= words * MAX_NOISE_PERCENT))
 
 
@@ -104,7 +114,8 @@ def verdict(text: Column) -> Column:
                 _symbols(text).cast("long").alias("n_symbols"),
                 (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
                 repeated_words(words).cast("long").alias("n_repeat_words"),
-                F.size(lines).alias("n_lines"), F.filter(lines, line_passes).alias("clean"))
+                F.size(lines).alias("n_lines"), F.filter(
+                    lines, lambda line, i: line_passes(line, F.get(lines, i + 1))).alias("clean"))
 
         return _let(lines, judged)
 
@@ -165,16 +176,17 @@ OP4_SQL = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 split AS (SELECT rid, doc_id, text, regexp_extract_all(text, {_duck(common.WORD)}) AS w FROM docs),
 lines AS (
-  SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM docs),
 judged AS (
-  SELECT rid, line, len(regexp_extract_all(line, {_duck(common.WORD)})) AS words,
+  SELECT rid, line, lead(line) OVER (PARTITION BY rid ORDER BY n) AS after, len(regexp_extract_all(line, {_duck(common.WORD)})) AS words,
     len(regexp_extract_all(line, {_duck(SEPARATOR)})) AS parts,
     greatest(len(line) - len(regexp_replace(line, '[#*$%&|<>]', '', 'g')),
              len(regexp_extract_all(line, {_duck(SHOUT)}))) AS noise
   FROM lines WHERE regexp_matches(line, {_duck(common.WORD)})),
 per_line AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines,
-    sum(CASE WHEN regexp_matches(line, {_duck(SENTENCE_END)})
+    sum(CASE WHEN (regexp_matches(line, {_duck(SENTENCE_END)})
+        OR coalesce(regexp_matches(after, {_duck(WITHIN_SENTENCE)}), false))
       AND NOT (parts >= 3 AND words <= {NAVIGATION_WORDS} * (parts + 1) + parts)
       AND NOT regexp_matches(line, {_duck(BOILERPLATE)})
       AND noise * 100 <= words * {MAX_NOISE_PERCENT} THEN words ELSE 0 END) AS left_words

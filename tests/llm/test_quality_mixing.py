@@ -153,3 +153,23 @@ def test_the_budget_is_found_in_small_slots(spark, monkeypatch):
     monkeypatch.setattr(mixing, "LAST_ROWS", 5)
     monkeypatch.setattr(mixing, "BUCKETS", 2)
     assert sorted(map(tuple, mixing.mix(df, 20).collect())) == expected
+
+
+@pytest.mark.parametrize("sentence", ["यह एक साधारण वाक्य है।", "هل هذا سؤال بسيط جدا هنا؟", "これは簡単な文です 。", "Սա պարզ նախադասություն է։",
+                                      "ይህ ቀላል ዓረፍተ ነገር ነው።"])
+def test_sentences_of_all_scripts_stay(spark, sentence):
+    text = "\n".join(" ".join(f"{word}{n}" for word in sentence[:-1].split()) + sentence[-1] for n in range(30))
+    got = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.kept and got.n_removed_words == 0
+
+
+def test_wrapped_lines_stay(spark):
+    words = [f"word{n}" for n in range(300)]
+    lines = [" ".join(words[n:n + 10]) for n in range(0, 300, 10)]
+    prose = "\n".join(lines) + "."
+    menu = "\n".join(f"Item{n} Of The Menu" for n in range(60))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(
+        [(1, prose), (2, menu), (3, lines[0] + "\n \n" + lines[1])], "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].n_removed_words == 0
+    assert not got[2].kept and got[2].n_removed_words == 240
+    assert got[3].clean_text == lines[0]
