@@ -158,7 +158,7 @@ def test_the_budget_is_found_in_small_slots(spark, monkeypatch):
 @pytest.mark.parametrize("sentence", ["यह एक साधारण वाक्य है।", "هل هذا سؤال بسيط جدا هنا؟", "これは簡単な文です 。", "Սա պարզ նախադասություն է։",
                                       "ይህ ቀላል ዓረፍተ ነገር ነው።"])
 def test_sentences_of_all_scripts_stay(spark, sentence):
-    text = "\n".join(" ".join(f"{word}{n}" for word in sentence[:-1].split()) + sentence[-1] for n in range(30))
+    text = "\n".join(" ".join(f"{word}{n}" for word in sentence[:-1].split()) + sentence[-1] for n in range(60))
     got = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     assert got.kept and got.n_removed_words == 0
 
