@@ -27,7 +27,7 @@ from corpusflow.session import work_path
 from corpusflow.sources import tables
 from corpusflow.sources import views as vw
 from corpusflow.sources.files import decode_text, write_files
-from corpusflow.streaming import jobs
+from corpusflow.streaming import jobs, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -820,3 +820,72 @@ def stream_history(spark, d):
     out = work_path(spark, "history")
     jobs.log_messages(vw.chat_history_stream(spark, d), f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return jobs.logged_messages(spark, f"{out}/table").select("id", "role", _md5("content"), _time("created_at"))
+
+
+STUCK_AFTER = 6 * 3600
+_ENDED = "('FAILED', 'COMPLETED')"
+_STAGES_SQL = "['" + "', '".join(stateful.STAGES) + "']"
+
+
+@query(f"""SELECT document_id, status, {TIME.format('since')} AS since, accepted, refused,
+       stuck_stages + CAST(coalesce(NOT stuck AND status NOT IN {_ENDED} AND epoch_us(w) - epoch_us(since) > {STUCK_AFTER}000000, false) AS BIGINT) AS stuck_stages,
+       stuck OR coalesce(status NOT IN {_ENDED} AND epoch_us(w) - epoch_us(since) > {STUCK_AFTER}000000, false) AS stuck
+       FROM (WITH RECURSIVE mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS w FROM status_event),
+       ordered AS (SELECT document_id, status, ts, w, row_number() OVER (PARTITION BY document_id ORDER BY ts, event_id) AS n
+                   FROM status_event, mark WHERE ts < w),
+       walk AS (SELECT DISTINCT document_id, w, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS TIMESTAMP) AS since,
+                CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS refused, CAST(0 AS BIGINT) AS stuck_stages, false AS stuck FROM ordered
+                UNION ALL SELECT document_id, w, n, CASE WHEN ok THEN new ELSE status END, CASE WHEN ok THEN ts ELSE since END,
+                accepted + CAST(ok AS BIGINT), refused + CAST(NOT ok AS BIGINT), stuck_stages + CAST(late AS BIGINT),
+                CASE WHEN ok THEN false ELSE stuck OR late END FROM (
+                SELECT b.document_id, b.w, o.n, b.status, b.since, b.accepted, b.refused, b.stuck_stages, b.stuck, o.status AS new, o.ts,
+                coalesce(NOT b.stuck AND b.status NOT IN {_ENDED} AND epoch_us(o.ts) - epoch_us(b.since) > {STUCK_AFTER}000000, false) AS late,
+                CASE WHEN o.status = 'UPLOADING' THEN b.status IS NULL OR b.status IN {_ENDED}
+                     WHEN b.status IS NULL OR b.status IN {_ENDED} THEN false WHEN o.status = 'FAILED' THEN true
+                     ELSE coalesce(list_position({_STAGES_SQL}, o.status) > list_position({_STAGES_SQL}, b.status), false) END AS ok
+                FROM walk b JOIN ordered o ON o.document_id = b.document_id AND o.n = b.n + 1))
+       SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY n DESC) = 1)""")
+def stream_status_machine(spark, d):
+    """Status per document with refused moves and stages that lasted longer than six hours."""
+    out = work_path(spark, "machine")
+    stateful.follow_machine(vw.status_event_stream(spark, d), f"{out}/table", f"{out}/checkpoint",
+                            stuck_after=STUCK_AFTER).awaitTermination()
+    return stateful.machine_status(spark, f"{out}/table").select(
+        "document_id", "status", _time("since"), "accepted", "refused", "stuck_stages", "stuck")
+
+
+@query(f"""WITH marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY document_id ORDER BY ts, event_id) >= INTERVAL 3 HOUR, true) AS fresh
+       FROM status_event WHERE ts IS NOT NULL),
+       numbered AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY document_id ORDER BY ts, event_id
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM marked)
+       SELECT CAST(document_id AS VARCHAR) AS session_id, {TIME.format('min(ts)')} AS first_at, {TIME.format('max(ts)')} AS last_at,
+       count(*) AS messages FROM numbered GROUP BY document_id, n
+       HAVING max(ts) + INTERVAL 3 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM status_event)""")
+def stream_sessions(spark, d):
+    """Closed sessions of a stream in which every message comes twice."""
+    out = work_path(spark, "sessions")
+    events = vw.status_event_stream(spark, d).select(
+        F.col("event_id").cast("string").alias("id"), F.col("document_id").cast("string").alias("session_id"),
+        F.col("ts").alias("created_at"))
+    stateful.follow_sessions(events.union(events), f"{out}/table", f"{out}/checkpoint", gap="3 hours").awaitTermination()
+    return stateful.closed_sessions(spark, f"{out}/table").select(
+        "session_id", _time("first_at"), _time("last_at"), "messages")
+
+
+@query("""SELECT knowledge_base_id, count(*) AS document_count, count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
+       count(*) FILTER (WHERE status IN ('UPLOADING', 'PARSING', 'CHUNKING', 'EMBEDDING')) AS processing,
+       count(*) FILTER (WHERE contains(status, 'FAILED')) AS failed FROM doc GROUP BY 1""")
+def incremental_counts(spark, d):
+    """Counts after three steps of changes: arrival, processing, deletion of as many other documents."""
+    out = work_path(spark, "counts")
+    documents = vw.document(spark, d).select("document_id", "knowledge_base_id", "status")
+    others = documents.select((-1 - F.col("document_id")).alias("document_id"), "knowledge_base_id", F.lit("FAILED").alias("status"))
+    both = documents.unionByName(others)
+    steps = [both.withColumn("status", F.lit("UPLOADING")), both, others.withColumn("status", F.lit(None).cast("string"))]
+    for seq, rows in enumerate(steps):
+        rows.withColumn("seq", F.lit(seq).cast("long")).withColumn("deleted", F.lit(seq == 2)).write.mode("append").parquet(
+            f"{out}/changes")
+    schema = "document_id bigint, knowledge_base_id string, status string, seq bigint, deleted boolean"
+    changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/changes")
+    stateful.follow_counts(changes, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return stateful.followed_counts(spark, f"{out}/table")
