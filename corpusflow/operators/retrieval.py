@@ -79,15 +79,18 @@ def _renumber(hits: DataFrame) -> DataFrame:
 
 
 def retrieve(documents: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = K.TOP_K,
-             metric: str = "cosine", scope: str = "kb") -> DataFrame:
+             metric: str = "cosine", scope: str = "kb", chosen: bool = False) -> DataFrame:
     """Hits per question: query_id, document_id, chunk_index, score, rank.
 
     ``kb``: the k best among the completed documents of the question's
     knowledge base.  ``global_then_filter``: the k best of all chunks, of which
     those of completed documents of that knowledge base are kept, so there may
-    be fewer than k.
+    be fewer than k.  ``chosen``: the chunks are those of :func:`asked_chunks`
+    already, for scope ``kb``.
     """
     if scope == "kb":
+        if chosen:
+            return top_k(chunks, questions, k, metric, within="knowledge_base_id")
         return top_k(kb_chunks(documents, chunks), questions, k, metric, within="knowledge_base_id")
     if scope != "global_then_filter":
         raise ValueError("scope must be kb or global_then_filter")
@@ -100,15 +103,17 @@ def retrieve(documents: DataFrame, chunks: DataFrame, questions: DataFrame, k: i
     return _renumber(kept.select("query_id", "document_id", "chunk_index", "score"))
 
 
-def with_content(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scope: str = "kb") -> DataFrame:
+def with_content(hits: DataFrame, chunks: DataFrame, questions: DataFrame, scope: str = "kb",
+                 chosen: bool = False) -> DataFrame:
     """Fetch the text of the hits only after they are chosen.
 
     Hits within the knowledge base of the question are looked for only there:
     of chunks stored by knowledge base the other folders are not read.
+    ``chosen``: the chunks are those of :func:`asked_chunks` already.
     """
     on = ["document_id", "chunk_index"]
     texts = chunks.select(*on, "content")
-    if scope == "kb" and {"knowledge_base_id"} <= set(chunks.columns) & set(questions.columns):
+    if not chosen and scope == "kb" and {"knowledge_base_id"} <= set(chunks.columns) & set(questions.columns):
         texts = within_scopes(chunks, questions, "knowledge_base_id").select(*on, "content", "knowledge_base_id")
         hits = hits.join(questions.select("query_id", "knowledge_base_id"), "query_id")
         on = [*on, "knowledge_base_id"]

@@ -37,6 +37,8 @@ def build_session(app: str = "corpusflow", master: str | None = None, **conf) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        # Short lists are read by one job instead of one for 1, 4, 16 ... partitions.
+        "spark.sql.limit.initialNumPartitions": "64",
         # Streaming state on local disk instead of the heap.
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -142,6 +144,12 @@ def short_rows(df: DataFrame, limit: int) -> pa.Table | None:
     return pa.Table.from_struct_array(got).cast(to_arrow_schema(df.schema))
 
 
+def local_if_short(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` as local data if it is a short list, so that what it is derived from runs once; else as it is."""
+    rows = short_rows(df, limit)
+    return df if rows is None else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def broadcast_or_none(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame | None:
     """``df`` marked for broadcast if its measured size is within ``limit``, else None.
 

@@ -83,22 +83,22 @@ def paragraph_text(spark, folder) -> DataFrame:
     return source_text(spark, folder).withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
 
 
-def _documents(spark, folder) -> int:
+def documents_count(spark, folder) -> int:
     """Number of documents, which comes from file footers."""
     return max(1, table(spark, folder, "documents").count())
 
 
-def chunk_vector(spark, folder) -> DataFrame:
-    """document_id, chunk_index, embedding, label of the stored vectors, dealt over all documents."""
-    n = _documents(spark, folder)
+def chunk_vector(spark, folder, n: int | None = None) -> DataFrame:
+    """document_id, chunk_index, embedding, label of the stored vectors, dealt over all ``n`` documents."""
+    n = n or documents_count(spark, folder)
     return table(spark, folder, "embeddings").select(
         (F.col("vec_id") % n).alias("document_id"),
         F.expr(f"cast(vec_id div {n} as int)").alias("chunk_index"), "embedding", "label", "vec_id")
 
 
-def vector_text(spark, folder) -> DataFrame:
+def vector_text(spark, folder, n: int | None = None) -> DataFrame:
     """Text of the stored vectors: positions beyond the last chunk start again at the first."""
-    places = chunk_vector(spark, folder).select("document_id", "chunk_index")
+    places = chunk_vector(spark, folder, n).select("document_id", "chunk_index")
     # Only documents that have vectors are cut.
     wanted = (table(spark, folder, "documents").withColumnRenamed("doc_id", "document_id")
               .join(places.select("document_id").distinct(), "document_id", "left_semi")
@@ -109,9 +109,9 @@ def vector_text(spark, folder) -> DataFrame:
                                      .cast("int")).alias("content")))
 
 
-def question(spark, folder) -> DataFrame:
+def question(spark, folder, n: int | None = None) -> DataFrame:
     """query_id, knowledge_base_id, session_id, message, embedding: every stored vector asks."""
-    document_id = F.col("vec_id") % _documents(spark, folder)
+    document_id = F.col("vec_id") % (n or documents_count(spark, folder))
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("query_id"),
         F.concat(F.lit("src"), (document_id % 20).cast("string")).alias("knowledge_base_id"),
@@ -122,7 +122,15 @@ def question(spark, folder) -> DataFrame:
 
 def asked_text(spark, folder) -> DataFrame:
     """query_id, knowledge_base_id, message: questions in words, some to unknown knowledge bases."""
-    return table(spark, folder, "benchmark").select(
+    return _asked(table(spark, folder, "benchmark"))
+
+
+def asked_text_stream(spark, folder) -> DataFrame:
+    return _asked(_stream(spark, folder, "benchmark"))
+
+
+def _asked(items: DataFrame) -> DataFrame:
+    return items.select(
         F.col("item_id").alias("query_id"),
         F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("knowledge_base_id"),
         F.col("text").alias("message"))

@@ -15,11 +15,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from corpusflow import constants as K
 from corpusflow.operators.catalog import validate_uploads
-from corpusflow.operators.embedding import EncoderFactory
+from corpusflow.operators.embedding import EncoderFactory, embed
+from corpusflow.operators.generation import ModelFactory, first_chunk_model
 from corpusflow.operators.lifecycle import latest_status
-from corpusflow.plans import processing
+from corpusflow.plans import answering, processing
 from corpusflow.schemas import DOCUMENT, OUTCOME, REJECTED, STAGE
-from corpusflow.session import broadcast_if_small
+from corpusflow.session import broadcast_if_small, local_if_short
 from corpusflow.sources.files import stream_files, to_documents
 from corpusflow.sources.tables import drop_folders, exists
 
@@ -167,3 +168,30 @@ def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | No
 
 def logged_messages(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("basePath", out).parquet(out).drop("batch", "part")
+
+
+def answer_stream(questions: DataFrame, snapshot: Callable[[DataFrame], tuple[DataFrame, DataFrame]], encoder: EncoderFactory,
+                  out: str, checkpoint: str, model: ModelFactory = first_chunk_model, k: int = K.TOP_K,
+                  every: str | None = None) -> StreamingQuery:
+    """Answer a stream of questions (query_id, knowledge_base_id, message), each query_id once.
+
+    ``snapshot`` gives the documents and the encoded chunks for the questions of
+    a micro-batch, as ``retrieval.asked_chunks`` chooses them, and is called for
+    each, so an answer knows what is stored when it is given.  Which ids have
+    been answered is kept in the state of the stream, not read back; the first
+    of several questions of one id counts.  Questions without id are left out.
+    """
+
+    def each(asked: DataFrame, batch: int) -> None:
+        asked = local_if_short(asked)
+        documents, chunks = snapshot(asked)
+        answers = answering.answer_questions(documents, chunks, embed(asked, encoder, text="message"), model, k, chosen=True)
+        answers.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    once = questions.where("query_id IS NOT NULL").dropDuplicates(["query_id"])
+    return _start(once, each, checkpoint, every=every)
+
+
+def stream_answered(spark: SparkSession, out: str) -> DataFrame:
+    """query_id, message, answer, sources as :func:`answer_stream` wrote them."""
+    return spark.read.option("basePath", out).parquet(out).drop("batch")

@@ -133,3 +133,23 @@ def test_a_later_batch_costs_no_more_input(spark, tmp_path):
         read.append(sum(p["numInputRows"] for p in query.recentProgress))
     assert len(set(read)) == 1
     assert stateful.followed_counts(spark, f"{tmp_path}/out").select(F.sum("processing")).first()[0] == 30
+
+
+def test_answers_are_given_once_and_know_what_is_stored(spark, tmp_path):
+    from corpusflow.operators.embedding import embed, hashing_encoder
+    from corpusflow.streaming import jobs
+
+    schema = "query_id long, knowledge_base_id string, message string"
+    documents = spark.createDataFrame([(1, "a", "COMPLETED")], "document_id long, knowledge_base_id string, status string")
+    texts = {"now": [(1, "a", 0, "blue sky")]}
+
+    def snapshot(asked):
+        rows = spark.createDataFrame(texts["now"], "document_id long, knowledge_base_id string, chunk_index int, content string")
+        return documents, embed(rows, hashing_encoder())
+
+    for n, stream in enumerate(feed(spark, f"{tmp_path}/in", [[(1, "a", "sky"), (1, "a", "sky"), (None, "a", "sky")],
+                                                               [(1, "a", "sky"), (2, "a", "sky"), (3, "b", "sky")]], schema)):
+        texts["now"] = [(1, "a", 0, f"sky of day {n}")]
+        jobs.answer_stream(stream, snapshot, hashing_encoder(), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    got = {r.query_id: r.answer for r in jobs.stream_answered(spark, f"{tmp_path}/out").collect()}
+    assert got[1] == "sky of day 0" and got[2] == "sky of day 1" and set(got) == {1, 2, 3}
