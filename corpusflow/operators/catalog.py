@@ -84,12 +84,33 @@ def create_kbs(requests: DataFrame, knowledge_bases: DataFrame, now: Column | No
         now.alias("created_at"), now.alias("updated_at"))
 
 
+def validate_renames(changes: DataFrame, knowledge_bases: DataFrame) -> DataFrame:
+    """Changes (id, name, …), unique by id, with ``reason``: null if the knowledge base may have the name.
+
+    A name is taken by any other knowledge base that has it, also by one that
+    is renamed in the same batch, and by a change of a smaller id.
+    """
+    named = changes.where(tx.has_text(F.col("name"))).select("id", "name")
+    holders = knowledge_bases.select("name", F.col("id").alias("_holder"))
+    first = named.groupBy("name").agg(F.min("id").alias("id"))
+    refused = (named.join(holders, "name").where("_holder <> id").select("id")
+               .unionByName(named.join(first, ["name", "id"], "left_anti").select("id")).distinct())
+    reason = (F.when(~tx.has_text(F.col("name")), F.lit("name is blank"))
+              .when(F.col("_refused"), F.concat(F.lit(K.MSG_KB_NAME_EXISTS), "name")))
+    return (changes.join(refused.withColumn("_refused", F.lit(True)), "id", "left")
+            .withColumn("reason", reason).drop("_refused"))
+
+
 def update_kbs(knowledge_bases: DataFrame, changes: DataFrame, now: Column | None = None) -> DataFrame:
-    """Knowledge bases with name and description of ``changes`` (id, name, description) put in."""
+    """Knowledge bases with name and description of ``changes`` (id, name, description) put in.
+
+    Changes that :func:`validate_renames` gives a reason against are left out.
+    """
     now = F.current_timestamp() if now is None else now
     kept = knowledge_bases.select("id", *[c for c in knowledge_bases.columns
                                           if c not in ("id", "name", "description", "updated_at")])
-    changed = changes.join(kept, "id").withColumn("updated_at", now)
+    accepted = validate_renames(changes, knowledge_bases).where("reason IS NULL").select(*changes.columns)
+    changed = accepted.join(kept, "id").withColumn("updated_at", now)
     return upsert(knowledge_bases, changed, ["id"])
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import clean_for_embedding
+from corpusflow.session import ship_package
 from corpusflow.sources.tables import listed_folders
 
 # An encoder maps an Arrow array of texts, without nulls, to one vector per
@@ -151,6 +152,7 @@ def embed(df: DataFrame, encoder: EncoderFactory, text: str = "content", out: st
                 vectors = _lists(vectors.flatten().to_numpy(), widths)
             yield vectors
 
+    ship_package(df.sparkSession)
     model = F.arrow_udf(run, T.ArrayType(T.FloatType())).asNondeterministic()
     source = clean_for_embedding(F.col(text)) if clean else F.col(text)
     return df.withColumn(out, model(source))

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from corpusflow import constants as K
-from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, short_rows, table_size, work_path
+from corpusflow.session import BROADCAST_BYTES, broadcast_if_small, ship_package, short_rows, table_size, work_path
 
 METRICS = ("cosine", "l2")
 # Scores are kept to this many decimals, so that summation order cannot decide
@@ -397,6 +397,7 @@ def _final(candidates: DataFrame, k: int) -> DataFrame:
 def _prepared(vectors, questions, k, metric, within):
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    ship_package(vectors.sparkSession)
     if k < 1:
         raise ValueError("k must be at least 1")
     scope = [within] if within else []

@@ -130,7 +130,9 @@ def follow_status(events: DataFrame, out: str, checkpoint: str, every: str | Non
 
 
 def followed_status(spark: SparkSession, out: str) -> DataFrame:
-    """Current status per document from what :func:`follow_status` wrote."""
+    """Current status per document from what :func:`follow_status` wrote; no rows before the first micro-batch."""
+    if not exists(spark, out):
+        return spark.createDataFrame([], "document_id bigint, status string, ts timestamp")
     return _newest(spark.read.option("basePath", out).parquet(out), ["document_id", "status", "ts"])
 
 

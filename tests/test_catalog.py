@@ -151,3 +151,16 @@ def test_contexts_and_prompts(spark):
 def test_classification(spark, answer, error, told):
     df = spark.createDataFrame([(answer, error)], "answer string, error string")
     assert df.select(prompting.classify_answer(df.answer, df.error)).first()[0] == told
+
+
+def test_a_name_that_another_knowledge_base_has_is_refused(spark):
+    schema = "id string, name string, description string"
+    stored = spark.createDataFrame([("1", "one", "a"), ("2", "two", "b"), ("3", "three", "c")], schema)
+    stored = stored.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    changes = spark.createDataFrame([("1", "two", "x"), ("2", " \t", "x"), ("3", "three", "new text"), ("9", "free", "x")], schema)
+    judged = {r.id: r.reason for r in catalog.validate_renames(changes, stored).collect()}
+    assert judged["1"].endswith("two") and judged["2"] == "name is blank" and judged["3"] is None
+    got = {r.id: (r.name, r.description) for r in catalog.update_kbs(stored, changes).collect()}
+    assert got == {"1": ("one", "a"), "2": ("two", "b"), "3": ("three", "new text")}
+    both = spark.createDataFrame([("1", "new", "x"), ("2", "new", "y")], schema)
+    assert {r.id: r.name for r in catalog.update_kbs(stored, both).collect()} == {"1": "new", "2": "two", "3": "three"}
