@@ -38,6 +38,8 @@ SMALL = 16
 ASKING = 4096
 
 _SIGNED = "doc_id long, t long, n_shingles long, class_id long, check long, signature binary, bands array<long>"
+#: Nodes of classes that no doc_id names begin here.
+NAMELESS = 1 << 62
 _SETS = "node long, wanted long, class_id long, check long, shingles binary"
 
 
@@ -282,12 +284,21 @@ def _with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
 def _classes(signed: DataFrame) -> DataFrame:
     """class_id, check, node, least, signature, bands: a row per distinct set, stored.
 
-    Nodes are numbers of their own, so that two texts of one doc_id are two
-    nodes; least is the smallest doc_id of the class, null if it has none.
+    least is the smallest doc_id of the class, null if it has none.  It is the
+    node too, so that buckets are compared with their earliest class; of several
+    classes of one least doc_id, that is several texts of it, one has it as node
+    and the others, as those without doc_id, a number of their own above all doc_ids.
     """
+    named = signed.filter("class_id is not null and doc_id is not null").groupBy("class_id", "check").agg(
+        F.min("doc_id").alias("least"))
+    shared = common.stored(named.groupBy("least").agg(F.count("*").alias("n"), F.min("class_id").alias("owner")).filter(
+        "n > 1").drop("n"), "shared_ids")
     rows = signed.filter("class_id is not null").groupBy("class_id", "check").agg(
         F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
-    return common.stored(rows.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = common.join_small(rows, shared, "least", "left")
+    own = F.col("least").isNotNull() & (F.col("owner").isNull() | (F.col("owner") == F.col("class_id")))
+    node = F.when(own, F.col("least")).otherwise(F.monotonically_increasing_id() + F.lit(NAMELESS))
+    return common.stored(rows.select("class_id", "check", node.alias("node"), "least", "signature", "bands"), "classes")
 
 
 def _links(classes: DataFrame, sets_of, least: int, percent: int) -> DataFrame:
