@@ -5,6 +5,8 @@ Each function reads whole tables; see FIXTURES.md for the mapping.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,8 +161,9 @@ def _history(conversations: DataFrame) -> DataFrame:
 
 
 def _stream(spark, folder, name) -> DataFrame:
-    return (spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet")
-            .parquet(folder))
+    # The last letter as a pattern: a stream takes a pattern that one file answers, or a folder of files, but no plain file.
+    plain = re.sub(r"([][{}*?\\])", r"\\\1", folder)
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{plain}/{name}.parque[t]")
 
 
 def chat_history_stream(spark, folder) -> DataFrame:

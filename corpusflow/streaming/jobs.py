@@ -163,7 +163,8 @@ def log_messages(messages: DataFrame, out: str, checkpoint: str, every: str | No
             known = _batches(spark, out, schema).where((F.col("batch") != batch) & F.col("part").isin(asked))
             new = new.join(known.select("id"), "id", "left_anti")
         rows = new.unionByName(arrived.where("id IS NULL").withColumn("part", F.lit(0)))
-        rows.write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch}")
+        # Gathered by folder, else every task has a file in each.
+        rows.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/batch={batch}")
 
     return _start(messages, each, checkpoint, every=every)
 

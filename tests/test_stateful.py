@@ -153,3 +153,14 @@ def test_answers_are_given_once_and_know_what_is_stored(spark, tmp_path):
         jobs.answer_stream(stream, snapshot, hashing_encoder(), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     got = {r.query_id: r.answer for r in jobs.stream_answered(spark, f"{tmp_path}/out").collect()}
     assert got[1] == "sky of day 0" and got[2] == "sky of day 1" and set(got) == {1, 2, 3}
+
+
+def test_a_table_of_several_files_is_a_stream(spark, tmp_path):
+    """Also below a folder whose name looks like a pattern."""
+    from corpusflow.plans import queries
+    from corpusflow.sources import views
+
+    folder = f"{tmp_path}/sf[1]"
+    for name in (f"{folder}/conversations.parquet", f"{folder}/conversations.parquet.old"):
+        spark.createDataFrame([(n, 0, "user", f"text {n}") for n in range(40)], views.SCHEMAS["conversations"]).repartition(4).write.parquet(name)
+    assert sorted(r["id"] for r in queries.QUERIES["stream_history"](spark, folder).collect()) == sorted(f"{n}_0" for n in range(40))
