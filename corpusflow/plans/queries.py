@@ -908,6 +908,9 @@ def stream_sessions(spark, d):
         "session_id", _time("first_at"), _time("last_at"), "messages")
 
 
+ROWS_OF_CHANGES = 250_000  # in a file
+
+
 @query("""SELECT knowledge_base_id, count(*) AS document_count, count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
        count(*) FILTER (WHERE status IN ('UPLOADING', 'PARSING', 'CHUNKING', 'EMBEDDING')) AS processing,
        count(*) FILTER (WHERE contains(status, 'FAILED')) AS failed FROM doc GROUP BY 1""")
@@ -918,9 +921,11 @@ def incremental_counts(spark, d):
     others = documents.select((-1 - F.col("document_id")).alias("document_id"), "knowledge_base_id", F.lit("FAILED").alias("status"))
     both = documents.unionByName(others)
     steps = [both.withColumn("status", F.lit("UPLOADING")), both, others.withColumn("status", F.lit(None).cast("string"))]
+    # Files by the number of rows, so that a micro-batch of four has work enough whatever the tasks that write them.
+    files = max(4, -(-2 * vw.documents_count(spark, d) // ROWS_OF_CHANGES))
     for seq, rows in enumerate(steps):
-        rows.withColumn("seq", F.lit(seq).cast("long")).withColumn("deleted", F.lit(seq == 2)).write.mode("append").parquet(
-            f"{out}/changes")
+        (rows.withColumn("seq", F.lit(seq).cast("long")).withColumn("deleted", F.lit(seq == 2)).repartition(files)
+         .write.mode("append").parquet(f"{out}/changes"))
     schema = "document_id bigint, knowledge_base_id string, status string, seq bigint, deleted boolean"
     changes = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{out}/changes")
     stateful.follow_counts(changes, f"{out}/table", f"{out}/checkpoint").awaitTermination()

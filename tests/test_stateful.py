@@ -155,6 +155,18 @@ def test_answers_are_given_once_and_know_what_is_stored(spark, tmp_path):
     assert got[1] == "sky of day 0" and got[2] == "sky of day 1" and set(got) == {1, 2, 3}
 
 
+def test_documents_of_a_page_cost_one_state(spark, tmp_path):
+    schema = "document_id long, seq long, knowledge_base_id string, status string, deleted boolean"
+    updated = []
+    for stream in feed(spark, f"{tmp_path}/in", [[(n, k, "ab"[k], "PARSING", n == 5 * k) for n in range(30)] for k in range(2)], schema):
+        query = stateful.follow_counts(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint", pages=2)
+        query.awaitTermination()
+        updated += [p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["numInputRows"]]
+    assert updated == [2, 2]
+    rows = {r.knowledge_base_id: r.document_count for r in stateful.followed_counts(spark, f"{tmp_path}/out").collect()}
+    assert rows == {"a": 0, "b": 29}
+
+
 def test_a_table_of_several_files_is_a_stream(spark, tmp_path):
     """Also below a folder whose name looks like a pattern."""
     from corpusflow.plans import queries
