@@ -38,6 +38,8 @@ METRICS = ("cosine", "l2")
 # between equal vectors.
 SCORE_DECIMALS = 9
 SCORE_CELLS = 4_000_000  # cells of one score matrix inside a task
+ASKED_TILE, SCORED_TILE = 512, 1024  # questions and vectors of one approximate product, which a core's cache holds
+MANY_QUESTIONS = 10_000  # from so many on, dealing out vectors costs little beside scoring them
 BLOCK_VALUES = 4_000_000  # numbers of the vectors of one score matrix
 LISTED_SCOPES = 1000  # scopes written out as a filter
 SCANS = 8  # most scans of the vectors for blocks of questions
@@ -134,25 +136,51 @@ def _sign_codes(flat, starts, widths, planes: np.ndarray, tables: int) -> np.nda
     return codes
 
 
+class _Prepared:
+    """Rows by width, ready for products in single precision; the exact numbers stay as they came.
+
+    For l2 a question has one place more, 1, and a vector half its squared
+    length, negative: so the product is half of what the two squared lengths
+    have beyond the squared distance.
+    """
+
+    def __init__(self, flat, starts, widths, metric: str, asking: bool):
+        self.flat, self.starts, self.widths, self.metric = flat, starts, widths, metric
+        self.place = np.zeros(len(widths), np.int64)
+        # width -> (single precision rows, squared lengths, whether single precision can hold the products)
+        self.by_width: dict[int, tuple[np.ndarray, np.ndarray, bool]] = {}
+        for width, rows in _by_value(widths):
+            self.place[rows] = np.arange(len(rows))
+            fast, norm2 = np.zeros((len(rows), width + 1), np.float32), np.empty(len(rows))
+            step = max(1, BLOCK_VALUES // max(1, 4 * width))
+            with np.errstate(over="ignore", invalid="ignore"):
+                for begin in range(0, len(rows), step):
+                    block = self.exact(rows[begin:begin + step], width)
+                    own = norm2[begin:begin + step] = np.einsum("ij,ij->i", block, block)
+                    fast[begin:begin + step, :-1] = block
+                    if metric == "l2":
+                        fast[begin:begin + step, -1] = 1 if asking else -own / 2
+            self.by_width[width] = fast, norm2, bool((norm2 < 1e30).all())
+
+    def exact(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Rows in double precision, of length 1 for cosine."""
+        block = _matrix(self.flat, self.starts, rows, width)
+        return _unit(block) if self.metric == "cosine" else block
+
+
 class _Questions:
-    """A block of questions, grouped, with unit vectors or squared norms ready."""
+    """A block of questions, prepared once, with the rows of each group."""
 
     def __init__(self, table: pa.Table, buckets: _Buckets, metric: str):
         self.ids, self.buckets, self.metric = _plain(table["query_id"]), buckets, metric
         flat, starts, widths = _vectors(table["embedding"])
+        self.rows = _Prepared(flat, starts, widths, metric, True)
         buckets.learn(table)
-        # Per grouping: group -> width -> (questions, vectors, squared norms)
-        self.parts: list[dict[int, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]] = []
+        # Per grouping: group -> width -> questions
+        self.parts: list[dict[int, dict[int, np.ndarray]]] = []
         for groups in buckets.groupings(table, flat, starts, widths):
-            parts: dict = {}
-            for group, rows in _by_value(groups):
-                by_width = parts.setdefault(group, {})
-                for width, at in _by_value(widths[rows]):
-                    block = _matrix(flat, starts, rows[at], width)
-                    if metric == "cosine":
-                        block = _unit(block)
-                    by_width[width] = (rows[at], block, np.einsum("ij,ij->i", block, block))
-            self.parts.append(parts)
+            self.parts.append({group: {width: rows[at] for width, at in _by_value(widths[rows])}
+                               for group, rows in _by_value(groups)})
 
 
 class _Best:
@@ -162,8 +190,8 @@ class _Best:
     costs little however many small blocks are scored.
     """
 
-    def __init__(self, questions: int, k: int):
-        self.k = k
+    def __init__(self, questions: int, k: int, wait: int = 50_000):
+        self.k, self.wait = k, wait
         self.bound = np.full(questions, -np.inf)
         self.held: list[np.ndarray] | None = None
         self.waiting: list[list[np.ndarray]] = []
@@ -172,7 +200,7 @@ class _Best:
     def add(self, question, document, position, score) -> None:
         self.waiting.append([question, document, position, score])
         self.count += len(question)
-        if self.held is None or self.count > max(50_000, len(self.held[0])):
+        if self.held is None or self.count > max(self.wait, len(self.held[0])):
             self.merge()
 
     def merge(self) -> None:
@@ -194,7 +222,7 @@ class _Best:
         place = np.arange(len(question)) - np.searchsorted(question, question, side="left")
         keep = order[place < self.k]
         full = place == self.k - 1
-        self.bound[question[full]] = score[order[full]]
+        self.bound[question[full]] = np.maximum(self.bound[question[full]], score[order[full]])
         self.held = [column[keep] for column in merged]
 
 
@@ -214,38 +242,107 @@ def _offer(best: _Best, asked: np.ndarray, scores: np.ndarray, document, positio
                  np.round(scores[rows, columns], SCORE_DECIMALS))
 
 
-def _score_block(best: _Best, metric: str, wanted, flat, starts, rows, width, documents, positions) -> None:
-    """Score rows of one group and width against the questions of that group."""
-    for asked_width, (asked, block, norm2) in wanted.items():
-        if asked_width != width and metric != "cosine":
-            continue
-        step = max(1, min(SCORE_CELLS // len(asked), BLOCK_VALUES // max(1, width)))
+def _score_exactly(best: _Best, questions: _Questions, asked, asked_width, vectors: _Prepared, rows, width,
+                   documents, positions) -> None:
+    """All scores in double precision: for numbers beyond single precision, and for vectors of two widths."""
+    metric = questions.metric
+    for first in range(0, len(asked), ASKED_TILE):
+        part = asked[first:first + ASKED_TILE]
+        block = questions.rows.exact(part, asked_width)
+        norm2 = np.einsum("ij,ij->i", block, block)
+        step = max(1, min(SCORE_CELLS // len(part), BLOCK_VALUES // max(1, width)))
         for begin in range(0, len(rows), step):
-            part = rows[begin:begin + step]
+            held = rows[begin:begin + step]
             if asked_width != width:
-                scores = np.zeros((len(asked), len(part)))
+                scores = np.zeros((len(part), len(held)))
+            elif metric == "cosine":
+                scores = block @ vectors.exact(held, width).T
             else:
-                vectors = _matrix(flat, starts, part, width)
-                if metric == "cosine":
-                    scores = block @ _unit(vectors).T
-                else:
-                    own = np.einsum("ij,ij->i", vectors, vectors)
-                    distance = norm2[:, None] + own[None, :] - 2.0 * (block @ vectors.T)
-                    scores = 1.0 / (1.0 + np.maximum(distance, 0.0))
-            _offer(best, asked, scores, documents[part], positions[part])
+                there = vectors.exact(held, width)
+                own = np.einsum("ij,ij->i", there, there)
+                distance = norm2[:, None] + own[None, :] - 2.0 * (block @ there.T)
+                scores = 1.0 / (1.0 + np.maximum(distance, 0.0))
+            _offer(best, part, scores, documents[held], positions[held])
+
+
+def _least_product(metric: str, score: np.ndarray, norm2: np.ndarray, slip: np.ndarray) -> np.ndarray:
+    """The least product in single precision that a pair of at least this score can have."""
+    score = score - 10.0 ** -SCORE_DECIMALS
+    if metric == "cosine":
+        least = score - slip
+    else:
+        far = np.where(score > 0, 1.0 / np.where(score > 0, score, 1.0) - 1.0, np.inf)
+        least = (norm2 - far) / 2 - slip
+    return (least - 2.0 ** -22 * np.abs(least)).astype(np.float32)
+
+
+def _score_block(best: _Best, questions: _Questions, asked, asked_width, vectors: _Prepared, rows, width,
+                 documents, positions) -> None:
+    """Score rows of one group and width against the questions of that group.
+
+    Products in single precision, which differ from the exact ones by ``slip``
+    at most, tell which pairs can be among the k best; only those are scored.
+    """
+    metric, k = questions.metric, best.k
+    if asked_width != width and metric != "cosine":
+        return
+    ask, ask_norms, small = questions.rows.by_width[asked_width]
+    there, norms, short = vectors.by_width[width]
+    if asked_width != width or not small or not short:
+        _score_exactly(best, questions, asked, asked_width, vectors, rows, width, documents, positions)
+        return
+    place = vectors.place[rows]
+    there, norms = there[place], norms[place]
+    longest = norms.max()
+    step = max(1, BLOCK_VALUES // max(1, 8 * width))
+    for first in range(0, len(asked), ASKED_TILE):
+        part = asked[first:first + ASKED_TILE]
+        at = questions.rows.place[part]
+        block, norm2 = ask[at], ask_norms[at]
+        slip = (width + 8) * 2.0 ** -24 * (np.sqrt(norm2 * longest) + longest / 2) + 1e-30
+        found = _Best(len(part), k, 2 * k * len(part))
+        found.bound[:] = best.bound[part]
+        for begin in range(0, len(rows), SCORED_TILE):
+            held = slice(begin, begin + SCORED_TILE)
+            products = block @ there[held].T
+            cells = products.shape[1]
+            near = products >= _least_product(metric, found.bound, norm2, slip)[:, None]
+            count = np.count_nonzero(near)
+            if cells > k and count > 8 * k * len(part):
+                # The block itself gives a better bound: its own k-th best.
+                kth = np.partition(products, cells - k, axis=1)[:, cells - k] - slip
+                score = kth if metric == "cosine" else 1.0 / (1.0 + np.maximum(norm2 - 2.0 * kth, 0.0))
+                near &= products >= _least_product(metric, score, norm2, slip)[:, None]
+                count = np.count_nonzero(near)
+            if not count:
+                continue
+            question, column = np.nonzero(near)
+            for a in range(0, len(question), step):
+                q, c = question[a:a + step], column[a:a + step] + begin
+                exact = np.einsum("ij,ij->i", questions.rows.exact(part[q], width), vectors.exact(rows[c], width))
+                if metric == "l2":
+                    exact = 1.0 / (1.0 + np.maximum(norm2[q] + norms[c] - 2.0 * exact, 0.0))
+                found.add(q, documents[rows[c]], positions[rows[c]], np.round(exact, SCORE_DECIMALS))
+        found.merge()
+        if found.held is not None:
+            question, *rest = found.held
+            best.add(part[question], *rest)
+            best.bound[part] = np.maximum(best.bound[part], found.bound)
 
 
 def _score_batch(best: _Best, questions: _Questions, batch) -> None:
     documents, positions = _plain(batch["document_id"]), _plain(batch["chunk_index"])
     flat, starts, widths = _vectors(batch["embedding"])
+    vectors = _Prepared(flat, starts, widths, questions.metric, False)
     groupings = questions.buckets.groupings(batch, flat, starts, widths)
     for parts, groups in zip(questions.parts, groupings):
         for group, members in _by_value(groups):
             wanted = parts.get(group)
             if wanted:
                 for width, at in _by_value(widths[members]):
-                    _score_block(best, questions.metric, wanted, flat, starts, members[at], width,
-                                 documents, positions)
+                    for asked_width, asked in wanted.items():
+                        _score_block(best, questions, asked, asked_width, vectors, members[at], width,
+                                     documents, positions)
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +421,10 @@ def _scan_candidates(vectors, asked: pa.Table, k, metric, buckets: _Buckets, sch
         vectors = _in_scopes(vectors, buckets.scope, scopes if frame is None else None, frame)
     cores = spark.sparkContext.defaultParallelism
     tasks = max(cores, CANDIDATES // max(1, asked.num_rows * k))
-    if vectors.rdd.getNumPartitions() > tasks:
+    if asked.num_rows >= MANY_QUESTIONS:
+        # Files of few row groups would leave cores idle for long.
+        vectors = vectors.repartition(cores, "document_id", "chunk_index")
+    elif vectors.rdd.getNumPartitions() > tasks:
         vectors = vectors.coalesce(tasks)
     arrow = to_arrow_schema(schema)
     sent = spark.sparkContext.broadcast(asked)
