@@ -35,10 +35,13 @@ def write_files(df: DataFrame, folder: str) -> int:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", folder))
+        made = set()
         for batch in batches:
             for base, name, content in zip(*(batch.column(c).to_pylist() for c in (
                     "knowledge_base_id", "file_name", "content"))):
-                system.create_dir(f"{root}/{base}", recursive=True)
+                if base not in made:
+                    system.create_dir(f"{root}/{base}", recursive=True)
+                    made.add(base)
                 with system.open_output_stream(f"{root}/{base}/{name}") as out:
                     out.write(content or b"")
             yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], names=["n"])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,9 +48,14 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
     """
 
     def each(files: DataFrame, batch: int) -> None:
-        documents = to_documents(files)
-        if knowledge_bases is not None:
-            documents = accepted(documents, batch)
+        # Several jobs need the files, which are opened once.
+        documents = to_documents(files).persist(StorageLevel.DISK_ONLY)
+        try:
+            process(documents if knowledge_bases is None else accepted(documents, batch), batch)
+        finally:
+            documents.unpersist()
+
+    def process(documents: DataFrame, batch: int) -> None:
         stage(documents, "PARSING", batch)
         statuses = processing.process_to(documents, f"{out}/chunks/batch={batch}", encoder, strategy, extractor,
                                          parsers=parsers)
@@ -67,7 +73,7 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
     def stage(documents: DataFrame, name: str, batch: int) -> None:
         (documents.select("document_id", F.lit(name).alias("status"), F.lit(K.STAGE_PROGRESS[name]).alias("progress"),
                           F.current_timestamp().alias("ts"))
-         .write.mode("overwrite").parquet(f"{out}/stages/batch={batch}/stage={name}"))
+         .hint("rebalance").write.mode("overwrite").parquet(f"{out}/stages/batch={batch}/stage={name}"))
 
     def accepted(documents: DataFrame, batch: int) -> DataFrame:
         own = documents.sparkSession

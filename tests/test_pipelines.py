@@ -180,6 +180,14 @@ def test_stream_ingest_takes_each_file_once(spark, uploads, tmp_path):
     assert chunks.count() == 8 and "你好 世界" in {r["content"] for r in chunks.collect()}
 
 
+def test_stream_ingest_opens_a_file_once(spark, uploads, tmp_path):
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    query = jobs.ingest(spark, str(uploads), out, checkpoint, hashing_encoder(16))
+    query.awaitTermination()
+    read = sum(p["numInputRows"] for p in query.recentProgress)
+    assert read == jobs.ingested_documents(spark, out).count() == 5
+
+
 def test_stream_ingest_checks_uploads(spark, uploads, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     kbs = spark.createDataFrame([("k1", "one")], "id string, name string")
