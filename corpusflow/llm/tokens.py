@@ -6,14 +6,18 @@ crosses these places, whatever stands around them.  So a batch of texts is cut
 there, its distinct units are encoded by the library, and the ids are put
 together again.  Texts with other white space, with control characters or with
 strings of special tokens are encoded whole.
+
+A distinct unit is cut once more, between a letter or digit and the punctuation
+that ends it, where the pattern never crosses either: the library then sees
+a word once, not once for each mark that follows it.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -24,11 +28,14 @@ import pyarrow.compute as pc
 # Other white space, runs of it, and white space at either end.
 _OTHER_BLANK = (r"\x00\x01\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
-_JOIN_CHARS = 1 << 16
+# Letters and digits that every version of Unicode counts as such.
+_WORD_END = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{17f}]\z"
+_JOIN_CHARS = 1 << 14
 _BLOCK_UNITS = 1 << 19
 _SLICE_BYTES = 1 << 23
-# Distinct units whose ids a worker remembers; later ones are encoded once per slice.
+# Distinct words and marks whose ids a worker remembers, and their bytes; later ones are encoded once per slice.
 _REMEMBERED = 600_000
+_REMEMBERED_BYTES = 1 << 25
 
 
 def tokenizer_path(name: str) -> str:
@@ -82,16 +89,19 @@ class UnitEncoder:
     """Encodes Arrow columns with a byte-level tokenizer whose pattern splits at spaces."""
 
     def __init__(self, path: str):
-        self.seen: dict[str, int] = {}
-        self.known = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.known = pa.array([], pa.string())
+        self.known_ids = (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.tokenizer = load(path)
         self.line_feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.hard = "|".join([f"[{_OTHER_BLANK}]", r"[ \n][ \n]", r"\A[ \n]", r"[ \n]\z", r"\A\z",
                               *[re.escape(s) for s in special]])
+        apart = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.marks = "".join(c for c in string.punctuation if all(len(apart(w + c)) == 2 for w in "a7\u00e9"))
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32)
+        # Without the offsets into the text, which nobody here reads.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.int32)
 
     def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, lengths) of units marked \\x01 at the start of a text, \\x00 after a line feed.
@@ -119,22 +129,54 @@ class UnitEncoder:
         starts, lengths = np.concatenate(starts), np.concatenate(lengths)
         return np.concatenate(ids), starts - after_feed, lengths + after_feed
 
-    def _coded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, starts, lengths, place of each unit in the latter two)."""
-        place = np.fromiter(map(self.seen.get, units, itertools.repeat(-1)), np.int64, len(units))
+    def _remembered(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths, place of each piece in the latter two)."""
+        place = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
         if not len(new):
-            return *self.known, place
-        count = len(self.known[1])
+            return *self.known_ids, place
+        count = len(self.known)
         place[new] = np.arange(count, count + len(new))
-        fresh = [units[i] for i in new]
-        ids, starts, lengths = self._units(fresh)
-        found = tuple(np.concatenate(pair) for pair in zip(
-            self.known, (ids, starts + len(self.known[0]), lengths)))
-        if len(self.seen) + len(new) <= _REMEMBERED:
-            self.seen.update(zip(fresh, place[new].tolist()))
-            self.known = found
-        return *found, place
+        fresh = pieces.take(pa.array(new))
+        ids, starts, lengths = self._units(fresh.to_pylist())
+        ids, starts, lengths = (np.concatenate(pair) for pair in zip(
+            self.known_ids, (ids, starts + len(self.known_ids[0]), lengths)))
+        if count < _REMEMBERED and self.known.nbytes + fresh.nbytes <= _REMEMBERED_BYTES:
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, _REMEMBERED - count)])
+            count = len(self.known)
+            self.known_ids = ids[:starts[count - 1] + lengths[count - 1]], starts[:count], lengths[:count]
+        return ids, starts, lengths, place
+
+    def _parts(self, units: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """(units without the marks that end them, these marks as units of their own, which units have such)."""
+        words = pc.ascii_rtrim(units, characters=self.marks)
+        cut = pc.and_(pc.not_equal(words, units), pc.match_substring_regex(words, _WORD_END))
+        words = pc.if_else(cut, words, units)
+        at = np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        ended, word = units.take(pa.array(at)), words.take(pa.array(at))
+        if not len(at):
+            return words, ended, at
+        sizes = (pc.binary_length(ended).to_numpy() - pc.binary_length(word).to_numpy()).astype(np.int64)
+        _, ends, data = ended.buffers()
+        ends = np.frombuffer(ends, np.int32)[1:len(at) + 1]
+        data = _rows(np.frombuffer(data, np.uint8), sizes, ends - sizes)
+        ends = pieces_of(sizes).astype(np.int32)
+        marks = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(data))
+        return words, pc.binary_join_element_wise(pa.scalar("\x01"), marks, ""), at
+
+    def _coded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, lengths) of distinct units."""
+        words, marks, cut = self._parts(units)
+        coded = pa.concat_arrays([words, marks]).dictionary_encode()
+        ids, starts, lengths, place = self._remembered(coded.dictionary)
+        codes = place[coded.indices.to_numpy()]
+        words, marks = codes[:len(units)], codes[len(units):]
+        if not len(cut):
+            return ids, starts[words], lengths[words]
+        runs = np.insert(words, cut + 1, marks)
+        sizes = lengths[words]
+        sizes[cut] += lengths[marks]
+        return _rows(ids, lengths[runs], starts[runs]), np.cumsum(sizes) - sizes, sizes
 
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows, lengths, ids one after the other) in blocks of rows, in order; null counts as empty."""
@@ -162,8 +204,8 @@ class UnitEncoder:
         units = pc.split_pattern(marked, " ")
         offsets = units.offsets.to_numpy()
         coded = units.flatten().dictionary_encode()
-        ids, starts, lengths, place = self._coded(coded.dictionary.to_pylist())
-        codes = place[coded.indices.to_numpy()]
+        ids, starts, lengths = self._coded(coded.dictionary)
+        codes = coded.indices.to_numpy()
         first = 0
         while first < len(easy):
             stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _BLOCK_UNITS, side="right")) - 1)

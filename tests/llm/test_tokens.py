@@ -42,6 +42,44 @@ def test_unit_encoder_equals_library():
         assert got == [(i, whole(t)) for i, t in enumerate(texts)]
 
 
+def encoded(encoder, texts):
+    """Ids of every text, in order."""
+    got = {}
+    for rows, lengths, ids in encoder.encode(pa.array(texts, pa.string())):
+        bounds = tokens.pieces_of(lengths)
+        got |= {int(r): ids[a:b].tolist() for r, a, b in zip(rows, bounds, bounds[1:])}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_words_are_encoded_once_whatever_mark_follows():
+    encoder, whole = tokens.UnitEncoder(tokens.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    seen, encode = [], encoder.whole
+    encoder.whole = lambda text: seen.append(text) or encode(text)
+    words, marks = [f"word{chr(97 + i)}" for i in range(20)], [",", ".", "!?", "...", ");", "'", '",', "_", "s'."]
+    texts = ["a " + " ".join(w + m for w in words for m in marks), "b " + " ".join(words)]
+    assert encoded(encoder, texts) == [whole(t) for t in texts]
+    # The last of the marks begins with a letter, so with it a word is another one.
+    assert sum(t.count(w) for t in seen for w in words) == 40
+    before = len(seen)
+    assert encoded(encoder, texts[::-1]) == [whole(t) for t in texts[::-1]]
+    assert len(seen) == before
+
+
+@pytest.mark.parametrize("remembered, size", [(600_000, 1 << 25), (7, 1 << 25), (600_000, 2000), (0, 0)])
+def test_marks_after_words_equal_library(monkeypatch, remembered, size):
+    monkeypatch.setattr(tokens, "_REMEMBERED", remembered)
+    monkeypatch.setattr(tokens, "_REMEMBERED_BYTES", size)
+    rng = np.random.default_rng(5)
+    parts = [*"aZ09é߀²½ªº…“”’'\",.;:!?-_()[]{}<>|/\\`~@#$%^&*+=", "don't", "we'll", "x's", "日本", "e\u0301", "ß", "İ", "😀",
+             "the", "\u00d7", "\u00f7", "\u0660", "ⅷ", "ǅ", " ", " ", " ", " ", "\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(1500)]
+    encoder, whole = tokens.UnitEncoder(tokens.tokenizer_path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    for first in range(0, len(texts), 50):
+        part = texts[first:first + 50]
+        assert encoded(encoder, part) == [whole(t) for t in part]
+    assert len(encoder.known) <= remembered and encoder.known.nbytes <= size + 8
+
+
 @pytest.mark.parametrize("step, overlap", [(1 << 15, 256), (400, 60), (64, 24)])
 def test_counts(spark, docs, step, overlap):
     whole = library("word_bpe_49k.json")
