@@ -24,7 +24,7 @@ import functools
 import hashlib
 import os
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,11 @@ FAN = 8
 ID_BITS = 20
 #: Counts of pairs, in bytes, up to which they are sent to every task.
 COUNT_BYTES = 32 * 1024 * 1024
-# Distinct units that a worker remembers.
+# Distinct units that a worker remembers, and the bytes of their fragments; later ones are made once per slice.
 _REMEMBERED = 300_000
+_REMEMBERED_BYTES = 1 << 25
+# Bytes of texts that are in work at once.
+_SLICE_BYTES = 1 << 21
 
 _PAIRS = "pairs array<struct<pair: long, n: int>>"
 _ALIGNED = f"doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, {_PAIRS}"
@@ -171,7 +174,7 @@ class Both(tokens.UnitEncoder):
             raise ValueError("a vocabulary is too large for the numbers of pairs")
         self.apart = not any(SPACE in n.lstrip(SPACE) or "\n" in n for n in names)
         self.mark = self.pieces.piece_to_id(SPACE)
-        self.unit_place: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.units_known = _no_units()
 
     def ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +200,8 @@ class Both(tokens.UnitEncoder):
         """Fragments of units, which are words after a space or, marked by \\x00, after a line feed."""
         ids_a, starts, n_a = self._units(units)
         ids_a = tokens._rows(ids_a, n_a, starts)
-        lists = self.pieces.encode(["\n" + u[1:] if u[0] == "\x00" else u for u in units])
+        # One thread, as a task has one core and each thread keeps memory of its own.
+        lists = self.pieces.encode(["\n" + u[1:] if u[0] == "\x00" else u for u in units], num_threads=1)
         lists = [ids[1:] if u[0] == "\x00" and ids[:1] == [self.mark] else ids for u, ids in zip(units, lists)]
         n_b = np.array([len(x) for x in lists], np.int64)
         ids_b = np.array([i for x in lists for i in x], np.int32)
@@ -221,64 +225,72 @@ class Both(tokens.UnitEncoder):
         for n, y in zip((close_a + 1).tolist(), (close_b + 1).tolist()):
             texts.append(f"{','.join(text_a[m:n])}|{','.join(text_b[x:y])}")
             m, x = n, y
-        joined = [";".join(texts[m:n]).encode() for m, n in zip(np.append(0, until[:-1]).tolist(), until.tolist())]
-        return Units(n_a, n_b, n_groups, ~good, pair_keys(ids_a[close_a], ids_b[close_b]), until - n_groups, joined)
+        joined = [";".join(texts[m:n]).encode() + b";" for m, n in zip(np.append(0, until[:-1]).tolist(), until.tolist())]
+        return Units(n_a, n_b, n_groups, ~good, pair_keys(ids_a[close_a], ids_b[close_b]), until - n_groups,
+                     pa.array(joined, pa.binary()))
 
-    def _known(self, units: list[str]) -> tuple[Units, np.ndarray]:
-        """Fragments of units and the place of each; remembered as long as there are not too many."""
-        place = np.array([self.unit_place.get(u, -1) for u in units], np.int64)
+    def _known(self, units: pa.Array) -> tuple[Units, np.ndarray]:
+        """Fragments of distinct units and the place of each; remembered as long as there are not too many."""
+        place = pc.index_in(units, value_set=self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(place < 0)
         if not len(new):
             return self.units_known, place
-        place[new] = len(self.units_known.n_a) + np.arange(len(new))
-        fresh = [units[i] for i in new]
-        found = self.units_known.followed_by(self._new_units(fresh))
-        if len(self.unit_place) + len(new) <= _REMEMBERED:
-            self.unit_place.update(zip(fresh, place[new].tolist()))
+        place[new] = len(self.known) + np.arange(len(new))
+        fresh = units.take(pa.array(new))
+        found = self.units_known.followed_by(self._new_units(fresh.to_pylist()))
+        if (len(self.known) + len(new) <= _REMEMBERED
+                and found.nbytes + self.known.nbytes + fresh.nbytes <= _REMEMBERED_BYTES):
+            self.known = pa.concat_arrays([self.known, fresh])
             self.units_known = found
         return found, place
 
-    def aligned(self, column: pa.Array) -> Iterator[tuple[int, list, np.ndarray]]:
-        """(row, figures, sorted link keys) of every text of a column; null and empty texts have none."""
-        for first, part in tokens.slices(column):
+    def aligned(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list, list[str], pa.Array]]:
+        """(rows, figures, hashes, pairs) in blocks of rows, in any order; null and empty texts have zeros.
+
+        A block is of one slice of the column, so that what a worker holds
+        doesn't grow with the rows it is sent at once.
+        """
+        for first, part in tokens.slices(column, _SLICE_BYTES):
             hard = pc.match_substring_regex(part, self.hard).to_numpy(zero_copy_only=False) | (not self.apart)
-            for row in np.flatnonzero(hard).tolist():
-                text = part[row].as_py()
-                data = f" {text}".encode()
-                whole = self.range_fragment(data, 0, len(data)) if text else Fragment()
-                *figures, pairs = whole.finished()
-                yield first + row, figures, pairs
-            easy = np.flatnonzero(~hard)
+            odd, easy = np.flatnonzero(hard), np.flatnonzero(~hard)
+            if len(odd):
+                found = [self._hard(part[row].as_py()) for row in odd.tolist()]
+                yield first + odd, [[f[k] for f in found] for k in range(3)], [f[3] for f in found], _pair_lists(
+                    f[4] for f in found)
             if len(easy):
-                yield from self._easy(part.take(pa.array(easy)), (easy + first).tolist())
+                yield first + easy, *self._easy(part.take(pa.array(easy)))
+
+    def _hard(self, text: str) -> tuple[int, int, int, str, dict[int, int]]:
+        data = f" {text}".encode()
+        return (self.range_fragment(data, 0, len(data)) if text else Fragment()).finished()
 
-    def _easy(self, texts: pa.Array, rows: list[int]) -> Iterator[tuple[int, list, dict]]:
+    def _easy(self, texts: pa.Array) -> tuple[list, list[str], pa.Array]:
         units = pc.split_pattern(pc.replace_substring(texts, "\n", " \x00"), " ")
-        offsets = units.offsets.to_numpy()
+        cuts = units.offsets.to_numpy() - units.offsets[0].as_py()
         coded = units.flatten().dictionary_encode()
-        known, place = self._known(coded.dictionary.to_pylist())
+        known, place = self._known(coded.dictionary)
         codes = place[coded.indices.to_numpy()]
-        begins = offsets[:-1] - offsets[0]
-        sums = [np.add.reduceat(values[codes], begins) for values in (known.n_a, known.n_b, known.n_groups, known.bad)]
+        *figures, bad = (np.add.reduceat(values[codes], cuts[:-1])
+                         for values in (known.n_a, known.n_b, known.n_groups, known.bad))
+        bad = bad > 0
         keys = tokens._rows(known.keys, known.n_groups[codes], known.starts[codes])
-        owner = np.repeat(np.arange(len(rows)), sums[2])
-        distinct, counts = np.unique((owner.astype(np.int64) << 2 * ID_BITS) | keys, return_counts=True)
-        until = np.searchsorted(distinct, np.arange(1, len(rows) + 1) << 2 * ID_BITS)
-        distinct = (distinct & ((1 << 2 * ID_BITS) - 1)).tolist()
-        counts, texts, codes = counts.tolist(), known.texts, codes.tolist()
-        at, stop = 0, 0
-        for k, (row, bad, *figures) in enumerate(zip(rows, sums[3].tolist(), *(s.tolist() for s in sums[:3]))):
-            at, stop = stop, int(until[k])
-            if bad:
-                yield row, [0, 0, 0, ""], {}
-                continue
-            own = b";".join([texts[c] for c in codes[begins[k]:offsets[k + 1] - offsets[0]]])
-            yield row, [*figures, hashlib.sha256(own).hexdigest()], dict(zip(distinct[at:stop], counts[at:stop]))
+        keys |= np.repeat(np.arange(len(bad)) << 2 * ID_BITS, figures[2])
+        keys, counts = np.unique(keys[np.repeat(~bad, figures[2])], return_counts=True)
+        until = np.searchsorted(keys, np.arange(len(bad) + 1) << 2 * ID_BITS)
+        pairs = _pair_list(until, keys & ((1 << 2 * ID_BITS) - 1), counts)
+        groups = known.texts.take(pa.array(codes))
+        _, ends, data = groups.buffers()
+        ends, data = np.frombuffer(ends, np.int32)[cuts].tolist(), memoryview(data)
+        hashes = ["" if b else hashlib.sha256(data[m:n - 1]).hexdigest() for b, m, n in zip(bad.tolist(), ends, ends[1:])]
+        return [np.where(bad, 0, values) for values in figures], hashes, pairs
 
 
 @dataclass
 class Units:
-    """Closed fragments of units: numbers of tokens and groups, whether bytes differ, link keys, groups as text."""
+    """Closed fragments of units: numbers of tokens and groups, whether bytes differ, link keys, groups as text.
+
+    Each group is followed by a semicolon.
+    """
 
     n_a: np.ndarray
     n_b: np.ndarray
@@ -286,18 +298,22 @@ class Units:
     bad: np.ndarray
     keys: np.ndarray
     starts: np.ndarray
-    texts: list[bytes]
+    texts: pa.Array
+
+    @property
+    def nbytes(self) -> int:
+        return sum(getattr(self, f.name).nbytes for f in fields(self))
 
     def followed_by(self, other: Units) -> Units:
         both = [np.concatenate(pair) for pair in zip(
             (self.n_a, self.n_b, self.n_groups, self.bad, self.keys, self.starts),
             (other.n_a, other.n_b, other.n_groups, other.bad, other.keys, other.starts + len(self.keys)))]
-        return Units(*both, self.texts + other.texts)
+        return Units(*both, pa.concat_arrays([self.texts, other.texts]))
 
 
 def _no_units() -> Units:
     none = np.zeros(0, np.int64)
-    return Units(none, none, none, none.astype(bool), none, none, [])
+    return Units(none, none, none, none.astype(bool), none, none, pa.array([], pa.binary()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -306,26 +322,25 @@ def both(path_a: str, path_b: str) -> Both:
     return Both(path_a, path_b)
 
 
+def _pair_list(offsets: np.ndarray, keys: np.ndarray | list, counts: np.ndarray | list) -> pa.Array:
+    values = pa.StructArray.from_arrays([pa.array(keys, pa.int64()), pa.array(counts).cast(pa.int32())], names=["pair", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
+
+
 def _pair_lists(pairs: Iterable[dict[int, int]]) -> pa.Array:
     pairs = list(pairs)
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
-    values = pa.StructArray.from_arrays(
-        [pa.array([k for p in pairs for k in p], pa.int64()), pa.array([n for p in pairs for n in p.values()], pa.int32())],
-        names=["pair", "n"])
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    return _pair_list(tokens.pieces_of([len(p) for p in pairs]), [k for p in pairs for k in p],
+                      [n for p in pairs for n in p.values()])
 
 
 def _whole(path_a: str, path_b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = both(path_a, path_b)
         for batch in batches:
-            found = sorted(tokenizers.aligned(batch.column("text")), key=lambda x: x[0])
-            for at in range(0, len(found), 1000):
-                part = found[at:at + 1000]
-                columns = [pa.array([f[1][k] for f in part], pa.int64()) for k in range(3)]
+            for rows, figures, hashes, pairs in tokenizers.aligned(batch.column("text")):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array([f[0] for f in part])), *columns,
-                     pa.array([f[1][3] for f in part], pa.string()), _pair_lists(f[2] for f in part)],
+                    [batch.column("doc_id").take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in figures),
+                     pa.array(hashes, pa.string()), pairs],
                     names=["doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "pairs"])
     return run
 

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -120,5 +122,30 @@ def test_any_cut_composes_to_the_whole():
         assert out == whole and out.finished() == whole.finished()
 
 
+def test_what_a_worker_holds_does_not_grow_with_the_batch():
+    rng = random.Random(4)
+    words = [f"word{n}" for n in range(2000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(4000)]
+    texts[7], texts[2000] = "two  spaces", None
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts)})
+    run = alignment._whole(A, B)
+    for _ in run(iter([batch.slice(0, 100)])):
+        pass
+    rows, held, worst = [], [], 0
+    tracemalloc.start()
+    try:
+        for out in run(iter([batch])):
+            worst = max(worst, tracemalloc.get_traced_memory()[1])
+            tracemalloc.reset_peak()
+            rows += out.column("doc_id").to_pylist()
+            held.append(out.nbytes)
+    finally:
+        tracemalloc.stop()
+    assert sorted(rows) == list(range(len(texts)))
+    assert max(held) < 0.5 * sum(held)
+    # With all results of the batch at once, as dicts, it is 130 MB.
+    assert worst < 80e6
+
+
 def test_empty_table(spark):
     assert alignment.compared(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
