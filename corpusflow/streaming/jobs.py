@@ -6,9 +6,11 @@ mode, so a micro-batch that runs again after a failure replaces its own output.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from corpusflow.operators.lifecycle import latest_status
 from corpusflow.plans import answering, processing
 from corpusflow.schemas import DOCUMENT, OUTCOME, REJECTED, STAGE
 from corpusflow.session import broadcast_if_small, local_if_short
-from corpusflow.sources.files import stream_files, to_documents
+from corpusflow.sources.files import can_list, note_arrivals, stream_arrivals, stream_files, to_documents, with_content
 from corpusflow.sources.tables import drop_folders, exists
 
 LOG_PARTS = 64  # folders of the message log
@@ -45,15 +47,25 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
     ones are listed with their reason in ``out``/rejected.  A batch may be empty
     or all refused.  Stages a document passes are listed in ``out``/stages, as
     :func:`follow_status` takes them.
+
+    Files are listed by tasks and noted in ``checkpoint``/arrivals, which is
+    what is streamed, so the driver doesn't hold their names.  A store that
+    Python can't open, a pattern for ``folder`` and a checkpoint that was begun
+    without that table use Spark's own source of files.
     """
+    log = f"{checkpoint}/arrivals"
+    own = can_list(spark, folder) and (exists(spark, log) or not exists(spark, f"{checkpoint}/offsets"))
 
     def each(files: DataFrame, batch: int) -> None:
+        listed = files.persist(StorageLevel.DISK_ONLY) if own else None
         # Several jobs need the files, which are opened once.
-        documents = to_documents(files).persist(StorageLevel.DISK_ONLY)
+        documents = to_documents(files if listed is None else with_content(listed)).persist(StorageLevel.DISK_ONLY)
         try:
             process(documents if knowledge_bases is None else accepted(documents, batch), batch)
         finally:
             documents.unpersist()
+            if listed is not None:
+                listed.unpersist()
 
     def process(documents: DataFrame, batch: int) -> None:
         stage(documents, "PARSING", batch)
@@ -87,7 +99,33 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, encoder:
         passed = judged.where("reason IS NULL").select(F.col("upload_id").alias("document_id"))
         return documents.join(broadcast_if_small(passed), "document_id", "left_semi").select(*documents.columns)
 
-    return _start(stream_files(spark, folder, pattern, files_per_trigger), each, checkpoint, every=every)
+    if not own:
+        return _start(stream_files(spark, folder, pattern, files_per_trigger), each, checkpoint, every=every)
+
+    def look() -> None:
+        note_arrivals(spark, folder, log, pattern, files_per_trigger)
+
+    look()
+    query = _start(stream_arrivals(spark, log, one_by_one=bool(files_per_trigger)), each, checkpoint, every=every)
+    if every:
+        _repeat(query, spark._jvm.org.apache.spark.sql.streaming.Trigger.ProcessingTime(every).intervalMs() / 1000, look)
+    return query
+
+
+def _repeat(query: StreamingQuery, seconds: float, do: Callable[[], None]) -> None:
+    """``do`` every so many seconds while the query runs, in a thread; if it fails the query is stopped."""
+    def run() -> None:
+        try:
+            while not query.awaitTermination(max(1.0, seconds)):
+                do()
+        except StreamingQueryException:  # told to who waits for the query
+            return
+        except Exception:
+            if query.isActive:
+                query.stop()
+                raise
+
+    threading.Thread(target=run, name="arrivals", daemon=True).start()
 
 
 def _batches(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
