@@ -224,3 +224,25 @@ def test_single_precision_loses_no_hit(metric, scale, offset):
     expected = -np.sort(-np.round(scores, 9), axis=1)[:, :3]
     assert np.allclose(-np.sort(-found, axis=1), expected, atol=2e-9) or scale > 1e9
     assert sorted(set(np.array(got["query_id"]))) == list(range(600))
+
+
+def test_keys_of_two_types_meet_in_the_grid(spark, tmp_path):
+    """Of a table stored by bucket the folder is read as int, while a question's bucket is a bigint."""
+    rng = np.random.default_rng(4)
+    values = [v.tolist() for v in rng.normal(size=(300, 8))]
+    vectors = spark.createDataFrame([(i, 0, v) for i, v in enumerate(values)], "document_id long, chunk_index int, embedding array<float>")
+    questions = spark.createDataFrame(list(enumerate(values)), "query_id long, embedding array<float>")
+    path = str(tmp_path / "bucketed")
+    write_by(add_bucket(vectors, width=8, bits=4), path, "bucket")
+    stored = scan(spark, path)
+    assert dict(stored.dtypes)["bucket"] == "int"
+    rows = lambda hits: sorted(map(tuple, hits.select("query_id", "document_id", "score", "rank").collect()))
+    # Tables as small as this one would come together in one partition.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for probes in (5, 16):
+            sent = rows(top_k_probed(stored, questions, 8, 4, probes, metric="l2"))
+            dealt = rows(top_k_probed(stored, questions, 8, 4, probes, metric="l2", question_bytes=1, tile_bytes=1 << 12))
+            assert dealt == sent and len(sent) == 900
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
